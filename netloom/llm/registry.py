@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import packing, pii
+from netloom.llm import language, packing, pii, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ordinal_quality": quality.query,
         "op3_pii": pii.query,
         "op7_best_fit_packing": packing.query,
+        "op9_ppm_language": language.query,
     }
 
 
