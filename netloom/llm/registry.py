@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import language, packing, paths, pii, quality
+from netloom.llm import decontam, language, packing, paths, pii, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ordinal_quality": quality.query,
         "op3_pii": pii.query,
+        "op4_benchmark_decontamination": decontam.query,
         "op7_best_fit_packing": packing.query,
         "op9_ppm_language": language.query,
         "op10_de_bruijn_spans": paths.query,
@@ -20,4 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_benchmark_decontamination": decontam.ORACLE,
+    }
