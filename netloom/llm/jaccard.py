@@ -7,8 +7,7 @@ sets have the same one, and the dearest, the empty ones, are allocated no index
 up to SPARE empty segments may be left out. Only a set with more of them indexes them as well; any two sets that need
 one then both have it. Sets that agree in a segment are compared exactly.
 
-Equal sets count as one throughout. A segment that many sets share yields links to one pivot first; only members that are
-not yet in one class are then compared with the others, so a large group of copies costs its size, not its square.
+Equal sets count as one throughout.
 """
 
 from __future__ import annotations
@@ -20,15 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import components, scan, store
+from netloom.llm import pigeonhole, scan, store
 
 WORDS = 4
 #: Least similarity, in hundredths.
 PERCENT = 85
 #: Largest size over least size in a band.
 RATIO = 1.25
-#: Sets of one segment that are paired at once; more go by way of a pivot.
-SMALL = 16
 KEY = ("doc_id", "text_key")
 
 
@@ -132,66 +129,9 @@ def index(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 place = (band[of].astype(np.uint64) << np.uint64(32)) | (keep - base[of]).astype(np.uint64)
                 code = scan.mix(content + filled[keep].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + scan.mix(place + np.uint64(1)))
                 sign = 1 if step == 0 else -1
-                yield pa.record_batch([pa.array(scan.signed(code)), pa.array(scan.signed(ids[mine][of])), pa.array((sign * count[of]).astype(np.int32))], names=["segment", "set", "size"])
+                yield pigeonhole.entries(code, ids[mine][of], sign * count[of])
 
-    return keyed(docs).mapInArrow(run, "segment long, set long, size int")
-
-
-def _similar_sizes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    return low * 100 >= high * percent
-
-
-def meet(entries: DataFrame, percent: int) -> DataFrame:
-    """Sets that share a segment: (segment, a, b, size_a, size_b, pivot); ``pivot``: b is a member of a large group with pivot a."""
-    tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = entries.repartition(tasks, "segment").sortWithinPartitions("segment", "set")
-
-    def pairs(segment: np.ndarray, ids: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """All pairs within groups of at most SMALL rows."""
-        for d in range(1, SMALL):
-            i = np.flatnonzero(segment[d:] == segment[:-d]) if len(segment) > d else np.zeros(0, np.int64)
-            if not len(i):
-                break
-            i = i[((size[i] > 0) | (size[i + d] > 0)) & (ids[i] != ids[i + d]) & _similar_sizes(np.abs(size[i]), np.abs(size[i + d]), percent)]
-            yield from block(segment[i], ids[i], ids[i + d], size[i], size[i + d], False)
-
-    def block(segment, a, b, size_a, size_b, pivot) -> Iterator[pa.RecordBatch]:
-        if len(a):
-            yield pa.record_batch([pa.array(segment), pa.array(a), pa.array(b), pa.array(size_a), pa.array(size_b), pa.array(np.full(len(a), pivot))], names=["segment", "a", "b", "size_a", "size_b", "pivot"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-        large: tuple[int, int, int] | None = None  # segment, pivot and its size, of a group that goes on
-        for batch in batches:
-            columns = [np.concatenate((h, batch.column(i).to_numpy())) for i, h in enumerate(held)]
-            segment, ids, size = columns
-            if not len(segment):
-                continue
-            if large is not None:
-                stop = int(np.searchsorted(segment, large[0], "right"))
-                yield from block(segment[:stop], np.full(stop, large[1]), ids[:stop], np.full(stop, large[2], np.int32), size[:stop], True)
-                segment, ids, size = segment[stop:], ids[stop:], size[stop:]
-                if not len(segment):
-                    held = [segment, ids, size]
-                    continue
-                large = None
-            first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-            many = np.diff(np.append(first, len(segment)))
-            tail = int(first[-1])
-            group = np.repeat(np.arange(len(first)), many)
-            big = many > SMALL
-            small = np.flatnonzero((~big & (many > 1))[group] & (np.arange(len(segment)) < tail))
-            yield from pairs(segment[small], ids[small], size[small])
-            rows = np.flatnonzero(big[group])
-            pivot = first[group[rows]]
-            yield from block(segment[rows], ids[pivot], ids[rows], size[pivot], size[rows], True)
-            if big[-1]:
-                large, tail = (int(segment[tail]), int(ids[tail]), int(size[tail])), len(segment)
-            held = [segment[tail:], ids[tail:], size[tail:]]
-        yield from pairs(*held)
-
-    return sorted_.mapInArrow(run, "segment long, a long, b long, size_a int, size_b int, pivot boolean")
+    return keyed(docs).mapInArrow(run, pigeonhole.ENTRY)
 
 
 def links(docs: DataFrame, chosen: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -235,25 +175,8 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
     sized = store.written(sets_of(docs, n), "set-of-document")
     sets = sized.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("least"), F.min(F.struct(*KEY)).alias("one"))
     chosen = sets.select("one.*", "set")
-    met = store.written(meet(index(docs, n, percent), percent), "met")
-    order = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    close = F.least(F.abs("size_a"), F.abs("size_b")) * 100 >= F.greatest(F.abs("size_a"), F.abs("size_b")) * percent
-    first = met.where("a <> b").where(close).select(*order).distinct()
-    linked = store.written(links(docs, chosen, store.written(first, "pairs"), n, percent), "links")
-    large = met.where("pivot").select("segment", F.col("b").alias("set"), "size_b")
-    if not large.isEmpty():
-        roots = components.roots(linked)
-        member = store.written(large.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")), "large")
-        by_root = member.groupBy("segment", "root").agg(F.count("*").alias("n"))
-        main = by_root.groupBy("segment").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-        apart = member.join(main, "segment")
-        minor = apart.where("root <> main").select("segment", F.col("set").alias("a"), F.col("root").alias("root_a"), F.col("size_b").alias("size_a"))
-        rest = minor.join(apart.select("segment", F.col("set").alias("b"), "root", "size_b", "main"), "segment").where("root_a <> root").where(close).where("size_a > 0 OR size_b > 0").select(*order).distinct()
-        rest = store.written(rest.join(first, ["a", "b"], "left_anti"), "pairs-of-large")
-        if not rest.isEmpty():
-            linked = store.written(linked.union(links(docs, chosen, rest, n, percent)), "links")
-    roots = components.roots(linked)
-    rooted = sets.select("set", "least").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    near = pigeonhole.roots(index(docs, n, percent), lambda x, y: np.minimum(x, y) * 100 >= np.maximum(x, y) * percent, lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent, lambda pairs: links(docs, chosen, pairs, n, percent))
+    rooted = sets.select("set", "least").join(near.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_set = rooted.join(least, "root").select("set", "component_id")
     out = sized.join(by_set, "set", "left")

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import decontam, jaccard, language, packing, paths, pii, quality
+from netloom.llm import decontam, jaccard, language, lines, packing, paths, pii, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": lines.query,
         "op2_ordinal_quality": quality.query,
         "op3_pii": pii.query,
         "op4_benchmark_decontamination": decontam.query,
