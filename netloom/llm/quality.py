@@ -152,6 +152,12 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model | No
     return train(indices.astype(np.int64), np.concatenate(([0], np.cumsum(sizes_[order]))), grades[order].astype(np.int64))
 
 
+def _tails(model: Model, texts: pa.Array) -> np.ndarray:
+    found, ends = features(*scan.text_bytes(texts))
+    sums = np.concatenate(([0.0], np.cumsum(model.weights[found])))
+    return model.tails(sums[ends[1:]] - sums[ends[:-1]])
+
+
 def score(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame:
     """doc_id, expected_grade, p_at_least_1, p_at_least_2, keep; one row per input row.
 
@@ -163,16 +169,27 @@ def score(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in scan.parts(batches, "text"):
-            found, ends = features(*scan.text_bytes(batch.column(1)))
-            sums = np.concatenate(([0.0], np.cumsum(model.weights[found])))
-            tails = model.tails(sums[ends[1:]] - sums[ends[:-1]])
+            tails = _tails(shared.value, batch.column(1))
             yield pa.record_batch([batch.column(0), pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array((tails[:, 0] >= 0.5) & (tails[:, 1] >= keep))], names=["doc_id", "expected_grade", "p_at_least_1", "p_at_least_2", "keep"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, expected_grade double, p_at_least_1 double, p_at_least_2 double, keep boolean")
 
 
+def select(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``score`` would keep."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in scan.parts(batches, "text"):
+            tails = _tails(shared.value, batch.column(batch.schema.get_field_index("text")))
+            yield batch.filter(pa.array((tails[:, 0] >= 0.5) & (tails[:, 1] >= keep)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = store.documents(spark, sf_dir)
     return score(docs, fit(docs, graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))))

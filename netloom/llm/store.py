@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 KEY = "spark.checkpoint.dir"
 
@@ -29,3 +30,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, text and ``row``, a struct of all columns of ``docs``, whatever their names."""
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose (doc_id, text_key) is not in ``gone``."""
+    return packed(docs).alias("d").join(gone.select("doc_id", "text_key").alias("g"), F.expr("d.doc_id <=> g.doc_id AND d.text_key = g.text_key"), "left_anti").select("row.*")
