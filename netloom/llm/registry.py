@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import decontam, jaccard, language, lines, packing, paths, pii, quality, suffixes
+from netloom.llm import audio, decontam, jaccard, language, lines, packing, paths, pii, quality, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii": pii.query,
         "op4_benchmark_decontamination": decontam.query,
         "op5_suffix_array_dedup": suffixes.query,
+        "op6_chroma_fingerprints": audio.query,
         "op7_best_fit_packing": packing.query,
         "op8_jaccard_pigeonhole": jaccard.query,
         "op9_ppm_language": language.query,
