@@ -78,7 +78,7 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, text_key, set (id; null for a text without words), n_shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in scan.parts(batches, "text", 2 << 20):
+        for batch in scan.parts(batches, "text"):
             elements, offsets = shingle_sets(batch, 2, n)
             size = np.diff(offsets)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(scan.signed(_set_ids(elements, offsets)), mask=size == 0), pa.array(size)], names=["doc_id", "text_key", "set", "n_shingles"])
@@ -91,12 +91,13 @@ def index(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = np.zeros(0, np.uint64)
-        for batch in scan.parts(batches, "text", 1 << 20):
+        for batch in scan.parts(batches, "text", 1 << 19):
             elements, offsets = shingle_sets(batch, 2, n)
             size = np.diff(offsets)
             ids = _set_ids(elements, offsets)
             _, once = np.unique(ids, return_index=True)
-            fresh = once[(size[once] > 0) & ~np.isin(ids[once], done)]
+            fresh = once[~np.isin(ids[once], done)]
+            fresh = fresh[(size[fresh] + size[fresh] * 100 // percent) * (100 - percent) >= 100 + percent]  # others are similar to equal sets alone
             done = np.concatenate((done[-50_000:], ids[fresh]))
             largest, segments, spare = bands(percent, int(size.max(initial=1)) * 100 // percent + 1)
             own = np.searchsorted(largest, size[fresh])
@@ -134,35 +135,28 @@ def index(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return keyed(docs).mapInArrow(run, pigeonhole.ENTRY)
 
 
-def links(docs: DataFrame, chosen: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: set ids) that are similar, by their whole sets.
+def elements_of(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """item, content: the elements of the chosen sets (item, doc_id, text_key), ascending 64-bit numbers."""
+    texts = keyed(docs).alias("d").join(chosen.alias("c").hint("shuffle_hash"), F.expr("d.doc_id <=> c.doc_id AND d.text_key = c.text_key")).select("c.item", "d.text")
 
-    ``chosen``: doc_id, text_key, set for one document of each set.
-    """
-    need = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-    texts = keyed(docs).alias("d").join(chosen.join(need, "set").alias("c").hint("shuffle_hash"), F.expr("d.doc_id <=> c.doc_id AND d.text_key = c.text_key")).select("c.set", "d.text")
-
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in scan.parts(batches, "text", 2 << 20):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in scan.parts(batches, "text"):
             values, offsets = shingle_sets(batch, 1, n)
             raw = values.tobytes()
-            yield pa.record_batch([batch.column(0), pa.array([raw[8 * i : 8 * j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["set", "elements"])
+            yield pa.record_batch([batch.column(0), pa.array([raw[8 * i : 8 * j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["item", "content"])
 
-    sets = store.written(texts.mapInArrow(elements, "set long, elements binary").dropDuplicates(["set"]), "sets")
-    left = pairs.join(sets.withColumnsRenamed({"set": "a", "elements": "x"}), "a")
-    both = left.join(sets.withColumnsRenamed({"set": "b", "elements": "y"}), "b").select("a", "b", "x", "y")
+    return texts.mapInArrow(run, "item long, content binary").dropDuplicates(["item"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                good[i] = 100 * common >= percent * (len(x) + len(y) - common)
-            keep = pa.array(good)
-            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return both.mapInArrow(verify, "a long, b long")
+def similar(left: list, right: list, percent: int) -> np.ndarray:
+    """Whether the sets of each pair are similar."""
+    good = np.zeros(len(left), bool)
+    for i, (x, y) in enumerate(zip(left, right, strict=True)):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        both = np.sort(np.concatenate((x, y)), kind="stable")
+        common = int((both[1:] == both[:-1]).sum())
+        good[i] = 100 * common >= percent * (len(x) + len(y) - common)
+    return good
 
 
 def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -174,8 +168,13 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
     """
     sized = store.written(sets_of(docs, n), "set-of-document")
     sets = sized.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("least"), F.min(F.struct(*KEY)).alias("one"))
-    chosen = sets.select("one.*", "set")
-    near = pigeonhole.roots(index(docs, n, percent), lambda x, y: np.minimum(x, y) * 100 >= np.maximum(x, y) * percent, lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent, lambda pairs: links(docs, chosen, pairs, n, percent))
+    chosen = sets.select("one.*", F.col("set").alias("item"))
+    near = pigeonhole.roots(
+        index(docs, n, percent),
+        lambda x, y: np.minimum(x, y) * 100 >= np.maximum(x, y) * percent,
+        lambda items: elements_of(docs, chosen.join(items, "item"), n),
+        lambda x, y: similar(x, y, percent),
+    )
     rooted = sets.select("set", "least").join(near.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_set = rooted.join(least, "root").select("set", "component_id")

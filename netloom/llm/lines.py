@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def index(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> Data
     """Index entries of all lines; those of negative size only look up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in scan.parts(batches, "text", 2 << 20):
+        for batch in scan.parts(batches, "text", 1 << 19):
             _, start, end, _, sums = _long_lines(batch, 2, least)
             line, one = np.unique(scan.span_hash(sums, start, end), return_index=True)
             start, length = start[one], (end - start)[one]
@@ -163,7 +164,7 @@ def _plain(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """line, content for the wanted places (line, doc_id, text_key, start, size), one of each line."""
+    """item, content for the wanted places (line, doc_id, text_key, start, size), one of each line."""
     by_doc = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("line", "start", "size")).alias("found"))
     by_doc = store.written(by_doc, "wanted")
     total = by_doc.agg(F.sum(F.size("found"))).first()[0] or 0
@@ -177,29 +178,20 @@ def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             flat = batch.column(1).flatten()
             line, start, size = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("line", "start", "size"))
             begin = start + np.repeat(offsets[:-1], np.diff(batch.column(1).offsets.to_numpy()))
-            yield pa.record_batch([pa.array(line), pa.array([raw[p : p + s] for p, s in zip(begin, size, strict=True)], pa.binary())], names=["line", "content"])
+            yield pa.record_batch([pa.array(line), pa.array([raw[p : p + s] for p, s in zip(begin, size, strict=True)], pa.binary())], names=["item", "content"])
 
-    return joined.mapInArrow(run, "line long, content binary").dropDuplicates(["line"])
+    return joined.mapInArrow(run, "item long, content binary").dropDuplicates(["item"])
 
 
-def close_lines(docs: DataFrame, one_each: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: line hashes) that at most ``edits`` edits part."""
-    need = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
-    texts = store.written(fetched(docs, one_each.join(need, "line")), "lines")
-    both = pairs.join(texts.withColumnsRenamed({"line": "a", "content": "x"}), "a").join(texts.withColumnsRenamed({"line": "b", "content": "y"}), "b").select("a", "b", "x", "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in scan.parts(batches, "x", 1 << 19):
-            x, y = ([np.frombuffer(v.as_buffer(), np.uint8) for v in batch.column(c)] for c in (2, 3))
-            order = np.argsort([len(v) for v in x], kind="stable")
-            good = np.zeros(len(order), bool)
-            for at in range(0, len(order), 512):
-                some = order[at : at + 512]
-                good[some] = within([x[i] for i in some], [y[i] for i in some], edits)
-            keep = pa.array(good)
-            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
+def close_lines(left: list, right: list, edits: int) -> np.ndarray:
+    """Whether at most ``edits`` edits part the lines of each pair; pairs of like lengths are compared together."""
+    x, y = ([np.frombuffer(v, np.uint8) for v in side] for side in (left, right))
+    order = np.argsort([len(v) for v in x], kind="stable")
+    good = np.zeros(len(order), bool)
+    for at in range(0, len(order), 512):
+        some = order[at : at + 512]
+        good[some] = within([x[i] for i in some], [y[i] for i in some], edits)
+    return good
 
 
 def repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> DataFrame:
@@ -213,10 +205,12 @@ def repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> Da
     lines = store.written(at.groupBy("line").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.min("size").alias("size")), "line-classes")
     one_each = lines.select("line", "first.doc_id", "first.text_key", "first.start", "size")
 
-    def close(x, y):
-        return abs(x - y) <= edits
-
-    near = pigeonhole.roots(index(docs, edits, least), close, lambda x, y: F.abs(x - y) <= edits, lambda pairs: close_lines(docs, one_each, pairs, edits))
+    near = pigeonhole.roots(
+        index(docs, edits, least),
+        lambda x, y: np.abs(x - y) <= edits,
+        lambda items: fetched(docs, one_each.join(items.withColumnRenamed("item", "line"), "line")),
+        lambda x, y: close_lines(x, y, edits),
+    )
     tied = near.select("node", "root").union(near.select(F.col("root").alias("node"), "root")).distinct()
     classed = lines.join(tied.withColumnRenamed("node", "line"), "line", "left").where("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "line"))
     first = classed.groupBy("root").agg(F.min("first").alias("first"))
@@ -224,38 +218,46 @@ def repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> Da
     return at.join(known, "line").where(order != F.col("first")).select(*KEY, "start", "size")
 
 
+def _cut(text: str | None, spans: list | None) -> str | None:
+    """``text`` without the lines at the given places, each with its line break."""
+    if not spans:
+        return text
+    data, kept, at = text.encode(), [], 0
+    for start, size in sorted((s["start"], s["size"]) for s in spans):
+        kept.append(data[at:start])
+        at = start + size + 1
+    return (b"".join(kept) + data[at:]).decode()
+
+
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, text_key, text, n_lines, n_removed: each text without the given lines, each with its line break."""
+    """doc_id, n_lines, n_removed, cut (each text without the given lines), row (all columns of ``docs``)."""
     by_doc = spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
-    joined = keyed(docs).alias("d").join(by_doc.alias("s").hint("shuffle_hash"), F.expr("d.doc_id <=> s.doc_id AND d.text_key = s.text_key"), "left").select("d.doc_id", "d.text_key", "d.text", "s.spans")
+    rows = store.packed(docs).drop("text")
+    joined = rows.alias("d").join(by_doc.alias("s").hint("shuffle_hash"), F.expr("d.doc_id <=> s.doc_id AND d.text_key = s.text_key"), "left").select("d.doc_id", "d.row", "s.spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, total, gone = [], [], []
-            for text, found in zip(batch.column(2), batch.column(3), strict=True):
-                raw = text.as_py()
-                total.append(raw.count("\n") + 1 if raw else 0)
-                gone.append(len(found) if found.is_valid else 0)
-                if found.is_valid:
-                    data, kept, at = raw.encode(), [], 0
-                    for start, size in sorted((s["start"], s["size"]) for s in found.as_py()):
-                        kept.append(data[at:start])
-                        at = start + size + 1
-                    raw = (b"".join(kept) + data[at:]).decode()
-                texts.append(raw)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=["doc_id", "text_key", "text", "n_lines", "n_removed"])
-
-    return joined.mapInArrow(run, "doc_id long, text_key long, text string, n_lines long, n_removed long")
+            row = batch.column(1)
+            texts = row.field(row.type.get_field_index("text"))
+            found = batch.column(2).to_pylist()
+            new = [_cut(t.as_py() if f else None, f) if f else None for t, f in zip(texts, found, strict=True)]
+            changed = pa.array([bool(f) for f in found])
+            cut = pa.compute.if_else(changed, pa.array(new, pa.string()), texts.cast(pa.string()))
+            total = [t.as_py().count("\n") + 1 if t.is_valid and t.as_py() else 0 for t in texts]
+            yield pa.record_batch([batch.column(0), pa.array(total, pa.int64()), pa.array([len(f or ()) for f in found], pa.int64()), cut, row], names=["doc_id", "n_lines", "n_removed", "cut", "row"])
+
+    kind = joined.schema["row"].dataType.simpleString()
+    return joined.mapInArrow(run, f"doc_id long, n_lines long, n_removed long, cut string, row {kind}")
 
 
 def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> DataFrame:
-    """doc_id, text_key, text, n_lines, n_removed for each row of ``docs``; text_key is that of the text before.
+    """doc_id, n_lines, n_removed, cut, row for each row of ``docs``: what stays of its text, and all its columns as they were.
 
     Of each class of lines (see ``repeats``) the first stays, whole; shorter lines and blank lines all stay. Null text stays null
-    and has no lines, nor has empty text. Rows that repeat are cut alike. Other columns are ignored.
+    and has no lines, nor has empty text. Rows that repeat are cut alike.
     """
     return without(docs, repeats(docs, edits, least))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(store.documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return dedup(store.documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("cut", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

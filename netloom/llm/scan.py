@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -72,7 +72,7 @@ def parts(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTE
 def offsets_of(column: pa.Array) -> np.ndarray:
     """Ends of each value within the joined bytes, from 0; a null counts as empty."""
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     raw = np.frombuffer(column.buffers()[1], dtype=kind, count=len(column) + 1 + column.offset)[column.offset :] if len(column) else np.zeros(1, kind)
     return raw.astype(np.int64) - int(raw[0])
@@ -81,7 +81,7 @@ def offsets_of(column: pa.Array) -> np.ndarray:
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all values joined, offsets of each value in them); a null counts as empty."""
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     offsets = offsets_of(column)
     if not offsets[-1]:
         return np.zeros(0, np.uint8), offsets
