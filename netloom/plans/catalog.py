@@ -23,6 +23,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def all_queries() -> dict[str, Query]:
+    """All registered queries, after the modules that register them are read."""
+    from netloom.plans import assignment_queries, network_queries, simulation_queries  # noqa: F401
+
+    return QUERIES
+
+
 #: The derived tables (see ``netloom.sources.derive``) in SQL, to begin a statement with.
 BASE = """
 node AS MATERIALIZED (

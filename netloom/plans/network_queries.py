@@ -115,11 +115,11 @@ def departure_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_PROFILE}, u AS (SELECT slot, ratio, sum(ratio) OVER (ORDER BY slot) AS upper, sum(ratio) OVER (ORDER BY slot) - ratio AS lower FROM prof),
 agent AS (SELECT zone, v, CAST(v AS DOUBLE) / n AS r FROM (SELECT n_nationkey + 1 AS zone, 10 + n_nationkey AS n, unnest(range(0, 10 + n_nationkey)) AS v FROM nation))
-SELECT CAST(zone AS BIGINT) AS zone, CAST(v AS INTEGER) AS v, round((slot + (r - lower) / ratio) * 5, 3) AS departure_min FROM agent JOIN u ON r >= lower AND r < upper WHERE v > 0""")
+SELECT CAST(zone AS BIGINT) AS zone, CAST(v AS INTEGER) AS v, round((slot + (r - lower) / ratio) * 5, 4) AS departure_min FROM agent JOIN u ON r >= lower AND r < upper WHERE v > 0""")
 def departure_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Departure minutes of 10 to 34 agents of each zone but its first, which leaves with the first slot that has a share."""
     cells = derive.nodes(spark, sf_dir).select(c("zone_id").alias("zone"), (c("zone_id") + 9).alias("n"))
-    return dm.departures(cells, _profile(spark, sf_dir)).where("v > 0").select("zone", "v", F.round("departure_min", 3).alias("departure_min"))
+    return dm.departures(cells, _profile(spark, sf_dir)).where("v > 0").select("zone", "v", F.round("departure_min", 4).alias("departure_min"))
 
 
 _TIMES = ["0700", "0800", "0730:30", "010615", "2359:59", "0000", "0915:15:500"]
@@ -165,9 +165,9 @@ def nearest_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(net(f"""SELECT zone_id, node_id, metres, CAST(rank AS INTEGER) AS rank FROM (
- SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY banded DESC, metres, node_id) AS rank, bool_or(banded) OVER (PARTITION BY zone_id) AS some
+ SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY banded DESC, metres, node_id) AS rank, bool_or(banded) OVER (PARTITION BY zone_id) AS near_any
  FROM (SELECT *, metres >= 1000 AND metres <= 6000 AS banded FROM (SELECT a.zone_id, b.node_id, round({_AB}, 3) AS metres FROM node a, node b)))
-WHERE (banded AND rank <= 4) OR (NOT some AND rank = 1)"""))
+WHERE (banded AND rank <= 4) OR (NOT near_any AND rank = 1)"""))
 def access_links_k4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to four nodes between 1 and 6 km of each zone, else the nearest."""
     zones = derive.nodes(spark, sf_dir)
@@ -188,9 +188,9 @@ def desire_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(net("""SELECT ix, iy, count(*) AS nodes, round(avg(x), 6) AS x, round(avg(y), 6) AS y, CAST(row_number() OVER (ORDER BY ix, iy) AS INTEGER) AS zone_id
-FROM (SELECT CAST(floor(x / CAST(0.025 AS DOUBLE)) AS BIGINT) AS ix, CAST(floor(y / CAST(0.025 AS DOUBLE)) AS BIGINT) AS iy, x, y FROM node) GROUP BY ix, iy"""))
+FROM (SELECT CAST(floor(x / CAST(0.05 AS DOUBLE)) AS BIGINT) AS ix, CAST(floor(y / CAST(0.05 AS DOUBLE)) AS BIGINT) AS iy, x, y FROM node) GROUP BY ix, iy"""))
 def grid_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zones made from a grid over the nodes; a box of 0.2 degrees over 8 cells gives a resolution of 0.025."""
+    """Zones made from a grid over the nodes; a box of 0.2 degrees over 8 cells gives the next resolution above 0.025."""
     return rounded(generate.grid_zones(derive.nodes(spark, sf_dir)), "x", "y").select("ix", "iy", "nodes", "x", "y", "zone_id")
 
 
@@ -281,10 +281,10 @@ def _qvdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vdf.qvdf(_probe(spark, sf_dir).withColumn("lanes", F.lit(1.0)))
 
 
-@query(net_probe(f"{_Q} SELECT link_id, period, round(q_speed, 5) AS q_speed, round(q_min, 5) AS q_min, round(q_wait, 5) AS q_wait, round(p, 5) AS p, round(vt2, 5) AS vt2, round(t0, 5) AS t0, round(t3, 5) AS t3, round(mu, 4) AS mu FROM s3"))
+@query(net_probe(f"{_Q} SELECT link_id, period, round(q_speed, 5) AS q_speed, round(q_min, 5) AS q_min, round(q_wait, 5) AS q_wait, round(p, 5) AS p, round(vt2, 5) AS vt2, round(t0, 4) AS t0, round(t3, 4) AS t3, round(mu, 4) AS mu FROM s3"))
 def qvdf_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rounded(_qvdf(spark, sf_dir), "q_speed", "q_min", "q_wait", "p", "vt2", "t0", "t3", digits=5)
-    return rounded(out, "mu", digits=4).select("link_id", "period", "q_speed", "q_min", "q_wait", "p", "vt2", "t0", "t3", "mu")
+    out = rounded(_qvdf(spark, sf_dir), "q_speed", "q_min", "q_wait", "p", "vt2", digits=5)
+    return rounded(out, "t0", "t3", "mu", digits=4).select("link_id", "period", "q_speed", "q_min", "q_wait", "p", "vt2", "t0", "t3", "mu")
 
 
 _5MIN = f"""{_Q}, m AS (SELECT *, CAST(unnest(range(CAST(start_hour * 60 AS BIGINT), CAST(end_hour * 60 AS BIGINT) + 1, 5)) AS INTEGER) AS minute FROM s3),
