@@ -31,11 +31,11 @@ def roots(links: DataFrame) -> DataFrame:
 
     Rounds go on until the links are stars; each is written to the shared folder.
     """
-    now = store.written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+    now = store.written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars", narrow=True)
     mark = None
     while True:
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if seen == mark or not seen["n"]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = seen
-        now = store.written(_small_star(_large_star(now).distinct()).distinct(), "stars")
+        now = store.written(_small_star(_large_star(now).distinct()).distinct(), "stars", narrow=True)

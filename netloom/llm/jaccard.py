@@ -27,6 +27,8 @@ PERCENT = 85
 #: Largest size over least size in a band.
 RATIO = 1.25
 KEY = ("doc_id", "text_key")
+#: Documents whose sets are fetched by a broadcast of their names at most; more are fetched by a shuffle of the texts.
+BROADCAST_ROWS = 200_000
 
 
 def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,20 +72,42 @@ def _set_ids(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return scan.mix(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
+def outline(elements: np.ndarray) -> bytes:
+    """The size of a set, and for each of at least two cells an element the parity of the elements in it."""
+    cells = 1 << max(6, int(2 * len(elements) - 1).bit_length())
+    parity = np.bincount((elements & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.int64(len(elements)).tobytes() + np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(left: list, right: list, percent: int) -> np.ndarray:
+    """Whether outlines leave it open that their sets are similar: each cell of unlike parity has an element in one set alone."""
+    good = np.zeros(len(left), bool)
+    for i, (x, y) in enumerate(zip(left, right, strict=True)):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        a, b = x[1:], y[1:]
+        while len(a) > len(b):
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+        while len(b) > len(a):
+            b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+        differ = int(np.bitwise_count(a ^ b).sum())
+        good[i] = differ * (100 + percent) <= (int(x[0]) + int(y[0])) * (100 - percent)
+    return good
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, text_key, set (id; null for a text without words), n_shingles."""
+    """doc_id, text_key, set (id; null for a text without words), n_shingles, outline."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in scan.parts(batches, "text"):
             elements, offsets = shingle_sets(batch, 2, n)
             size = np.diff(offsets)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(scan.signed(_set_ids(elements, offsets)), mask=size == 0), pa.array(size)], names=["doc_id", "text_key", "set", "n_shingles"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(scan.signed(_set_ids(elements, offsets)), mask=size == 0), pa.array(size), pa.array([outline(elements[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["doc_id", "text_key", "set", "n_shingles", "outline"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, text_key long, set long, n_shingles long")
+    return keyed(docs).mapInArrow(run, "doc_id long, text_key long, set long, n_shingles long, outline binary")
 
 
 def index(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -137,7 +161,9 @@ def index(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 def elements_of(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
     """item, content: the elements of the chosen sets (item, doc_id, text_key), ascending 64-bit numbers."""
-    texts = keyed(docs).alias("d").join(chosen.alias("c").hint("shuffle_hash"), F.expr("d.doc_id <=> c.doc_id AND d.text_key = c.text_key")).select("c.item", "d.text")
+    chosen = store.written(chosen, "chosen", narrow=True)
+    few = F.broadcast(chosen.alias("c")) if chosen.count() <= BROADCAST_ROWS else chosen.alias("c").hint("shuffle_hash")
+    texts = keyed(docs).alias("d").join(few, F.expr("d.doc_id <=> c.doc_id AND d.text_key = c.text_key")).select("c.item", "d.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in scan.parts(batches, "text"):
@@ -169,11 +195,14 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
     sized = store.written(sets_of(docs, n), "set-of-document")
     sets = sized.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("least"), F.min(F.struct(*KEY)).alias("one"))
     chosen = sets.select("one.*", F.col("set").alias("item"))
+    outlines = sized.where("set IS NOT NULL").select(F.col("set").alias("item"), F.col("outline").alias("content")).dropDuplicates(["item"])
     near = pigeonhole.roots(
         index(docs, n, percent),
         lambda x, y: np.minimum(x, y) * 100 >= np.maximum(x, y) * percent,
         lambda items: elements_of(docs, chosen.join(items, "item"), n),
         lambda x, y: similar(x, y, percent),
+        outlines,
+        lambda x, y: may_be_similar(x, y, percent),
     )
     rooted = sets.select("set", "least").join(near.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
