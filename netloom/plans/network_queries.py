@@ -115,11 +115,11 @@ def departure_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_PROFILE}, u AS (SELECT slot, ratio, sum(ratio) OVER (ORDER BY slot) AS upper, sum(ratio) OVER (ORDER BY slot) - ratio AS lower FROM prof),
 agent AS (SELECT zone, v, CAST(v AS DOUBLE) / n AS r FROM (SELECT n_nationkey + 1 AS zone, 10 + n_nationkey AS n, unnest(range(0, 10 + n_nationkey)) AS v FROM nation))
-SELECT CAST(zone AS BIGINT) AS zone, CAST(v AS INTEGER) AS v, round((slot + (r - lower) / ratio) * 5, 4) AS departure_min FROM agent JOIN u ON r >= lower AND r < upper WHERE v > 0""")
+SELECT CAST(zone AS BIGINT) AS zone, CAST(v AS INTEGER) AS v, round((slot + (r - lower) / ratio) * 5 + 1e-7, 4) AS departure_min FROM agent JOIN u ON r >= lower AND r < upper WHERE v > 0""")
 def departure_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Departure minutes of 10 to 34 agents of each zone but its first, which leaves with the first slot that has a share."""
     cells = derive.nodes(spark, sf_dir).select(c("zone_id").alias("zone"), (c("zone_id") + 9).alias("n"))
-    return dm.departures(cells, _profile(spark, sf_dir)).where("v > 0").select("zone", "v", F.round("departure_min", 4).alias("departure_min"))
+    return dm.departures(cells, _profile(spark, sf_dir)).where("v > 0").select("zone", "v", F.round(c("departure_min") + 1e-7, 4).alias("departure_min"))
 
 
 _TIMES = ["0700", "0800", "0730:30", "010615", "2359:59", "0000", "0915:15:500"]
