@@ -108,8 +108,9 @@ def within(a: list[np.ndarray], b: list[np.ndarray], edits: int) -> np.ndarray:
     if not n:
         return out
     la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    live = np.flatnonzero((np.abs(la - lb) <= edits) & (la >= edits))
-    for i in np.flatnonzero((np.abs(la - lb) <= edits) & (la < edits)):
+    short = (la < edits) | (lb == 0)
+    live = np.flatnonzero((np.abs(la - lb) <= edits) & ~short)
+    for i in np.flatnonzero((np.abs(la - lb) <= edits) & short):
         out[i] = _plain(a[i], b[i]) <= edits
     if not len(live):
         return out
