@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from netloom.operators import columns, estimation, loading, report, routing, scenario
 from netloom.plans import assignment, lineage
-from netloom.plans.catalog import BASE, DEMAND, query
+from netloom.plans.catalog import BASE, DEMAND, near, query
 from netloom.sources import derive
 
 c = F.col
@@ -51,7 +51,7 @@ def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _round(df: DataFrame, digits: int, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) for n in names})
+    return df.withColumns({n: near(n, digits) for n in names})
 
 
 def _perf_sql(k: str, volume: str | None) -> str:
@@ -125,14 +125,15 @@ def sp_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o", "d", "mode", "period", columns.path_key("link_seq").alias("path"))
 
 
-@query(_pool_sql(1) + """, r0 AS MATERIALIZED (SELECT o AS root, node, cost FROM (SELECT DISTINCT o, mode, period, o AS node, CAST(0 AS BIGINT) AS cost FROM od WHERE mode = 'auto' AND period = 'am'))
-SELECT a.d AS destination, a.o AS node, a.cost FROM tree0 a WHERE mode = 'auto' AND period = 'am'""")
+@query(_pool_sql(1) + " SELECT d AS destination, o AS node, cost FROM tree0 WHERE mode = 'auto' AND period = 'am'")
 def reverse_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least cost from every zone to each destination, by trees of the reversed network."""
     i = _inputs(spark, sf_dir)
     net = routing.network(assignment.link_costs(i, None).where("mode = 'auto' AND period = 'am'"), reverse=True)
-    roots = i.demand.where("mode = 'auto' AND period = 'am'").select(c("o"), "mode", "period").distinct()
-    return routing.trees(roots, net).select(c("o").alias("destination"), c("d").alias("node"), "cost")
+    senders = i.demand.where("mode = 'auto' AND period = 'am'").select(c("o").alias("node")).distinct()
+    roots = i.links.select(c("to_node_id").alias("o"), F.lit("auto").alias("mode"), F.lit("am").alias("period")).distinct()
+    found = routing.trees(roots, net).select(c("o").alias("destination"), c("d").alias("node"), "cost")
+    return found.join(F.broadcast(senders), "node", "left_semi")
 
 
 @query(_pool_sql(1) + " SELECT link_id, period, round(volume, 4) AS volume FROM vol1")

@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+#: Added before values are rounded for a comparison: sums in another order else fall on either side of a half.
+NUDGE = 1e-9
+
+
+def near(value: Column | str, digits: int) -> Column:
+    """``value`` rounded for a comparison with SQL."""
+    return F.round((F.col(value) if isinstance(value, str) else value) + NUDGE, digits)
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a function under its own name."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = re.sub(r"(?<!CAST\()\bround\(", f"round({NUDGE}::DOUBLE + ", sql)
         return f
 
     return add

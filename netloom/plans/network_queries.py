@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from netloom.functions import scalar, vdf
 from netloom.operators import demand as dm
 from netloom.operators import generate, space
-from netloom.plans.catalog import net, net_od, net_probe, query
+from netloom.plans.catalog import near, net, net_od, net_probe, query
 from netloom.sources import derive
 
 c = F.col
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) for n in names})
+    return df.withColumns({n: near(n, digits) for n in names})
 
 
 def _demand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ SELECT CAST(zone AS BIGINT) AS zone, CAST(v AS INTEGER) AS v, round((slot + (r -
 def departure_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Departure minutes of 10 to 34 agents of each zone but its first, which leaves with the first slot that has a share."""
     cells = derive.nodes(spark, sf_dir).select(c("zone_id").alias("zone"), (c("zone_id") + 9).alias("n"))
-    return dm.departures(cells, _profile(spark, sf_dir)).where("v > 0").select("zone", "v", F.round(c("departure_min") + 1e-7, 4).alias("departure_min"))
+    return dm.departures(cells, _profile(spark, sf_dir)).where("v > 0").select("zone", "v", near(c("departure_min") + 1e-7, 4).alias("departure_min"))
 
 
 _TIMES = ["0700", "0800", "0730:30", "010615", "2359:59", "0000", "0915:15:500"]
@@ -130,7 +130,7 @@ _TIMES = ["0700", "0800", "0730:30", "010615", "2359:59", "0000", "0915:15:500"]
 FROM (SELECT t, string_split(t, ':') AS p, string_split(t, ':')[1] AS h, right(string_split(t, ':')[1], 4) AS k FROM (VALUES ('0700'), ('0800'), ('0730:30'), ('010615'), ('2359:59'), ('0000'), ('0915:15:500')) v(t))""")
 def time_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = spark.createDataFrame([(t,) for t in _TIMES], "code string")
-    return codes.select("code", F.round(scalar.time_to_min(c("code")), 6).alias("minutes"))
+    return codes.select("code", near(scalar.time_to_min(c("code")), 6).alias("minutes"))
 
 
 @query("""SELECT event_id, printf('%02d%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS clock
@@ -153,7 +153,7 @@ _AB = _METRES.format(x1="a.x", y1="a.y", x2="b.x", y2="b.y")
 
 @query(net(f"SELECT a.zone_id AS o, b.zone_id AS d, round({_AB}, 3) AS metres, round({_AB} / (30 * 1609 / CAST(60 AS DOUBLE)), 4) AS minutes FROM node a JOIN node b ON a.zone_id <> b.zone_id"))
 def haversine_od(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate.accessibility(derive.nodes(spark, sf_dir)).select("o", "d", "metres", F.round("minutes", 4).alias("minutes"))
+    return generate.accessibility(derive.nodes(spark, sf_dir)).select("o", "d", "metres", near("minutes", 4).alias("minutes"))
 
 
 @query(net(f"SELECT zone_id, seed, metres FROM (SELECT a.zone_id, b.zone_id AS seed, round({_AB}, 3) AS metres, row_number() OVER (PARTITION BY a.zone_id ORDER BY round({_AB}, 3), b.zone_id) AS k FROM node a, node b WHERE b.zone_id % 6 = 1) WHERE k = 1"))
@@ -310,7 +310,7 @@ def speed_15min(spark: SparkSession, sf_dir: str) -> DataFrame:
 def severe_congestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours at less than half the free speed."""
     long = vdf.qvdf_profile(_qvdf(spark, sf_dir), ["link_id", "period"])
-    return long.groupBy("link_id", "period").agg(F.round(F.sum(F.when(c("speed") < c("vf") * 0.5, 1).otherwise(0)) * 5 / 60.0, 6).alias("severe_hours"))
+    return long.groupBy("link_id", "period").agg(near(F.sum(F.when(c("speed") < c("vf") * 0.5, 1).otherwise(0)) * 5 / 60.0, 6).alias("severe_hours"))
 
 
 #: Emission coefficients of the sample settings, for CO2 and NOX.
@@ -326,7 +326,7 @@ def _kg(rate: list[float]) -> str:
 @query(net_probe(f"{_Q}, e AS (SELECT *, vf / 1.609::DOUBLE AS m, vf / 1.609::DOUBLE / greatest(0.00001::DOUBLE, q_min / fftt) / 1.609::DOUBLE AS u FROM s3) SELECT link_id, period, round({_kg(CO2)}, 5) AS co2_kg, round({_kg(NOX)}, 5) AS nox_kg FROM e"))
 def emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _qvdf(spark, sf_dir)
-    kg = lambda rate: F.round(vdf.emission_kg(c("q_min"), c("fftt"), c("vf"), F.array(*map(F.lit, rate))), 5)
+    kg = lambda rate: near(vdf.emission_kg(c("q_min"), c("fftt"), c("vf"), F.array(*map(F.lit, rate))), 5)
     return q.select("link_id", "period", kg(CO2).alias("co2_kg"), kg(NOX).alias("nox_kg"))
 
 
@@ -335,7 +335,7 @@ def link_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generalised free-flow cost of each link for each mode; the toll is the car's."""
     met = derive.links(spark, sf_dir).crossJoin(F.broadcast(derive.modes(spark)))
     toll = F.when(c("mode") == "auto", c("toll_auto")).otherwise(0.0)
-    return met.select("link_id", "mode", F.round(vdf.gradient_cost(c("fftt"), F.lit(0.0), toll, c("vot")), 6).alias("cost"))
+    return met.select("link_id", "mode", near(vdf.gradient_cost(c("fftt"), F.lit(0.0), toll, c("vot")), 6).alias("cost"))
 
 
 @query(net("""SELECT link_id, q_alpha, q_beta, q_n FROM (SELECT link_id, coalesce(CASE WHEN link_id % 10 = 1 THEN 0.3 END, CASE link_type WHEN 1 THEN 0.2 WHEN 2 THEN 0.25 END, 0.1)::DOUBLE AS q_alpha,
@@ -355,7 +355,7 @@ def signal_and_s3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uniform signal delay, and speed and flow by the S-shaped three-parameter model."""
     met = derive.links(spark, sf_dir).crossJoin(F.broadcast(derive.periods(spark))).withColumn("volume", (200 + c("link_id") * 37 % 1000).cast("double")).withColumn("m", 2 * F.log(F.lit(2.0)) / F.log(c("vf") / (c("capacity") / 45))).where("m > 0")
     k = F.lit(45.0)
-    return met.select("link_id", "period", F.round(vdf.signal_delay(F.lit(30.0), F.lit(60.0), c("volume")), 6).alias("delay_min"), F.round(vdf.s3_speed(c("volume"), c("vf"), k, c("m"), c("vf")), 6).alias("s3_speed"), F.round(vdf.s3_volume(c("vc"), c("vf"), k, c("m")), 4).alias("s3_volume"))
+    return met.select("link_id", "period", near(vdf.signal_delay(F.lit(30.0), F.lit(60.0), c("volume")), 6).alias("delay_min"), near(vdf.s3_speed(c("volume"), c("vf"), k, c("m"), c("vf")), 6).alias("s3_speed"), near(vdf.s3_volume(c("vc"), c("vf"), k, c("m")), 4).alias("s3_volume"))
 
 
 @query(net("SELECT link_id, round(b, 4) AS bearing FROM (SELECT link_id, (degrees(atan2(q.y - p.y, q.x - p.x)) + 360) % 360 AS b FROM link JOIN node p ON from_node_id = p.node_id JOIN node q ON to_node_id = q.node_id)"))
@@ -363,4 +363,4 @@ def link_bearing(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = derive.nodes(spark, sf_dir)
     p = nodes.select(c("node_id").alias("from_node_id"), c("x").alias("x1"), c("y").alias("y1"))
     q = nodes.select(c("node_id").alias("to_node_id"), c("x").alias("x2"), c("y").alias("y2"))
-    return derive.links(spark, sf_dir).join(F.broadcast(p), "from_node_id").join(F.broadcast(q), "to_node_id").select("link_id", F.round(scalar.bearing_deg(c("x1"), c("y1"), c("x2"), c("y2")), 4).alias("bearing"))
+    return derive.links(spark, sf_dir).join(F.broadcast(p), "from_node_id").join(F.broadcast(q), "to_node_id").select("link_id", near(scalar.bearing_deg(c("x1"), c("y1"), c("x2"), c("y2")), 4).alias("bearing"))

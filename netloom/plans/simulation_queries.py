@@ -9,7 +9,7 @@ from netloom.operators import demand as dm
 from netloom.operators import report, simulate, space
 from netloom.plans import assignment_queries as aq
 from netloom.plans import lineage
-from netloom.plans.catalog import net, net_od, query
+from netloom.plans.catalog import near, net, net_od, query
 from netloom.sources import derive, readers
 from netloom.streaming import counts
 
@@ -31,7 +31,7 @@ def signal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(net(f", {_STATE} SELECT link_id, round(sum(CASE WHEN state = 1 AND second % 2 = 0 THEN lanes ELSE 0 END), 3) AS vehicles FROM st GROUP BY link_id"))
 def signal_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.signal_seconds(_signals(spark, sf_dir), 600).groupBy("link_id").agg(F.round(F.sum("capacity"), 3).alias("vehicles"))
+    return simulate.signal_seconds(_signals(spark, sf_dir), 600).groupBy("link_id").agg(near(F.sum("capacity"), 3).alias("vehicles"))
 
 
 @query(net("SELECT link_id, s // 60 AS minute, CAST(sum(floor(rate * (s + 1)) - floor(rate * s)) AS BIGINT) AS vehicles FROM (SELECT link_id, capacity * lanes / 3600 AS rate FROM link), range(0, 600) r(s) GROUP BY ALL"))
@@ -68,7 +68,7 @@ SELECT zone, minute, inflow, outflow, queue, round(queue / (2.5::DOUBLE * 2), 6)
 def td_link_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     cum = _cumulative(spark, sf_dir).withColumns({"distance_km": F.lit(2.5), "lanes": F.lit(2.0), "fftt": F.lit(3.0), "k_jam": F.lit(200.0)})
     out = simulate.td_performance(cum, ["zone"])
-    return out.withColumns({"density": F.round("density", 6), "queue_ratio": F.round("queue_ratio", 6), "travel_min": F.round("travel_min", 4)})
+    return out.withColumns({"density": near("density", 6), "queue_ratio": near("queue_ratio", 6), "travel_min": near("travel_min", 4)})
 
 
 @query(aq._pool_sql(aq.ROUNDS) + f" SELECT mode, period, count(*) AS paths, CAST(sum(n) AS BIGINT) AS vehicles FROM (SELECT mode, period, CAST(floor(volume + 0.5) AS BIGINT) AS n FROM {aq._P}) WHERE n > 0 GROUP BY mode, period")
@@ -115,7 +115,7 @@ def demand_bin_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Demand packed into binary records and read from them."""
     od = dm.between_zones(derive.demand(spark, sf_dir), derive.nodes(spark, sf_dir))
     coded = od.join(F.broadcast(derive.modes(spark).select("mode", "mode_no")), "mode").join(F.broadcast(derive.periods(spark).select("period", "period_no")), "period")
-    return readers.unpack_demand(readers.pack_demand(coded)).withColumn("volume", F.round("volume", 6))
+    return readers.unpack_demand(readers.pack_demand(coded)).withColumn("volume", near("volume", 6))
 
 
 @query("""WITH route AS (SELECT CAST(o_orderkey AS BIGINT) AS path_id, 1 + o_orderkey % 21 AS a, CAST(o_totalprice AS DOUBLE) AS volume FROM orders WHERE o_orderkey % 97 = 0)
@@ -125,7 +125,7 @@ def route_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = derive.table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0").withColumn("a", 1 + c("o_orderkey") % 21)
     raw = orders.select(c("o_orderkey").alias("path_id"), c("a").alias("o"), (c("a") + 2).alias("d"), c("o_totalprice").alias("volume"), F.concat_ws(";", c("a").cast("string"), (c("a") + 1).cast("string"), (c("a") + 2).cast("string")).alias("node_sequence"))
     out = readers.routes(raw, derive.links(spark, sf_dir), 0.1)
-    return out.select("path_id", "o", "d", F.round("volume", 4).alias("volume"), F.array_join(F.transform("link_seq", lambda x: x.cast("string")), ";").alias("links"))
+    return out.select("path_id", "o", "d", near("volume", 4).alias("volume"), F.array_join(F.transform("link_seq", lambda x: x.cast("string")), ";").alias("links"))
 
 
 @query("""WITH ch AS (SELECT c_custkey, 1 + c_nationkey AS h, 1 + c_custkey % 25 AS w, 1 + c_custkey % 7 AS s FROM customer)
@@ -134,12 +134,12 @@ def choice_set_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips of home, work, shop and home chains."""
     chain = F.concat_ws(";", *(x.cast("string") for x in (1 + c("c_nationkey"), 1 + c("c_custkey") % 25, 1 + c("c_custkey") % 7, 1 + c("c_nationkey"))))
     choices = derive.table(spark, sf_dir, "customer").select(chain.alias("zone_chain"), F.lit(0.5).alias("volume"))
-    return readers.choice_demand(choices).withColumn("volume", F.round("volume", 4))
+    return readers.choice_demand(choices).withColumn("volume", near("volume", 4))
 
 
 @query(net("SELECT CAST(row_number() OVER (ORDER BY zone_id) - 1 AS INTEGER) AS zone_index, zone_id, district_id, round(x, 6) AS x, round(y, 6) AS y FROM node"))
 def internal_zone_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.internal_zones(derive.nodes(spark, sf_dir)).withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
+    return report.internal_zones(derive.nodes(spark, sf_dir)).withColumns({"x": near("x", 6), "y": near("y", 6)})
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
