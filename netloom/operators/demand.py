@@ -53,3 +53,16 @@ def departures(cells: DataFrame, profile_: DataFrame) -> DataFrame:
     agents = cells.where("n > 0").withColumn("v", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1))).withColumn("r", F.col("v") / F.col("n"))
     met = agents.join(F.broadcast(steps), (F.col("r") >= F.col("lower")) & (F.col("r") < F.col("upper")))  # a day's slots
     return met.withColumn("departure_min", (F.col("slot") + (F.col("r") - F.col("lower")) / F.col("ratio")) * SLOT_MIN).drop("upper", "lower", "ratio", "slot", "r")
+
+
+def volume_cutoff(od: DataFrame, most: int) -> DataFrame:
+    """One row, ``cutoff``: the volume of the origin that is ``most``-th from the top, the least of all if there are fewer."""
+    sent = od.groupBy("o").agg(F.sum("volume").alias("volume"))
+    return sent.orderBy(F.desc("volume"), "o").limit(most).agg(F.min("volume").alias("cutoff"))
+
+
+def alternatives(choices: DataFrame) -> DataFrame:
+    """choice, alternative, volume, trips and share of each alternative in its choice set (choice, alternative, zone_chain, volume)."""
+    legs = F.size(F.split("zone_chain", ";")) - 1
+    out = choices.groupBy("choice", "alternative").agg(F.sum("volume").alias("volume"), F.sum(F.col("volume") * legs).alias("trips"))
+    return out.withColumn("share", F.col("volume") / F.sum("volume").over(Window.partitionBy("choice")))

@@ -47,3 +47,16 @@ def grid_zones(nodes: DataFrame, cells: int = 8) -> DataFrame:
     celled = sized.withColumn("ix", F.floor(F.col("x") / F.col("res"))).withColumn("iy", F.floor(F.col("y") / F.col("res")))
     out = celled.groupBy("ix", "iy").agg(F.count("*").alias("nodes"), F.avg("x").alias("x"), F.avg("y").alias("y"))
     return out.withColumn("zone_id", F.row_number().over(Window.orderBy("ix", "iy"))).withColumn("production", F.col("nodes") * 10.0).withColumn("attraction", F.col("nodes") * 10.0)
+
+
+def activity_nodes(nodes: DataFrame, every: int = 10) -> DataFrame:
+    """Every so manieth node by number, as places of activity."""
+    return nodes.withColumn("_k", F.row_number().over(Window.orderBy("node_id"))).where(F.col("_k") % every == 0).drop("_k")
+
+
+def mean_nearest(nodes: DataFrame) -> DataFrame:
+    """One row, ``metres``: the mean distance of places (node_id, x, y) to the nearest other. Places are a sample, compared in blocks."""
+    other = nodes.select(F.col("node_id").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    met = nodes.crossJoin(F.broadcast(other)).where("node_id <> b")
+    metres = scalar.haversine_m(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))
+    return met.groupBy("node_id").agg(F.min(metres).alias("m")).agg(F.avg("m").alias("metres"))

@@ -349,3 +349,28 @@ def dms_diversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = _routes(spark, sf_dir).join(hit, ["o", "d", "mode", "period", "path"])
     out = scenario.diverted(paths, _rerouted(spark, sf_dir).select("o", "d", "mode", "period", (c("cost") / routing.MICRO).alias("alt_minutes")))
     return _round(out, 4, "diverted", "uninformed", "staying").select("o", "d", "mode", "period", "path", "diverted", "uninformed", "staying")
+
+
+@query(_after(", chain AS (SELECT a.o AS home, a.path || ';' || b.path AS path FROM tree0 a JOIN tree0 b ON a.d = b.o AND b.d = a.o AND a.mode = b.mode AND a.period = b.period WHERE a.mode = 'auto' AND a.period = 'am' AND a.d = 13 AND a.o <> 13) SELECT home, path FROM chain"))
+def chained_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of there-and-back chains to the middle of the network, one after the other."""
+    i = _inputs(spark, sf_dir)
+    net = routing.network(assignment.link_costs(i, None))
+    found = routing.trees(i.demand.select("o", "mode", "period").where("mode = 'auto' AND period = 'am'").distinct(), net)
+    there = found.where("d = 13").select(c("o").alias("chain"), F.lit(0).alias("leg"), "link_seq")
+    back = found.where("o = 13").select(c("d").alias("chain"), F.lit(1).alias("leg"), "link_seq")
+    both = there.unionByName(back.join(there.select("chain"), "chain", "left_semi")).join(back.select("chain"), "chain", "left_semi")
+    return scenario.chained(both).select(c("chain").alias("home"), columns.path_key("link_seq").alias("path"))
+
+
+@query(_pool_sql(ROUNDS) + f" SELECT link_id, period, string_agg(next || ':' || printf('%.3f', v), ';' ORDER BY next) AS turns FROM (SELECT a.link_id, b.link_id AS next, a.period, sum(a.volume) AS v FROM {_S} a JOIN {_S} b USING (o, d, mode, period, path) WHERE a.mode = 'auto' AND b.k = a.k + 1 GROUP BY ALL) GROUP BY link_id, period")
+def turn_volumes_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of each link in one field."""
+    return report.turn_text(report.turns(_pool(spark, sf_dir)))
+
+
+@query(_after(f", costS AS MATERIALIZED (SELECT * FROM costE){_COSTED} SELECT mode, period, round(sum(volume * cost) / 1e6, 3) AS minutes, count(*) AS paths FROM costed GROUP BY mode, period"))
+def pool_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vehicle minutes at generalised cost by mode and period."""
+    out = _costed(spark, sf_dir).groupBy("mode", "period").agg((F.sum(c("volume") * c("cost")) / routing.MICRO).alias("minutes"), F.count("*").alias("paths"))
+    return _round(out, 3, "minutes")

@@ -364,3 +364,44 @@ def link_bearing(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = nodes.select(c("node_id").alias("from_node_id"), c("x").alias("x1"), c("y").alias("y1"))
     q = nodes.select(c("node_id").alias("to_node_id"), c("x").alias("x2"), c("y").alias("y2"))
     return derive.links(spark, sf_dir).join(F.broadcast(p), "from_node_id").join(F.broadcast(q), "to_node_id").select("link_id", near(scalar.bearing_deg(c("x1"), c("y1"), c("x2"), c("y2")), 4).alias("bearing"))
+
+
+@query(net_od("SELECT round(min(volume), 4) AS cutoff FROM (SELECT o, sum(volume) AS volume FROM od WHERE o <> d GROUP BY o ORDER BY 2 DESC, o LIMIT 10)"))
+def origin_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The volume that the tenth largest origin sends."""
+    return rounded(dm.volume_cutoff(_demand(spark, sf_dir), 10), "cutoff", digits=4)
+
+
+@query("""SELECT c_mktsegment AS choice, CAST(c_nationkey % 3 AS BIGINT) AS alternative, round(sum(v), 4) AS volume, round(sum(v * (1 + c_nationkey % 3)), 4) AS trips, round(sum(v) / sum(sum(v)) OVER (PARTITION BY c_mktsegment), 6) AS share
+FROM (SELECT *, CAST(1 + c_custkey % 4 AS DOUBLE) AS v FROM customer) GROUP BY c_mktsegment, c_nationkey % 3""")
+def choice_set_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes, trips and shares of the alternatives in each choice set; chains have one to three trips."""
+    legs = (c("c_nationkey") % 3).cast("long")
+    chain = F.when(legs == 0, "1;2").when(legs == 1, "1;2;1").otherwise("1;2;3;1")
+    choices = derive.table(spark, sf_dir, "customer").select(c("c_mktsegment").alias("choice"), legs.alias("alternative"), chain.alias("zone_chain"), (1 + c("c_custkey") % 4).cast("double").alias("volume"))
+    return rounded(rounded(dm.alternatives(choices), "volume", "trips", digits=4), "share")
+
+
+@query(net(f"SELECT round(avg(m), 3) AS metres FROM (SELECT a.node_id, min({_AB}) AS m FROM node a JOIN node b ON a.node_id <> b.node_id WHERE a.node_id % 4 = 0 AND b.node_id % 4 = 0 GROUP BY a.node_id)"))
+def activity_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean distance to the nearest other among every fourth node."""
+    return rounded(generate.mean_nearest(generate.activity_nodes(derive.nodes(spark, sf_dir), 4)), "metres", digits=3)
+
+
+@query(net_probe(f"{_5MIN} SELECT link_id, period, minute // 60 AS hour, round(avg(CASE WHEN speed >= 1 THEN speed END), 4) AS speed FROM v GROUP BY ALL"))
+def speed_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = vdf.qvdf_profile(_qvdf(spark, sf_dir), ["link_id", "period"])
+    out = long.groupBy("link_id", "period", F.floor(c("minute") / 60).cast("int").alias("hour")).agg(F.avg(F.when(c("speed") >= 1, c("speed"))).alias("speed"))
+    return rounded(out, "speed", digits=4)
+
+
+@query(net(f"SELECT a.link_id, b.link_id AS next_link_id, round(((degrees(atan2(r.y - q.y, r.x - q.x)) - degrees(atan2(q.y - p.y, q.x - p.x)) + 900) % 360) - 180, 4) AS turn FROM link a JOIN link b ON a.to_node_id = b.from_node_id AND a.from_node_id <> b.to_node_id JOIN node p ON a.from_node_id = p.node_id JOIN node q ON a.to_node_id = q.node_id JOIN node r ON b.to_node_id = r.node_id"))
+def turn_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Movements from link to link, turning back left out, and by how much they turn."""
+    nodes = derive.nodes(spark, sf_dir)
+    p = nodes.select(c("node_id").alias("from_node_id"), c("x").alias("x1"), c("y").alias("y1"))
+    q = nodes.select(c("node_id").alias("to_node_id"), c("x").alias("x2"), c("y").alias("y2"))
+    aimed = derive.links(spark, sf_dir).join(F.broadcast(p), "from_node_id").join(F.broadcast(q), "to_node_id").select("link_id", "from_node_id", "to_node_id", scalar.bearing_deg(c("x1"), c("y1"), c("x2"), c("y2")).alias("b"))
+    nxt = aimed.select(c("link_id").alias("next_link_id"), c("from_node_id").alias("to_node_id"), c("to_node_id").alias("end"), c("b").alias("b2"))
+    met = aimed.join(nxt, "to_node_id").where("from_node_id <> end")
+    return met.select("link_id", "next_link_id", near(scalar.turn_deg(c("b"), c("b2")), 4).alias("turn"))

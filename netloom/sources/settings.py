@@ -65,6 +65,7 @@ class Settings:
     updates: int = 40
     gap_percent: float = 0.1
     odme: bool = False
+    odme_iterations: int = 50
     route_output: bool = True
     simulation: bool = False
     processors: int = 4
@@ -121,7 +122,7 @@ def parse(text: str) -> Settings:
     if any(m.dtm_type == "lane_closure" for m in managed) and not any(m.real_time_info_type for m in modes):
         raise ValueError("a lane closure needs a mode with real-time information")
     return Settings(
-        int(run.get("number_of_iterations", 20)), int(run.get("number_of_column_updating_iterations", 40)), float(run.get("UE_convergence_percentage", 0.1)), bool(int(run.get("odme_activate", 0))), bool(int(run.get("route_output", 1))), bool(int(run.get("simulation_output", 0))),
+        int(run.get("number_of_iterations", 20)), int(run.get("number_of_column_updating_iterations", 40)), float(run.get("UE_convergence_percentage", 0.1)), bool(int(run.get("odme_activate", 0))), int(run.get("number_of_odme_iterations", 50)), bool(int(run.get("route_output", 1))), bool(int(run.get("simulation_output", 0))),
         int((data.get("cpu") or {}).get("number_of_cpu_processors", run.get("number_of_cpu_processors", 4))), str(unit.get("length_unit", "meter")), str(unit.get("speed_unit", "kmph")), tuple(modes) or (Mode("auto"),), tuple(periods) or (Period("am", 1, 7.0, 8.0),),
         tuple(kinds), tuple(files), tuple(managed), {int(r["departure_time_profile_no"]): profile_slots(r) for r in data.get("departure_time_profile") or []},
         str(area.get("subarea_geometry", "")) if int(area.get("activate", 0)) == 1 else "", int(area.get("max_number_of_super_zones", 100)),
