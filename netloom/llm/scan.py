@@ -7,11 +7,18 @@ depend on content alone, never on the place, the batch or the process.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+# Where the C library can be told (glibc), arrays of a megabyte go back to the system once they are free, so that a worker
+# that has scanned a large batch does not stay large.
+if hasattr(_libc := ctypes.CDLL(None), "mallopt"):
+    _libc.mallopt(-3, 1 << 20)
+    _libc.mallopt(-1, 4 << 20)
+
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
 
@@ -67,6 +74,7 @@ def parts(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTE
             upto = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(at, upto - at)
             base, at = int(ends[upto - 1]), upto
+    pa.default_memory_pool().release_unused()
 
 
 def offsets_of(column: pa.Array) -> np.ndarray:

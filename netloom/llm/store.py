@@ -20,6 +20,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of texts that go to a Python worker at once at most.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch: the default of 10,000 whole texts is tens of megabytes in each of two processes."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 #: Shuffle partitions, which are sized for whole texts, that go into one file of a narrow table.
 NARROW = 8
 
@@ -30,6 +41,7 @@ def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     ``narrow``: its rows are a few numbers each, so it is written in an eighth of the files that texts would need.
     """
     spark = df.sparkSession
+    small_batches(spark)
     if narrow:
         df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // NARROW))
     path = f"{shared_folder(spark)}/netloom/{name}-{uuid.uuid4().hex}"
@@ -38,6 +50,7 @@ def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
