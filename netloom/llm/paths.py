@@ -89,12 +89,13 @@ def edges(docs: DataFrame, wanted: DataFrame, k: int = K) -> DataFrame:
 def repeated_spans(docs: DataFrame, k: int = K, gram: int = GRAM) -> DataFrame:
     """doc_id, text_key, start, end (words, end exclusive): spans of windows that also start in a smaller document.
 
+    What is joined back to many rows is written first, so that a hot minimizer's or path's rows can be split over tasks.
     A null doc_id counts as larger than all others. Repeats inside one document, or among rows with one doc_id, are none.
     """
     runs = store.written(paths(docs, k, gram), "paths")
-    shared = runs.groupBy("mini").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("low < high").select("mini", (F.col("c0") != F.col("c1")).alias("branches"))
+    shared = store.written(runs.groupBy("mini").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("low < high").select("mini", (F.col("c0") != F.col("c1")).alias("branches")), "shared-minimizers", narrow=True)
     met = store.written(runs.join(shared, "mini"), "shared-paths")
-    least = met.groupBy("mini", "content").agg(F.min("rank").alias("least"))
+    least = store.written(met.groupBy("mini", "content").agg(F.min("rank").alias("least")), "path-classes", narrow=True)
     placed = met.join(least, ["mini", "content"])
     whole = placed.where("rank > least").select(*KEY, F.col("at").alias("start"), (F.col("at") + F.col("n") + (k - 1)).alias("end"))
     single = store.written(edges(docs, placed.where("branches AND rank = least"), k), "edges")
