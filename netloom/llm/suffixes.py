@@ -5,7 +5,8 @@ strings with one minimizer are compared by hash first: a minimizer that comes on
 content are repeats of each other. What is left, runs of unlike content around one minimizer, may have single strings in
 common. Such strings agree on at least half of what surrounds the minimizer, on its left or its right, so these halves name
 the shards: all runs with one half go to one shard, whose suffix array and common prefixes say which of their strings
-start anywhere else. Only the bytes around such minimizers are ever sorted.
+start anywhere else. Only the bytes around such minimizers are ever sorted. Where more runs share a half than a task should
+take, their strings are compared by hashed keys instead.
 """ 
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ GRAM = 32
 KEY = ("doc_id", "text_key")
 #: Bytes that a shard gathers before it is sorted; runs with one half of a surrounding stay together.
 SHARD_BYTES = 1 << 20
+#: Runs of one half beyond which its strings are compared by key over all tasks, not in one shard.
+LARGE = 16_384
 #: Suffix tuples that queues hold in memory; the others are on disk.
 HELD = 1 << 22
 #: Names of a recursion that are sorted in memory.
@@ -407,6 +410,29 @@ def sorted_shards(texts: DataFrame, length: int, shard_bytes: int = SHARD_BYTES)
     return texts.repartition(tasks, "half").sortWithinPartitions("half").mapInArrow(run, "doc_id long, text_key long, start long, end long")
 
 
+def keyed_strings(texts: DataFrame, length: int) -> DataFrame:
+    """The same as ``sorted_shards`` for halves that very many runs have: strings are grouped by a hash, beside that of their half.
+
+    Counts are summed before they are shuffled, and the rows of a frequent string can be split over tasks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in scan.parts(batches, "content", 1 << 18):
+            data, offsets = scan.text_bytes(batch.column(5))
+            many = np.diff(offsets) - length + 1
+            owner = np.repeat(np.arange(batch.num_rows), many)
+            inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            start = offsets[owner] + inside
+            take = pa.array(owner)
+            at = batch.column(3).to_numpy()[owner] + inside
+            string = scan.signed(scan.span_hash(scan.prefix_sums(scan.BYTE_CODES[data]), start, start + length))
+            yield pa.record_batch([batch.column(0).take(take), pa.array(string), batch.column(1).take(take), batch.column(2).take(take), pa.array(at), batch.column(4).take(take)], names=["half", "string", "doc_id", "text_key", "start", "lone"])
+
+    strings = store.written(texts.mapInArrow(run, "half long, string long, doc_id long, text_key long, start long, lone boolean"), "strings")
+    again = store.written(strings.groupBy("half", "string").agg(F.count("*").alias("k")).where("k > 1").drop("k"), "repeated-strings", narrow=True)
+    return strings.where("lone").join(again, ["half", "string"]).select(*KEY, "start", (F.col("start") + length).alias("end"))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, text_key, start, end (bytes, end exclusive) of strings of ``length`` bytes that also start anywhere else."""
     found = store.written(runs(docs, length, gram), "runs")
@@ -423,8 +449,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     start = F.greatest(F.col("at"), pivot + 1)
     after = branching.where("right IS NOT NULL").select(F.col("right").alias("half"), *KEY, start.alias("at"), (last - start + 1).cast("int").alias("n"), "lone")
     halves = store.written(before.union(after).where("n > 0"), "halves")
-    several = halves.groupBy("half").agg(F.count("*").alias("k"), F.max("lone").alias("open")).where("k > 1 AND open").select("half")
-    return whole.union(sorted_shards(regions(docs, halves.join(several, "half"), length), length))
+    several = halves.groupBy("half").agg(F.count("*").alias("k"), F.max("lone").alias("open")).where("k > 1 AND open").select("half", (F.col("k") > LARGE).alias("large"))
+    several = store.written(several, "shared-halves", narrow=True)
+    spans = whole.union(sorted_shards(regions(docs, halves.join(several.where("NOT large"), "half"), length), length))
+    if not several.where("large").isEmpty():
+        spans = spans.union(keyed_strings(regions(docs, halves.join(several.where("large"), "half"), length), length))
+    return spans
 
 
 def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:

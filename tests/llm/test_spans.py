@@ -34,8 +34,9 @@ def test_word_spans(spark, k, gram):
     assert got == want
 
 
-@pytest.mark.parametrize("length, gram", [(400, 32), (24, 6)])
-def test_byte_spans(spark, length, gram):
+@pytest.mark.parametrize("length, gram, large", [(400, 32, 16_384), (24, 6, 16_384), (24, 6, 2), (24, 6, 0)])
+def test_byte_spans(spark, monkeypatch, length, gram, large):
+    monkeypatch.setattr(suffixes, "LARGE", large)
     data = cases.rows()
     seen = Counter(b[a : a + length] for _, t in data for b in [(t or "").encode()] for a in range(len(b) - length + 1))
     want = Counter()
