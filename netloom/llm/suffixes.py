@@ -71,7 +71,8 @@ class Queues:
 
     Induced sorting inserts tuples of one symbol in their final order, so each symbol has a first-in, first-out queue and the
     queue of the next symbol is the next to be served. Tuples beyond ``held`` in memory go to a file in runs, one
-    run of each symbol at a time, and come back when their symbol is served.
+    run of each symbol at a time, and come back when their symbol is served. The file is a task's own scratch, like Spark's
+    spills: it has no name, no other process reads it, and it is gone when the task ends.
     """
 
     def __init__(self, symbols: int, held: int) -> None:
