@@ -86,6 +86,48 @@ def run(i: Inputs, rounds: int = 20, updates: int = 40, gap_percent: float = 0.0
     return update(i, generate(i, rounds, lag), updates, gap_percent)
 
 
+def _open_costs(i: Inputs, pool: DataFrame, closed: DataFrame) -> DataFrame:
+    """Link costs with the pool's volumes; links of ``closed`` (link_id) are shut."""
+    shut = closed.select("link_id", F.lit(True).alias("_shut"))
+    costs = link_costs(i, pool).join(F.broadcast(shut), "link_id", "left")  # a scenario's short list
+    return costs.withColumn("cost", F.when(F.col("_shut"), -1).otherwise(F.col("cost"))).drop("_shut")
+
+
+def regenerate(i: Inputs, pool: DataFrame, closed: DataFrame, informed: list[str]) -> DataFrame:
+    """The pool with one more path, of no volume yet, for each cell of the informed modes: the best that uses no closed link."""
+    costs = _open_costs(i, pool, closed)
+    cells = i.demand.where(F.col("mode").isin(informed))
+    found = loading.all_or_nothing(cells, routing.network(costs))
+    keys = [*columns.CELL, "path"]
+    new = found.select(*columns.CELL, columns.path_key("link_seq").alias("path"), "link_seq", F.lit(0.0).alias("volume"))
+    return pool.select(*keys, "link_seq", "volume").unionByName(new).groupBy(*keys).agg(F.first("link_seq").alias("link_seq"), F.sum("volume").alias("volume"))
+
+
+#: Minutes that a closed link takes those who do not know of it.
+CLOSED_MIN = 1440.0
+#: Least share of a shift in a scenario.
+SCENARIO_STEP = 0.05
+
+
+def sensitivity(i: Inputs, pool: DataFrame, closed: DataFrame, informed: list[str], rounds: int = 20) -> Result:
+    """What closures change: informed modes get a way round and shift to it, the others stay on their paths.
+
+    Closed links take a day's minutes; each round shifts at least a twentieth.
+    """
+    if not informed:
+        raise ValueError("a closure needs a mode with real-time information")
+    pool = lineage.cut(regenerate(i, pool, closed, informed))
+    day = closed.select("link_id", F.lit(CLOSED_MIN).alias("_min"))
+    links = i.links.join(F.broadcast(day), "link_id", "left").withColumn("fftt", F.coalesce("_min", "fftt")).drop("_min")
+    shut = Inputs(links, i.modes, i.periods, i.demand, i.share)
+    gap = float("inf")
+    for n in range(rounds):
+        costed = columns.with_costs(pool, link_costs(shut, pool))
+        gap = columns.gap(costed).first()["gap_percent"]
+        pool = lineage.cut(columns.shift(costed, n - 1 if n else 0, SCENARIO_STEP, informed))
+    return Result(pool, _performance(shut, pool), gap)
+
+
 def link_based(i: Inputs, rounds: int) -> DataFrame:
     """link_id, period, volume by successive averages over links alone, without paths."""
     volume: DataFrame | None = None

@@ -67,6 +67,19 @@ def test_closures_and_diversion(spark):
     assert got["x"].diverted == pytest.approx(100 / (1 + np.exp(-2))) and got["x"].uninformed == 100 and got["y"].uninformed == 0
 
 
+def test_closures_move_the_informed_alone(spark):
+    i = corridors(spark, 1000)
+    pool = assignment.generate(i, 1)
+    assert flows(pool) == [1000]
+    closed = spark.createDataFrame([(32,)], "link_id long")
+    moved = assignment.sensitivity(i, pool, closed, ["auto"], 6)
+    assert flows(moved.pool)[1] > 900 and sum(flows(moved.pool)) == pytest.approx(1000)
+    still = assignment.sensitivity(i, pool, closed, ["other"], 2)
+    assert flows(still.pool) == [1000]
+    with pytest.raises(ValueError):
+        assignment.sensitivity(i, pool, closed, [])
+
+
 def random_network(rng, nodes=30, links=120):
     made = {}
     for _ in range(links):
