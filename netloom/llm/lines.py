@@ -73,7 +73,7 @@ def index(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> Data
     """Index entries of all lines; those of negative size only look up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in scan.parts(batches, "text", 1 << 19):
+        for batch in scan.parts(batches, "text"):
             _, start, end, _, sums = _long_lines(batch, 2, least)
             line, one = np.unique(scan.span_hash(sums, start, end), return_index=True)
             start, length = start[one], (end - start)[one]
@@ -184,11 +184,27 @@ def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "item long, content binary").dropDuplicates(["item"])
 
 
+def pair_marks(line: np.ndarray) -> np.ndarray:
+    """The parity of neighbouring pairs of bytes in each of 256 cells, as four words."""
+    pairs = line[:-1].astype(np.uint32) * np.uint32(0x9E3779B1) + line[1:].astype(np.uint32) * np.uint32(0x85EBCA77)
+    return np.packbits((np.bincount(pairs >> np.uint32(24), minlength=256) & 1).astype(np.uint8)).view(np.uint64)
+
+
 def close_lines(left: list, right: list, edits: int) -> np.ndarray:
-    """Whether at most ``edits`` edits part the lines of each pair; pairs of like lengths are compared together."""
-    x, y = ([np.frombuffer(v, np.uint8) for v in side] for side in (left, right))
-    order = np.argsort([len(v) for v in x], kind="stable")
-    good = np.zeros(len(order), bool)
+    """Whether at most ``edits`` edits part the lines of each pair; pairs of like lengths are compared together.
+
+    An edit takes away two pairs of neighbouring bytes and makes two at most, so it turns at most four cells of ``pair_marks``;
+    lines that differ in more cells than that allows are not compared further.
+    """
+    good = np.zeros(len(left), bool)
+    if not len(left):
+        return good
+    lines = {id(v): np.frombuffer(v, np.uint8) for side in (left, right) for v in side}
+    marks = {k: pair_marks(v) for k, v in lines.items()}
+    apart = np.stack([marks[id(v)] for v in left]) ^ np.stack([marks[id(v)] for v in right])
+    likely = np.flatnonzero(np.bitwise_count(apart).sum(axis=1) <= 4 * edits)
+    x, y = [lines[id(v)] for v in left], [lines[id(v)] for v in right]
+    order = likely[np.argsort([len(x[i]) for i in likely], kind="stable")]
     for at in range(0, len(order), 512):
         some = order[at : at + 512]
         good[some] = within([x[i] for i in some], [y[i] for i in some], edits)

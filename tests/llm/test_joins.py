@@ -76,6 +76,9 @@ def test_edit_distance_kernel():
                     y.pop(p) if rng.random() < 0.5 else y.__setitem__(p, 98)
             a.append(np.array(x, np.uint8))
             b.append(np.array(y, np.uint8))
+        full = [i for i in range(len(a)) if len(a[i]) and len(b[i])]
+        found = lines.close_lines([a[i].tobytes() for i in full], [b[i].tobytes() for i in full], edits)
+        assert found.tolist() == [lines._plain(a[i], b[i]) <= edits for i in full]
         want = [lines._plain(x, y) <= edits for x, y in zip(a, b)]
         assert lines.within(a, b, edits).tolist() == want
 
