@@ -20,7 +20,7 @@ if hasattr(_libc := ctypes.CDLL(None), "mallopt"):
     _libc.mallopt(-1, 4 << 20)
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)

@@ -31,14 +31,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, BATCH_ROWS)
 
 
-#: Shuffle partitions, which are sized for whole texts, that go into one file of a narrow table.
-NARROW = 8
+#: Shuffle partitions, which are sized for whole texts, that go into one file of a narrow table: files are few, as each costs
+#: its executor several processes where the shared folder is a plain file system.
+NARROW = 64
 
 
 def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again: a lost executor costs no recomputation.
 
-    ``narrow``: its rows are a few numbers each, so it is written in an eighth of the files that texts would need.
+    ``narrow``: its rows are a few numbers each, a hundredth of a text.
     """
     spark = df.sparkSession
     small_batches(spark)
