@@ -1,9 +1,11 @@
 """Near-duplicate lines by a segment-partition join under edit distance.
 
-A line is cut into EDITS + 1 segments; a line within EDITS edits of it has one of them unchanged, moved by no more than the
-edits before and after it allow. Each line indexes its segments under its length, and looks up the substrings that
-could be such a segment in lines of its own length or up to EDITS shorter. Lines that meet are compared by a banded
-bit-parallel edit distance, whole batches of pairs at a time. Lengths and distances are in UTF-8 bytes.
+Every line that is not blank is judged. Equal lines are grouped by their hash, whatever their length; how many edits may part
+unequal ones depends on the length of the shorter (EDITS). A line that allows e edits is cut into e + 1 segments; a line within
+e edits of it has one of them unchanged, moved by no more than the edits before and after it allow. Each line indexes its
+segments under its length, and looks up the substrings that could be such a segment in lines of its own length or shorter by
+as many edits as those allow. Lines that meet are compared by a banded bit-parallel edit distance, whole batches of pairs at a
+time. Lengths and distances are in UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ from pyspark.sql import functions as F
 
 from netloom.llm import pigeonhole, scan, store
 
-EDITS = 2
-#: Lines of fewer bytes are never duplicates.
-LEAST_BYTES = 40
+Steps = tuple[tuple[int, int], ...]
+#: (bytes, edits): from how many bytes of the shorter line on how many edits may part two lines, one in twenty bytes. Shorter
+#: lines must be equal: their segments would be of a few bytes, and an edit makes another word of them.
+EDITS: Steps = ((1, 0), (20, 1), (40, 2))
 KEY = ("doc_id", "text_key")
 #: Lines that are fetched by a broadcast of their places at most; more are fetched by a shuffle of the texts.
 BROADCAST_ROWS = 200_000
@@ -31,21 +34,34 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
 
-def _long_lines(batch: pa.RecordBatch, column: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, start, end, text of each line of at least ``least`` bytes, prefix sums of the bytes' codes)."""
+def steps_of(edits: int | Steps, least: int) -> Steps:
+    """``edits`` by length; a number allows as many from ``least`` bytes on."""
+    return ((least, edits),) if isinstance(edits, int) else edits
+
+
+def allowed(length: np.ndarray, steps: Steps) -> np.ndarray:
+    """Edits that may part a line of each length from a longer one."""
+    at = np.searchsorted([n for n, _ in steps], length, "right")
+    return np.array([0, *(e for _, e in steps)])[at]
+
+
+def _judged_lines(batch: pa.RecordBatch, column: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end, text of each line of at least ``least`` bytes that is not blank, prefix sums of the bytes' codes)."""
     data, offsets = scan.text_bytes(batch.column(column))
     start, end, first = scan.word_spans(data, offsets, _BREAK)
     owner = np.repeat(np.arange(batch.num_rows), np.diff(first))
     keep = end - start >= least
+    if len(start):
+        keep &= np.logical_or.reduceat(scan.NOT_SPACE[data], start)
     return data, start[keep], end[keep], owner[keep], scan.prefix_sums(scan.BYTE_CODES[data])
 
 
-def places(docs: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """Every line of at least ``least`` bytes: line (hash), doc_id, text_key, start, size (bytes in its text)."""
+def places(docs: DataFrame, least: int = 1) -> DataFrame:
+    """Every line of at least ``least`` bytes that is not blank: line (hash), doc_id, text_key, start, size (bytes in its text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in scan.parts(batches, "text"):
-            _, start, end, owner, sums = _long_lines(batch, 2, least)
+            _, start, end, owner, sums = _judged_lines(batch, 2, least)
             base = scan.offsets_of(batch.column(2))[owner]
             take = pa.array(owner)
             yield pa.record_batch(
@@ -69,30 +85,33 @@ def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-def index(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> DataFrame:
-    """Index entries of all lines; those of negative size only look up."""
+def index(docs: DataFrame, edits: int | Steps = EDITS, least: int = 1) -> DataFrame:
+    """Index entries of all lines that an edit may part from others; those of negative size only look up."""
+    steps = steps_of(edits, least)
+    near = max(least, min((n for n, e in steps if e), default=1 << 62))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in scan.parts(batches, "text"):
-            _, start, end, _, sums = _long_lines(batch, 2, least)
+            _, start, end, _, sums = _judged_lines(batch, 2, near)
             line, one = np.unique(scan.span_hash(sums, start, end), return_index=True)
             start, length = start[one], (end - start)[one]
-            for shorter in range(edits + 1):
-                of = length - shorter
-                ok = of >= least
-                for i, (at, size) in enumerate(segments(of, edits)):
-                    low = np.maximum(at - i, at + shorter - (edits - i))
-                    high = np.minimum(at + i, at + shorter + (edits - i))
-                    for move in range(-edits, 2 * edits + 1):
-                        place = at + move
-                        fits = ok & (place >= np.maximum(low, 0)) & (place <= high) & (place + size <= length)
-                        if not fits.any():
-                            continue
-                        begin = start[fits] + place[fits]
-                        name = (of[fits].astype(np.uint64) << np.uint64(8)) | np.uint64(i)
-                        code = scan.mix(scan.span_hash(sums, begin, begin + size[fits]) ^ scan.mix(name))
-                        own = 1 if shorter == 0 and move == 0 else -1
-                        yield pigeonhole.entries(code, line[fits], own * length[fits])
+            for most in sorted({e for _, e in steps if e}):
+                for shorter in range(most + 1):
+                    of = length - shorter
+                    ok = (of >= near) & (allowed(of, steps) == most)
+                    for i, (at, size) in enumerate(segments(of, most)):
+                        low = np.maximum(at - i, at + shorter - (most - i))
+                        high = np.minimum(at + i, at + shorter + (most - i))
+                        for move in range(-most, 2 * most + 1):
+                            place = at + move
+                            fits = ok & (place >= np.maximum(low, 0)) & (place <= high) & (place + size <= length)
+                            if not fits.any():
+                                continue
+                            begin = start[fits] + place[fits]
+                            name = (of[fits].astype(np.uint64) << np.uint64(8)) | np.uint64(i)
+                            code = scan.mix(scan.span_hash(sums, begin, begin + size[fits]) ^ scan.mix(name))
+                            own = 1 if shorter == 0 and move == 0 else -1
+                            yield pigeonhole.entries(code, line[fits], own * length[fits])
 
     return keyed(docs).mapInArrow(run, pigeonhole.ENTRY)
 
@@ -211,12 +230,24 @@ def close_lines(left: list, right: list, edits: int) -> np.ndarray:
     return good
 
 
-def repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> DataFrame:
+def linked_lines(left: list, right: list, steps: Steps) -> np.ndarray:
+    """Whether no more edits part the lines of each pair than the shorter one allows."""
+    good = np.zeros(len(left), bool)
+    most = allowed(np.array([min(len(x), len(y)) for x, y in zip(left, right, strict=True)], np.int64), steps)
+    for edits in np.unique(most):
+        some = np.flatnonzero(most == edits)
+        good[some] = close_lines([left[i] for i in some], [right[i] for i in some], int(edits))
+    return good
+
+
+def repeats(docs: DataFrame, edits: int | Steps = EDITS, least: int = 1) -> DataFrame:
     """doc_id, text_key, start, size of each line that is not the first of its class.
 
-    Lines of at least ``least`` bytes are linked when at most ``edits`` edits part them; a class is what links reach. Its first
-    line is the one in the least doc_id (nulls last), then the earliest in its text.
+    Lines of at least ``least`` bytes that are not blank are linked when they are equal or no more edits part them than ``edits``
+    allows the shorter one; a class is what links reach. Its first line is the one in the least doc_id (nulls last), then the
+    earliest in its text.
     """
+    steps = steps_of(edits, least)
     at = store.written(places(docs, least), "line-places")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"), F.col("start"))
     lines = store.written(at.groupBy("line").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.min("size").alias("size")), "line-classes")
@@ -224,9 +255,9 @@ def repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> Da
 
     near = pigeonhole.roots(
         index(docs, edits, least),
-        lambda x, y: np.abs(x - y) <= edits,
+        lambda x, y: np.abs(x - y) <= allowed(np.minimum(x, y), steps),
         lambda items: fetched(docs, one_each.join(items.withColumnRenamed("item", "line"), "line")),
-        lambda x, y: close_lines(x, y, edits),
+        lambda x, y: linked_lines(x, y, steps),
     )
     tied = near.select("node", "root").union(near.select(F.col("root").alias("node"), "root")).distinct()
     classed = lines.join(tied.withColumnRenamed("node", "line"), "line", "left").where("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "line"))
@@ -267,10 +298,10 @@ def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"doc_id long, n_lines long, n_removed long, cut string, row {kind}")
 
 
-def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, edits: int | Steps = EDITS, least: int = 1) -> DataFrame:
     """doc_id, n_lines, n_removed, cut, row for each row of ``docs``: what stays of its text, and all its columns as they were.
 
-    Of each class of lines (see ``repeats``) the first stays, whole; shorter lines and blank lines all stay. Null text stays null
+    Of each class of lines (see ``repeats``) the first stays, whole; lines under ``least`` bytes and blank lines all stay. Null text stays null
     and has no lines, nor has empty text. Rows that repeat are cut alike.
     """
     return without(docs, repeats(docs, edits, least))

@@ -123,6 +123,37 @@ def test_line_dedup(spark, monkeypatch, edits, least, small):
             assert r.cut == r.row.text
 
 
+def test_short_lines_are_judged(spark):
+    a, b = "a line of some thirty bytes ok", "a line that is longer than forty bytes, so two"
+    data = [(1, f"Of.\n{a}\n{b}\n  \n"), (2, f"On.\n{a[:-2]}OK\n{b[:-3]}six\nOf."), (3, f"{a[:-1]}x\n  \n\nOf.\n{b[:-3]}too\nOn"), (4, f"Of.\n{a}\n{b}\n  \n"), (None, "Of.\n\u00e9\n\u00e9\n\t")]
+    got = {r.doc_id: r.cut for r in lines.dedup(cases.frame(spark, data)).collect()}
+    assert got == {1: data[0][1], 2: f"On.\n{a[:-2]}OK\n{b[:-3]}six\n", 3: "  \n\nOn", 4: "  \n", None: "\u00e9\n\t"}
+
+
+def test_lines_of_graded_distance_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    names = []
+    for length in (1, 2, 3, 10, 18, 19, 20, 21, 22, 38, 39, 40, 41, 42, 60):
+        base = rng.integers(97, 123, length)
+        for _ in range(8):
+            x = list(base)
+            for _ in range(rng.integers(0, 4)):
+                p = int(rng.integers(0, len(x))) if x else 0
+                x[p : p + int(rng.integers(0, 2))] = [97] * int(rng.integers(0, 2))
+            names.append(bytes(np.array(x, np.uint8)))
+    data = [(i, x.decode()) for i, x in enumerate(names)]
+    least = Classes((k, k) for k in range(len(names)))
+    for i, x in enumerate(names):
+        for j, y in enumerate(names[:i]):
+            short = min(len(x), len(y))
+            edits = 2 if short >= 40 else 1 if short >= 20 else 0
+            if short and lines._plain(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= edits:
+                least.join(i, j)
+    want = {i for i, x in enumerate(names) if x and least.find(i) != i}
+    assert len(want) > 20
+    assert {r.doc_id for r in lines.dedup(cases.frame(spark, data)).collect() if r.n_removed} == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 60), (60, 50), (60, 70), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in components.roots(links).collect()}
