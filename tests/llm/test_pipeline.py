@@ -63,3 +63,18 @@ def test_near_duplicates_keep_the_least_of_each_group(spark, folder):
     docs = store.documents(spark, path)
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, path).collect()}
     assert 0 in kept and 501 not in kept and {503, 504} <= kept
+
+
+def test_a_copy_with_short_lines_goes(spark, folder, tmp_path):
+    path, texts = folder
+    turned = "\n".join(" ".join(x.split()[::-1]) for x in texts[0].split("\n"))
+    mixed = "Short head.\n" + turned + "\n\nThe end."
+    docs = spark.createDataFrame([(1, mixed, "en", "s", len(mixed)), (2, mixed, "en", "s", len(mixed)), (3, texts[3], "en", "s", 0)], store.documents(spark, path).schema)
+    out = corpus_pipeline.drop_lines(spark, docs, path)
+    assert {r.doc_id for r in out.collect()} == {1, 3}
+    copies = docs.where("doc_id < 3").selectExpr("doc_id + 600 AS doc_id", "text", "lang", "source", "n_chars")
+    store.documents(spark, path).union(copies).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{path}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    packed = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert 601 in packed and 602 not in packed
