@@ -1,7 +1,7 @@
 """Near-duplicate lines by a segment-partition join under edit distance.
 
-Every line that is not blank is judged. Equal lines are grouped by their hash, whatever their length; how many edits may part
-unequal ones depends on the length of the shorter (EDITS). A line that allows e edits is cut into e + 1 segments; a line within
+Every line that is not blank is judged. Equal lines are grouped by a cryptographic digest, whatever their length, whose first half
+is the line's name; that no two lines of the data have one name is checked. How many edits may part unequal ones depends on the length of the shorter (EDITS). A line that allows e edits is cut into e + 1 segments; a line within
 e edits of it has one of them unchanged, moved by no more than the edits before and after it allow. Each line indexes its
 segments under its length, and looks up the substrings that could be such a segment in lines of its own length or shorter by
 as many edits as those allow. Lines that meet are compared by a banded bit-parallel edit distance, whole batches of pairs at a
@@ -10,6 +10,7 @@ time. Lengths and distances are in UTF-8 bytes.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ Steps = tuple[tuple[int, int], ...]
 #: lines must be equal: their segments would be of a few bytes, and an edit makes another word of them.
 EDITS: Steps = ((1, 0), (20, 1), (40, 2))
 KEY = ("doc_id", "text_key")
-#: Lines that are fetched by a broadcast of their places at most; more are fetched by a shuffle of the texts.
-BROADCAST_ROWS = 200_000
+#: Bytes of text whose index entries are made at once: arrays are of a word a line, so more texts are taken than elsewhere.
+INDEX_BYTES = 1 << 19
 _BREAK = ~scan.lut(0x0A)
 
 
@@ -45,31 +46,32 @@ def allowed(length: np.ndarray, steps: Steps) -> np.ndarray:
     return np.array([0, *(e for _, e in steps)])[at]
 
 
-def _judged_lines(batch: pa.RecordBatch, column: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, start, end, text of each line of at least ``least`` bytes that is not blank, prefix sums of the bytes' codes)."""
+def _judged_lines(batch: pa.RecordBatch, column: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end, text of each line of at least ``least`` bytes that is not blank)."""
     data, offsets = scan.text_bytes(batch.column(column))
     start, end, first = scan.word_spans(data, offsets, _BREAK)
     owner = np.repeat(np.arange(batch.num_rows), np.diff(first))
     keep = end - start >= least
     if len(start):
         keep &= np.logical_or.reduceat(scan.NOT_SPACE[data], start)
-    return data, start[keep], end[keep], owner[keep], scan.prefix_sums(scan.BYTE_CODES[data])
+    return data, start[keep], end[keep], owner[keep]
 
 
-def places(docs: DataFrame, least: int = 1) -> DataFrame:
-    """Every line of at least ``least`` bytes that is not blank: line (hash), doc_id, text_key, start, size (bytes in its text)."""
+def places(docs: DataFrame, least: int = 1, salt: int = 0) -> DataFrame:
+    """Every line of at least ``least`` bytes that is not blank: line and check (halves of its digest), doc_id, text_key, start, size (bytes in its text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in scan.parts(batches, "text"):
-            _, start, end, owner, sums = _judged_lines(batch, 2, least)
+            data, start, end, owner = _judged_lines(batch, 2, least)
             base = scan.offsets_of(batch.column(2))[owner]
             take = pa.array(owner)
+            line, check = scan.digests(data.data, start, end, salt)
             yield pa.record_batch(
-                [pa.array(scan.signed(scan.span_hash(sums, start, end))), batch.column(0).take(take), batch.column(1).take(take), pa.array(start - base), pa.array((end - start).astype(np.int32))],
-                names=["line", "doc_id", "text_key", "start", "size"],
+                [pa.array(line), pa.array(check), batch.column(0).take(take), batch.column(1).take(take), pa.array(start - base), pa.array((end - start).astype(np.int32))],
+                names=["line", "check", "doc_id", "text_key", "start", "size"],
             )
 
-    return keyed(docs).mapInArrow(run, "line long, doc_id long, text_key long, start long, size int")
+    return keyed(docs).mapInArrow(run, "line long, check long, doc_id long, text_key long, start long, size int")
 
 
 def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -85,15 +87,17 @@ def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-def index(docs: DataFrame, edits: int | Steps = EDITS, least: int = 1) -> DataFrame:
-    """Index entries of all lines that an edit may part from others; those of negative size only look up."""
+def index(docs: DataFrame, edits: int | Steps = EDITS, least: int = 1, salt: int = 0) -> DataFrame:
+    """Index entries of all lines that an edit may part from others; those of negative size only look up. Segments are proposed by a cheap hash."""
     steps = steps_of(edits, least)
     near = max(least, min((n for n, e in steps if e), default=1 << 62))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in scan.parts(batches, "text"):
-            _, start, end, _, sums = _judged_lines(batch, 2, near)
-            line, one = np.unique(scan.span_hash(sums, start, end), return_index=True)
+        for batch in scan.parts(batches, "text", INDEX_BYTES):
+            data, start, end, _ = _judged_lines(batch, 2, near)
+            sums = scan.prefix_sums(scan.BYTE_CODES[data])
+            line, one = np.unique(scan.digests(data.data, start, end, salt)[0], return_index=True)
+            line = line.view(np.uint64)
             start, length = start[one], (end - start)[one]
             for most in sorted({e for _, e in steps if e}):
                 for shorter in range(most + 1):
@@ -185,11 +189,8 @@ def _plain(a: np.ndarray, b: np.ndarray) -> int:
 
 def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """item, content for the wanted places (line, doc_id, text_key, start, size), one of each line."""
-    by_doc = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("line", "start", "size")).alias("found"))
-    by_doc = store.written(by_doc, "wanted")
-    total = by_doc.agg(F.sum(F.size("found"))).first()[0] or 0
-    few = F.broadcast(by_doc.alias("w")) if total <= BROADCAST_ROWS else by_doc.alias("w").hint("shuffle_hash")
-    joined = keyed(docs).alias("d").join(few, F.expr("d.doc_id <=> w.doc_id AND d.text_key = w.text_key")).select("d.text", "w.found")
+    by_doc = store.written(wanted.groupBy(*KEY).agg(F.collect_list(F.struct("line", "start", "size")).alias("found")), "wanted")
+    joined = store.beside(keyed(docs), by_doc, "found").select("text", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in scan.parts(batches, "text"):
@@ -248,13 +249,17 @@ def repeats(docs: DataFrame, edits: int | Steps = EDITS, least: int = 1) -> Data
     earliest in its text.
     """
     steps = steps_of(edits, least)
-    at = store.written(places(docs, least), "line-places")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"), F.col("start"))
-    lines = store.written(at.groupBy("line").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.min("size").alias("size")), "line-classes")
+    for salt in itertools.count():
+        at = store.written(places(docs, least, salt), "line-places")
+        lines = store.written(at.groupBy("line").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.min("size").alias("size"), (F.min("check") != F.max("check")).alias("clash")), "line-classes")
+        if lines.where("clash").isEmpty():
+            break
+        store.drop(at, lines)
     one_each = lines.select("line", "first.doc_id", "first.text_key", "first.start", "size")
 
     near = pigeonhole.roots(
-        index(docs, edits, least),
+        index(docs, edits, least, salt),
         lambda x, y: np.abs(x - y) <= allowed(np.minimum(x, y), steps),
         lambda items: fetched(docs, one_each.join(items.withColumnRenamed("item", "line"), "line")),
         lambda x, y: linked_lines(x, y, steps),

@@ -1,26 +1,36 @@
 """Whole-batch text scanning with numpy, for functions run by ``mapInArrow``.
 
 Strings are looked at as UTF-8 bytes in Arrow's own buffers, so a batch of documents costs a few array passes and no
-Python object per word. Hashes are polynomials modulo 2**64 over random 64-bit codes, finished by a bijective mix; they
-depend on content alone, never on the place, the batch or the process.
+Python object per word. Hashes depend on content alone, never on the place, the batch or the process, and there are two kinds:
+
+* ``prefix_sums`` and ``span_hash``, polynomials modulo 2**64, are cheap, and unlike strings that are made to (Thue-Morse ones)
+  share a hash whatever the base. They may only propose: what they join is compared by content before it counts.
+* ``Spans``, polynomials over random codes modulo the prime 2**31 - 1 in two bases, have no such strings; two unlike spans
+  of n symbols share a hash with a probability of (n / 2**31)**2 at most over the choice of the bases.
+
+``digests`` (128 bits, cryptographic) stand for content where it decides what goes.
 """
 
 from __future__ import annotations
 
 import ctypes
+import functools
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
-# Where the C library can be told (glibc), arrays of a megabyte go back to the system once they are free, so that a worker
-# that has scanned a large batch does not stay large.
+# Where the C library can be told (glibc), arrays of up to 8 MB come from memory that the worker keeps, since fresh pages cost
+# more than the arithmetic on them; larger ones go back to the system once they are free, and so does what is over 16 MB at
+# the end of the heap, so that a worker that has scanned a large batch does not stay large.
 if hasattr(_libc := ctypes.CDLL(None), "mallopt"):
-    _libc.mallopt(-3, 1 << 20)
-    _libc.mallopt(-1, 4 << 20)
+    _libc.mallopt(-3, 8 << 20)
+    _libc.mallopt(-1, 16 << 20)
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 18
+#: Bytes of text that are scanned at once: arrays of a word a byte stay in a core's cache.
+CHUNK_BYTES = 1 << 17
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -58,11 +68,77 @@ def prefix_sums(codes: np.ndarray) -> np.ndarray:
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each span of the sequence that ``sums`` was made of; equal content gives equal hashes."""
+    """A hash of each span of the sequence that ``sums`` was made of; equal content gives equal hashes, and unlike content may too."""
     raw = (sums[ends] - sums[starts]) * _power(_INVERSE, len(sums))[starts]
     return mix(raw + (ends - starts).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
 
+_PRIME = U64(2**31 - 1)
+_lanes: dict[int, np.ndarray] = {}
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A number below 2**33 congruent to x modulo 2**31 - 1."""
+    out = x >> U64(31)
+    out += x & _PRIME
+    return out
+
+
+def _lane_power(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**31 - 1; kept and grown between calls."""
+    have = _lanes.get(base, np.ones(1, np.uint64))
+    while len(have) < n:
+        step = U64(pow(base, len(have), 2**31 - 1))
+        have = np.concatenate((have, have * step % _PRIME))
+    _lanes[base] = have
+    return have[:n]
+
+
+@functools.cache
+def _lane(lane: int, salt: int) -> tuple[int, np.ndarray]:
+    """(base, codes of bytes) of a lane, random by its number and ``salt``."""
+    rng = np.random.Generator(np.random.PCG64([20240229, lane, salt]))
+    return int(rng.integers(2**20, 2**31 - 2)), rng.integers(1, 2**31 - 1, 256, dtype=np.uint64)
+
+
+class Spans:
+    """Hashes of spans of one sequence: of bytes, or of 64-bit symbols such as the hashes of words. Another salt, other hashes."""
+
+    def __init__(self, symbols: np.ndarray, salt: int = 0) -> None:
+        n = len(symbols)
+        self.lanes = []
+        for lane in range(2):
+            base, codes = _lane(lane, salt)
+            if symbols.dtype == np.uint8:
+                codes = codes[symbols]
+            else:
+                codes = mix(symbols + U64(2 * salt + lane + 1)) >> U64(33)
+            codes = _fold(codes * _lane_power(base, n))
+            sums = np.empty(n + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(codes, out=sums[1:])  # below 2**33 each, so whole for 2**31 symbols
+            self.lanes.append((sums, pow(base, -1, 2**31 - 1)))
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each span."""
+        out = None
+        for sums, inverse in self.lanes:
+            raw = _fold(_fold(sums[ends] - sums[starts]))
+            raw *= _lane_power(inverse, len(sums))[starts]
+            raw = _fold(_fold(raw))
+            raw -= np.where(raw >= _PRIME, _PRIME, U64(0))
+            out = raw if out is None else (out << U64(31)) | raw
+        return mix(out + (ends - starts).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+
+
+def digests(raw: bytes | memoryview, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of a 128-bit cryptographic digest of each span of bytes, as signed words."""
+    key = salt.to_bytes(8, "little")
+    joined = b"".join([blake2b(raw[a:b], digest_size=16, salt=key).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    both = np.frombuffer(joined, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def parts(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most`` bytes of text; one longer text is a slice of its own."""
     for batch in batches:

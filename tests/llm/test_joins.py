@@ -40,8 +40,19 @@ def test_jaccard_classes(spark, monkeypatch, n, percent, small, block):
         if i is not None:
             ids[least.find(k)] = min(ids.get(least.find(k), i), i)
     want = sorted((str(i), len(sets[k]), str(ids.get(least.find(k)) if sets[k] else i)) for k, (i, _) in enumerate(data))
-    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.classes(cases.frame(spark, data), n, percent).collect())
-    assert got == want
+    largest, segments, _ = jaccard.bands(percent, 6000)
+    rng = np.random.default_rng(n)
+    swaps = [(b, int(x), v) for b, m in enumerate(segments) for half in [rng.permutation(m)] for k in range(m // 3) for x, v in ((half[2 * k], 0), (half[2 * k + 1], 2))]
+    for allocation in (None, tuple(swaps)):
+        got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.classes(cases.frame(spark, data), n, percent, allocation).collect())
+        assert got == want
+
+
+def test_costs_move_values_to_deletions(spark):
+    rows = [(0, s, 10, 60, [1000 if s < 2 else 3] * jaccard.SIGNS) for s in range(9)]
+    told = spark.createDataFrame(rows, "band int, segment int, entries long, elements long, signs array<long>")
+    assert jaccard.allocated(told) == ((0, 0, 0), (0, 1, 0), (0, 7, 2), (0, 8, 2))
+    assert jaccard.allocated(told.where("segment > 1")) == ()
 
 
 def test_bands_cover_all_similar_sizes():
