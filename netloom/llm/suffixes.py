@@ -25,13 +25,17 @@ LENGTH = 400
 GRAM = 32
 KEY = ("doc_id", "text_key")
 #: Bytes that a shard gathers before it is sorted; runs with one half of a surrounding stay together.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 22
+#: Bytes of text that are cut into runs at once.
+RUN_BYTES = 1 << 16
 #: Runs of one half beyond which its strings are compared by key over all tasks, not in one shard.
 LARGE = 16_384
 #: Suffix tuples that queues hold in memory; the others are on disk.
-HELD = 1 << 22
+HELD = 1 << 20
+#: Bytes of an array beyond which it is on disk.
+MAPPED = 1 << 22
 #: Names of a recursion that are sorted in memory.
-DIRECT = 1 << 21
+DIRECT = 1 << 20
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -39,13 +43,13 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Runs of strings of ``length`` bytes with one minimizer: mini, content (hashes), doc_id, text_key, at, n (strings), mid.
+    """Runs of strings of ``length`` bytes with one minimizer: mini (hash), content, check (halves of a digest), doc_id, text_key, at, n (strings), mid.
 
-    ``left`` and ``right``: hashes of the minimizer at ``mid`` with the bytes before or after it that half of a string could have.
+    ``left`` and ``right``: hashes, which only propose, of the minimizer at ``mid`` with the bytes before or after it that half of a string could have.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in scan.parts(batches, "text"):
+        for batch in scan.parts(batches, "text", RUN_BYTES):
             data, offsets = scan.text_bytes(batch.column(2))
             sums = scan.prefix_sums(scan.BYTE_CODES[data])
             at = np.arange(max(len(data) - gram + 1, 0))
@@ -58,12 +62,13 @@ def runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
             before, after = mini - side, mini + gram + side
             left = np.where(before >= offsets[owner], scan.span_hash(sums, np.maximum(before, 0), mini + gram), np.uint64(0))
             right = np.where(after <= offsets[owner + 1], scan.span_hash(sums, mini, np.minimum(after, len(data))), np.uint64(0))
+            content, check = scan.digests(data.data, start, start + n + length - 1)
             yield pa.record_batch(
-                [pa.array(scan.signed(grams[mini])), pa.array(scan.signed(scan.span_hash(sums, start, start + n + length - 1))), batch.column(0).take(take), batch.column(1).take(take), pa.array(start - offsets[owner]), pa.array(n.astype(np.int32)), pa.array(mini - offsets[owner]), pa.array(scan.signed(left), mask=left == 0), pa.array(scan.signed(right), mask=right == 0)],
-                names=["mini", "content", "doc_id", "text_key", "at", "n", "mid", "left", "right"],
+                [pa.array(scan.signed(grams[mini])), pa.array(content), pa.array(check), batch.column(0).take(take), batch.column(1).take(take), pa.array(start - offsets[owner]), pa.array(n.astype(np.int32)), pa.array(mini - offsets[owner]), pa.array(scan.signed(left), mask=left == 0), pa.array(scan.signed(right), mask=right == 0)],
+                names=["mini", "content", "check", "doc_id", "text_key", "at", "n", "mid", "left", "right"],
             )
 
-    return keyed(docs).mapInArrow(run, "mini long, content long, doc_id long, text_key long, at long, n int, mid long, left long, right long")
+    return keyed(docs).mapInArrow(run, "mini long, content long, check long, doc_id long, text_key long, at long, n int, mid long, left long, right long")
 
 
 class Queues:
@@ -118,16 +123,35 @@ class Queues:
             self.file.close()
 
 
-def suffix_types(text: np.ndarray) -> np.ndarray:
-    """True where a suffix is less than the next one (type S). The last symbol is the least and occurs once."""
+class Scratch:
+    """Arrays of over MAPPED bytes are kept in a nameless file, a task's own scratch like Spark's spills, and mapped from there."""
+
+    def __init__(self) -> None:
+        self.file, self.end = None, 0
+
+    def keep(self, array: np.ndarray) -> np.ndarray:
+        if array.nbytes <= MAPPED:
+            return array
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        self.file.seek(self.end)
+        self.file.write(np.ascontiguousarray(array).data)
+        self.file.flush()
+        self.end += array.nbytes
+        return np.memmap(self.file, array.dtype, "r+", self.end - array.nbytes, array.shape)
+
+
+def suffix_types(text: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """True where a suffix is less than the next one (type S), block by block from the end. The last symbol is the least and occurs once."""
     n = len(text)
     up = np.zeros(n, bool)
     up[-1] = True
-    if n > 1:
-        differs = text[:-1] != text[1:]
-        index = np.where(differs, np.arange(n - 1), n)
-        ahead = np.minimum.accumulate(index[::-1])[::-1]  # the last symbol differs from the one before
-        up[:-1] = text[ahead] < text[ahead + 1]
+    for a in range((n - 2) // block * block, -1, -block):
+        b = min(a + block, n - 1)
+        differs = text[a:b] != text[a + 1 : b + 1]
+        index = np.where(differs, np.arange(a, b), b)
+        ahead = np.minimum.accumulate(index[::-1])[::-1]  # the next symbol that differs from the one after it
+        up[a:b] = np.where(ahead == b, up[b], text[np.minimum(ahead, n - 2)] < text[np.minimum(ahead, n - 2) + 1])
     return up
 
 
@@ -135,15 +159,15 @@ def _substring_names(text: np.ndarray, up: np.ndarray, lms: np.ndarray) -> np.nd
     """Ascending names of the substrings between neighbouring LMS places, by their symbols and types; equal ones share a name."""
     length = np.diff(np.append(lms, len(text) - 1)) + 1
     length[-1] = 1
-    code = text.astype(np.uint64) * np.uint64(2) + up.astype(np.uint64) + np.uint64(1)
-    bits = int(code.max()).bit_length()
+    bits = int(2 * int(text.max()) + 2).bit_length()
     fit = 63 // bits
-    padded = np.concatenate((code, np.zeros(fit, np.uint64)))
+    end = len(text) - 1
 
     def word(which: np.ndarray, k: int) -> np.ndarray:
         out = np.zeros(len(which), np.uint64)
         for j in range(k * fit, (k + 1) * fit):
-            out = (out << np.uint64(bits)) | np.where(j < length[which], padded[np.minimum(lms[which] + j, len(text))], np.uint64(0))
+            at = np.minimum(lms[which] + j, end)
+            out = (out << np.uint64(bits)) | np.where(j < length[which], text[at].astype(np.uint64) * np.uint64(2) + up[at] + np.uint64(1), np.uint64(0))
         return out
 
     everything = np.arange(len(lms))
@@ -194,16 +218,16 @@ def _doubled(names: np.ndarray) -> np.ndarray:
 
 
 def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Length of the common prefix of the suffixes at a and b, up to ``most``."""
+    """Length of the common prefix of the suffixes at a and b, up to ``most``. The last symbol is in one of them alone, so they part before its end."""
     out = np.zeros(len(a), np.int64)
-    padded = np.concatenate((text, np.zeros(most + 8, text.dtype)))
+    end = len(text) - 1
     live = np.arange(len(a))
     step, at = 8, 0
     while len(live) and at < most:
         same = np.ones(len(live), bool)
         run = np.zeros(len(live), np.int64)
         for j in range(at, min(at + step, most)):
-            same &= padded[a[live] + j] == padded[b[live] + j]
+            same &= text[np.minimum(a[live] + j, end)] == text[np.minimum(b[live] + j, end)]
             run += same
         out[live] += run
         live = live[same]
@@ -241,42 +265,55 @@ class _Induction:
         """Sources in order; common[i] is what source i shares with the source before it."""
         keep = np.flatnonzero(place > 0)
         keep = keep[self.wanted[place[keep] - 1]]
-        if len(keep):
-            before = place[keep] - 1
-            symbol = self.text[before]
-            order = np.argsort(symbol, kind="stable")
-            index, symbol, before = keep[order], symbol[order], before[order]
-            first = np.concatenate(([True], symbol[1:] != symbol[:-1]))
+        if not len(keep):
+            if self.most and len(common):
+                np.minimum(self.since, common.min(), out=self.since)
+            return
+        before = place[keep] - 1
+        symbol = self.text[before]
+        order = np.argsort(symbol, kind="stable")
+        index, symbol, before = keep[order], symbol[order], before[order]
+        first = np.concatenate(([True], symbol[1:] != symbol[:-1]))
+        edge = np.flatnonzero(np.append(first, True)).tolist()
+        shared = np.zeros(len(index), np.int64)
+        if self.most:
             lo = np.where(first, 0, np.concatenate(([0], index[:-1] + 1)))
             least = _range_min(common)
             shared = least(lo, index + 1)
             shared = np.where(first, np.minimum(shared, self.since[symbol]), shared)
             shared = np.minimum(shared + 1, self.most)
-            edge = np.flatnonzero(np.append(first, True))
-            np.minimum(self.since, common.min(), out=self.since)
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                s = int(symbol[a])
-                self.queues.put(s, before[a:b], shared[a:b])
-                rest = common[index[b - 1] + 1 :]
-                self.since[s] = rest.min() if len(rest) else self.most
-        elif len(common):
             np.minimum(self.since, common.min(), out=self.since)
+            ends = index[np.array(edge[1:]) - 1] + 1  # after a symbol's last source
+            rest = np.minimum.accumulate(common[::-1])[::-1]
+            self.since[symbol[edge[:-1]]] = np.where(ends < len(common), rest[np.minimum(ends, len(common) - 1)], self.most)
+        for a, b, s in zip(edge[:-1], edge[1:], symbol[edge[:-1]].tolist(), strict=True):
+            self.queues.put(s, before[a:b], shared[a:b])
 
 
 def suffix_array(text: np.ndarray, most: int = 0, held: int = HELD, direct: int = DIRECT) -> tuple[np.ndarray, np.ndarray]:
-    """(places of all suffixes in order, what each shares with the one before, up to ``most``).
+    """(places of all suffixes in order, what each shares with the one before, up to ``most``), from ``suffix_blocks``."""
+    blocks = list(suffix_blocks(text, most, held, direct))
+    return np.concatenate([x for x, _ in blocks]), np.concatenate([x for _, x in blocks])
+
+
+def suffix_blocks(text: np.ndarray, most: int = 0, held: int = HELD, direct: int = DIRECT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The suffix array by first symbol: (places, what each shares with the one before it, up to ``most``).
 
     ``text``: non-negative symbols, of which the last is the least and occurs once. LMS suffixes are named by their substrings;
     the string of names is sorted in memory up to ``direct`` names, and else, in digits of one symbol each, by this same function.
     From their order queues induce that of the L suffixes, ascending, and then of the S suffixes, descending; a tuple's
     common prefix is one more than the least among the sources since the last of its symbol. With ``most`` 0 only the order is made.
+    The text, its types, the sorted L suffixes and the blocks are mapped from a file where they are large.
     """
     n = len(text)
+    if n == 1:
+        yield np.zeros(1, np.int64), np.zeros(1, np.int64)
+        return
+    scratch = Scratch()
+    text = scratch.keep(text)
     symbols = int(text.max()) + 1
-    up = suffix_types(text)
+    up = scratch.keep(suffix_types(text))
     lms = np.flatnonzero(up[1:] & ~up[:-1]) + 1
-    if n == 1:
-        return np.zeros(1, np.int64), np.zeros(1, np.int64)
     names = _substring_names(text, up, lms)
     kinds = int(names.max()) + 1
     if kinds == len(lms) or len(lms) <= direct:
@@ -288,13 +325,15 @@ def suffix_array(text: np.ndarray, most: int = 0, held: int = HELD, direct: int
         # the last name is the least and occurs once; it alone is written with the least digit, once
         string = np.stack(parts, axis=1).ravel().astype(np.int64) + 1
         string = np.concatenate((string[: digits * (len(lms) - 1)], [0]))
-        order, _ = suffix_array(string, 0, held, direct)
+        order, _ = suffix_array(string.astype(np.uint32), 0, held, direct)
         order = order[order % digits == 0] // digits
         sorted_lms = lms[order]
     lms_common = np.zeros(len(lms), np.int64)
     if most:
         lms_common[1:] = _common(text, sorted_lms[:-1], sorted_lms[1:], most)
     bounds = np.searchsorted(text[sorted_lms], np.arange(symbols + 1))
+    sorted_lms, lms_common = scratch.keep(sorted_lms), scratch.keep(lms_common.astype(np.int32))
+    none = np.zeros(0, np.int64)
     ascending = _Induction(text, ~up, symbols, most, held)
     lows: list[tuple[np.ndarray, np.ndarray]] = []
     for s in range(symbols):
@@ -306,17 +345,16 @@ def suffix_array(text: np.ndarray, most: int = 0, held: int = HELD, direct: int
                 started = True
             got.append((place, common))
             ascending.feed(place, common)
-        place, common = sorted_lms[bounds[s] : bounds[s + 1]], lms_common[bounds[s] : bounds[s + 1]].copy()
+        place, common = sorted_lms[bounds[s] : bounds[s + 1]], lms_common[bounds[s] : bounds[s + 1]].astype(np.int64)
         if len(place):
             common[0] = _common(text, got[-1][0][-1:], place[:1], most)[0] if got and most else 0
             ascending.feed(place, common)
-        none = np.zeros(0, np.int64)
-        lows.append((np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])) if got else (none, none))
+        lows.append(tuple(scratch.keep(np.concatenate(x)) for x in zip(*got, strict=True)) if got else (none, none))
     ascending.queues.close()
     descending = _Induction(text, up, symbols, most, held)
     blocks: list[tuple[np.ndarray, np.ndarray]] = []
     for s in range(symbols - 1, -1, -1):
-        low, low_common = lows[s]
+        low, low_common = lows.pop()
         got = []
         started = False
         for place, common in ([(np.array([n - 1]), np.zeros(1, np.int64))] if s == text[-1] else descending.queues.take(s)):
@@ -325,8 +363,8 @@ def suffix_array(text: np.ndarray, most: int = 0, held: int = HELD, direct: int
                 started = True
             got.append((place, common))
             descending.feed(place, common)
-        high = np.concatenate([x for x, _ in got]) if got else np.zeros(0, np.int64)
-        high_common = np.concatenate([x for _, x in got]) if got else np.zeros(0, np.int64)
+        high = np.concatenate([x for x, _ in got]) if got else none
+        high_common = np.concatenate([x for _, x in got]) if got else none
         meets = _common(text, low[-1:], high[-1:], most) if len(low) and len(high) and most else np.zeros(1, np.int64)
         if len(low):
             # descending: each source's value is what it shares with the source before it, the next greater one
@@ -334,26 +372,29 @@ def suffix_array(text: np.ndarray, most: int = 0, held: int = HELD, direct: int
             descending.feed(low[::-1], back)
         # ascending values of the S part: the shift by one of the descending ones
         up_common = np.concatenate((meets if len(low) else [0], high_common[1:][::-1])) if len(high) else high_common
-        blocks.append((np.concatenate((low, high[::-1])), np.concatenate((low_common, up_common))))
+        blocks.append((scratch.keep(np.concatenate((low, high[::-1]))), scratch.keep(np.concatenate((low_common, up_common)).astype(np.int32))))
     descending.queues.close()
-    blocks.reverse()
-    return np.concatenate([x for x, _ in blocks]), np.concatenate([x for _, x in blocks])
+    while blocks:
+        yield blocks.pop()
 
 
 def repeated_starts(shard: list[np.ndarray], length: int, held: int = HELD, direct: int = DIRECT) -> list[np.ndarray]:
     """For each byte string of a shard, where in it a string of ``length`` bytes starts that also starts elsewhere in the shard."""
     sizes = np.array([len(x) for x in shard])
-    text = np.zeros(int(sizes.sum()) + len(shard) + 1, np.int64)
+    text = np.zeros(int(sizes.sum()) + len(shard) + 1, np.uint16)
     ends = np.cumsum(sizes + 1)
     begins = ends - sizes - 1
     for x, a in zip(shard, begins, strict=True):
-        text[a : a + len(x)] = x.astype(np.int64) + 2
+        text[a : a + len(x)] = x
+        text[a : a + len(x)] += 2
     text[ends - 1] = 1
-    place, common = suffix_array(text, length, held, direct)
-    near = common >= length
-    again = np.flatnonzero(near | np.append(near[1:], False))
-    owner = np.searchsorted(ends, place[again], "right")
-    inside = place[again] - begins[np.minimum(owner, len(shard) - 1)]
+    found = []
+    for place, common in suffix_blocks(text, length, held, direct):  # strings of different blocks differ
+        near = common >= length
+        found.append(place[near | np.append(near[1:], False)])
+    again = np.concatenate(found)
+    owner = np.searchsorted(ends, again, "right")
+    inside = again - begins[np.minimum(owner, len(shard) - 1)]
     good = (owner < len(shard)) & (inside + length <= sizes[np.minimum(owner, len(shard) - 1)])
     owner, inside = owner[good], inside[good]
     order = np.lexsort((inside, owner))
@@ -362,7 +403,7 @@ def repeated_starts(shard: list[np.ndarray], length: int, held: int = HELD, dire
 
 def regions(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of the wanted runs (half, doc_id, text_key, at, n, lone), each from its first string's start to its last one's end."""
-    by_doc = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("half", "at", "n", "lone")).alias("found"))
+    by_doc = wanted.groupBy(*KEY).agg(F.collect_set(F.struct("half", "at", "n", "lone")).alias("found"))
     joined = keyed(docs).alias("d").join(by_doc.alias("w").hint("shuffle_hash"), F.expr("d.doc_id <=> w.doc_id AND d.text_key = w.text_key")).select("d.doc_id", "d.text_key", "d.text", "w.found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,6 +440,8 @@ def sorted_shards(texts: DataFrame, length: int, shard_bytes: int = SHARD_BYTES)
         size = 0
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if rows and row[:4] == rows[-1][:4]:
+                    continue  # of a repeated row
                 if size >= shard_bytes and row[0] != rows[-1][0]:
                     yield solve(rows)
                     rows, size = [], 0
@@ -408,11 +451,11 @@ def sorted_shards(texts: DataFrame, length: int, shard_bytes: int = SHARD_BYTES)
             yield solve(rows)
 
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return texts.repartition(tasks, "half").sortWithinPartitions("half").mapInArrow(run, "doc_id long, text_key long, start long, end long")
+    return texts.repartition(tasks, "half").sortWithinPartitions("half", *KEY, "at").mapInArrow(run, "doc_id long, text_key long, start long, end long")
 
 
 def keyed_strings(texts: DataFrame, length: int) -> DataFrame:
-    """The same as ``sorted_shards`` for halves that very many runs have: strings are grouped by a hash, beside that of their half.
+    """The same as ``sorted_shards`` for halves that very many runs have: strings are grouped by a digest, beside the hash of their half.
 
     Counts are summed before they are shuffled, and the rows of a frequent string can be split over tasks.
     """
@@ -426,22 +469,24 @@ def keyed_strings(texts: DataFrame, length: int) -> DataFrame:
             start = offsets[owner] + inside
             take = pa.array(owner)
             at = batch.column(3).to_numpy()[owner] + inside
-            string = scan.signed(scan.span_hash(scan.prefix_sums(scan.BYTE_CODES[data]), start, start + length))
-            yield pa.record_batch([batch.column(0).take(take), pa.array(string), batch.column(1).take(take), batch.column(2).take(take), pa.array(at), batch.column(4).take(take)], names=["half", "string", "doc_id", "text_key", "start", "lone"])
+            string, check = scan.digests(data.data, start, start + length)
+            yield pa.record_batch([batch.column(0).take(take), pa.array(string), pa.array(check), batch.column(1).take(take), batch.column(2).take(take), pa.array(at), batch.column(4).take(take)], names=["half", "string", "check", "doc_id", "text_key", "start", "lone"])
 
-    strings = store.written(texts.mapInArrow(run, "half long, string long, doc_id long, text_key long, start long, lone boolean"), "strings")
-    again = store.written(strings.groupBy("half", "string").agg(F.count("*").alias("k")).where("k > 1").drop("k"), "repeated-strings", narrow=True)
-    return strings.where("lone").join(again, ["half", "string"]).select(*KEY, "start", (F.col("start") + length).alias("end"))
+    strings = store.written(texts.mapInArrow(run, "half long, string long, check long, doc_id long, text_key long, start long, lone boolean"), "strings")
+    again = store.written(strings.groupBy("half", "string", "check").agg(F.count("*").alias("k")).where("k > 1").drop("k"), "repeated-strings", narrow=True)
+    return strings.where("lone").join(again, ["half", "string", "check"]).select(*KEY, "start", (F.col("start") + length).alias("end"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, text_key, start, end (bytes, end exclusive) of strings of ``length`` bytes that also start anywhere else."""
+    same = ["mini", "content", "check"]
     found = store.written(runs(docs, length, gram), "runs")
-    shared = store.written(found.groupBy("mini").agg(F.count("*").alias("k"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("k > 1").select("mini", (F.col("c0") != F.col("c1")).alias("branches")), "shared-minimizers")
+    shared = store.written(found.groupBy("mini").agg(F.count("*").alias("k"), F.min(F.struct("content", "check")).alias("c0"), F.max(F.struct("content", "check")).alias("c1")).where("k > 1").select("mini", (F.col("c0") != F.col("c1")).alias("branches")), "shared-minimizers", narrow=True)
     met = store.written(found.join(shared, "mini"), "shared-runs")
+    store.drop(found, shared)
     one = F.struct(*KEY, "at", "n", "mid", "left", "right")
-    contents = store.written(met.groupBy("mini", "content").agg(F.count("*").alias("copies"), F.min(one).alias("one"), F.max("branches").alias("branches")), "run-contents")
-    copied = met.join(contents.where("copies > 1").select("mini", "content"), ["mini", "content"])
+    contents = store.written(met.groupBy(*same).agg(F.count("*").alias("copies"), F.min(one).alias("one"), F.max("branches").alias("branches")), "run-contents")
+    copied = met.join(contents.where("copies > 1").select(*same), same)
     whole = copied.select(*KEY, F.col("at").alias("start"), (F.col("at") + F.col("n") + (length - 1)).alias("end"))
     branching = contents.where("branches").select("one.*", (F.col("copies") == 1).alias("lone"))
     last = F.col("at") + F.col("n") - 1
@@ -452,15 +497,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     halves = store.written(before.union(after).where("n > 0"), "halves")
     several = halves.groupBy("half").agg(F.count("*").alias("k"), F.max("lone").alias("open")).where("k > 1 AND open").select("half", (F.col("k") > LARGE).alias("large"))
     several = store.written(several, "shared-halves", narrow=True)
-    spans = whole.union(sorted_shards(regions(docs, halves.join(several.where("NOT large"), "half"), length), length))
+    wanted = store.written(halves.join(several, "half"), "wanted-halves")
+    store.drop(halves)
+    sorted_ = store.written(sorted_shards(regions(docs, wanted.where("NOT large"), length), length), "sorted-spans", narrow=True)
+    spans = whole.union(sorted_)
     if not several.where("large").isEmpty():
-        spans = spans.union(keyed_strings(regions(docs, halves.join(several.where("large"), "half"), length), length))
+        spans = spans.union(keyed_strings(regions(docs, wanted.where("large"), length), length))
     return spans
 
 
 def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes): each text without the bytes in its spans."""
-    by_doc = spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    by_doc = spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     joined = keyed(docs).alias("d").join(by_doc.alias("s").hint("shuffle_hash"), F.expr("d.doc_id <=> s.doc_id AND d.text_key = s.text_key"), "left").select("d.doc_id", F.col("d.text").cast("binary").alias("text"), "s.spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
