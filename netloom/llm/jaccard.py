@@ -33,8 +33,10 @@ PERCENT = 85
 RATIO = 1.25
 #: Segments of a band that may give up their value at most: the bound of what the driver is sent. It changes costs, not results.
 SWAPS = 64
+#: How many times what it costs a change must save, since costs are estimates.
+MARGIN = 1.5
 #: Independent estimates of a second moment.
-SIGNS = 4
+SIGNS = 8
 KEY = ("doc_id", "text_key")
 #: (band, segment, value) of the segments whose value is not 1.
 Allocation = tuple[tuple[int, int, int], ...]
@@ -120,6 +122,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
 
+def _sign(code: np.ndarray, r: int) -> np.ndarray:
+    return 1 - 2 * ((code >> np.uint64(r)) & np.uint64(1)).astype(np.int64)
+
+
 class Cells(NamedTuple):
     """The segments of some sets in one band each, set by set."""
 
@@ -131,6 +137,12 @@ class Cells(NamedTuple):
     begin: np.ndarray  #: where its elements begin among all
     use: np.ndarray  #: not an empty one that is left out, if its value is 1
 
+    def deletions(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(segment, place of the element left out) of each one-deletion neighbour of the given segments."""
+        many = self.filled[of]
+        which = np.repeat(of, many)
+        return which, self.begin[which] + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
     def code(self, which: np.ndarray, less: np.ndarray | int = 0, fewer: int = 0) -> np.ndarray:
         """The index key of the given segments' contents, or of these without an element of mixed hash ``less`` (``fewer``: 1)."""
         return scan.mix(self.content[which] - np.uint64(less) + (self.filled[which] - fewer).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + scan.mix(self.place[which] + np.uint64(1)))
@@ -177,21 +189,21 @@ def _values(segments: np.ndarray, allocation: Allocation) -> np.ndarray:
     return out
 
 
-_SIZED = "doc_id long, text_key long, set long, check long, n_shingles long, outline binary, band int, segment int, entries long, elements long, signs array<long>"
+_SIZED = "doc_id long, text_key long, set long, check long, n_shingles long, outline binary, band int, segment int, entries long, elements long, signs array<long>, both array<long>"
 
 
 def sets_of(docs: DataFrame, n: int, percent: int, salt: int = 0) -> DataFrame:
     """doc_id, text_key, set and check (halves of its digest; null for a text without words), n_shingles, outline; band is null.
 
-    Further rows, with a band, tell of a task's segments: entries, elements, and sums of random signs of their contents, from which
-    second moments are estimated.
+    Further rows, with a band, tell of a task's segments: entries, elements, and sums of random signs of their contents, and of these
+    and their one-deletion neighbourhoods, from which second moments are estimated.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = np.zeros((2 + SIGNS, 0), np.int64)
+        tally = np.zeros((2 + 2 * SIGNS, 0), np.int64)
         segments = np.zeros(0, np.int64)
         done = np.zeros(0, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("set", pa.int64()), ("check", pa.int64()), ("n_shingles", pa.int64()), ("outline", pa.binary()), ("band", pa.int32()), ("segment", pa.int32()), ("entries", pa.int64()), ("elements", pa.int64()), ("signs", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("set", pa.int64()), ("check", pa.int64()), ("n_shingles", pa.int64()), ("outline", pa.binary()), ("band", pa.int32()), ("segment", pa.int32()), ("entries", pa.int64()), ("elements", pa.int64()), ("signs", pa.list_(pa.int64())), ("both", pa.list_(pa.int64()))])
         for batch in scan.parts(batches, "text"):
             elements, offsets = shingle_sets(batch, 2, n, salt)
             size = np.diff(offsets)
@@ -207,7 +219,8 @@ def sets_of(docs: DataFrame, n: int, percent: int, salt: int = 0) -> DataFrame:
                 segments = wider
                 tally = np.concatenate((tally, np.zeros((len(tally), int(segments.sum()) - tally.shape[1]), np.int64)), axis=1)
             first = np.cumsum(segments) - segments
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(scan.mix(elements), dtype=np.uint64)))
+            mixed = scan.mix(elements)
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
             for _, mine, band in _in_bands(size[fresh], percent, largest):
                 cells = _cells(elements, sums, offsets, fresh[mine], band, wider, spare, _values(wider, ()))
                 keep = np.flatnonzero(cells.use)
@@ -215,14 +228,19 @@ def sets_of(docs: DataFrame, n: int, percent: int, salt: int = 0) -> DataFrame:
                 code = cells.code(keep)
                 np.add.at(tally[0], slot, 1)
                 np.add.at(tally[1], slot, cells.filled[keep])
+                which, gone = cells.deletions(keep)
+                fewer = cells.code(which, mixed[gone], 1)
+                at = first[band][cells.of[which]] + cells.number[which]
                 for r in range(SIGNS):
-                    np.add.at(tally[2 + r], slot, 1 - 2 * ((code >> np.uint64(r)) & np.uint64(1)).astype(np.int64))
+                    np.add.at(tally[2 + r], slot, _sign(code, r))
+                    np.add.at(tally[2 + SIGNS + r], at, _sign(fewer, r))
         used = np.flatnonzero(tally[0]) if tally.shape[1] else np.zeros(0, np.int64)
         if len(used):
             first = np.cumsum(segments) - segments
             band = np.searchsorted(first, used, "right") - 1
-            signs = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1, dtype=np.int32) * SIGNS), pa.array(tally[2:, used].T.ravel()))
-            told = [pa.array(band.astype(np.int32)), pa.array((used - first[band]).astype(np.int32)), pa.array(tally[0, used]), pa.array(tally[1, used]), signs]
+            listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1, dtype=np.int32) * SIGNS), pa.array(x.T.ravel()))
+            exact, fewer = tally[2 : 2 + SIGNS, used], tally[2 + SIGNS :, used]
+            told = [pa.array(band.astype(np.int32)), pa.array((used - first[band]).astype(np.int32)), pa.array(tally[0, used]), pa.array(tally[1, used]), listed(exact), listed(exact + fewer)]
             yield pa.record_batch([pa.nulls(len(used), f.type) for f in list(schema)[:6]] + told, schema=schema)
 
     return keyed(docs).mapInArrow(run, _SIZED)
@@ -231,16 +249,17 @@ def sets_of(docs: DataFrame, n: int, percent: int, salt: int = 0) -> DataFrame:
 def allocated(told: DataFrame) -> Allocation:
     """The segments that give up their value, and those that take it on, by the rows of ``sets_of`` that have a band.
 
-    A segment of value 1 costs its entries and pairs; one of value 2, its elements (deletions) and as many pairs again. In each
-    band the dearest are matched with those that are cheapest to double, as long as that saves.
+    A segment of value 1 costs its entries and the pairs of equal ones; one of value 2 has its elements (deletions) as entries too, and
+    the pairs of all these. In each band the dearest are matched with those that are cheapest to double, as long as that saves.
     """
-    moment = sum((F.pow(F.sum(F.col("signs")[r]), 2) for r in range(SIGNS)), F.lit(0.0)) / SIGNS
-    costs = told.groupBy("band", "segment").agg(F.sum("entries").alias("n"), F.sum("elements").alias("filled"), moment.alias("moment")).withColumn("pairs", F.greatest(F.lit(0.0), F.col("moment") - F.col("n")) / 2)
+    moment = lambda x: sum((F.pow(F.sum(F.col(x)[r]), 2) for r in range(SIGNS)), F.lit(0.0)) / SIGNS
+    costs = told.groupBy("band", "segment").agg(F.sum("entries").alias("n"), F.sum("elements").alias("filled"), moment("signs").alias("one"), moment("both").alias("two"))
+    costs = costs.withColumn("pairs", F.greatest(F.lit(0.0), F.col("one") - F.col("n")) / 2).withColumn("more", F.greatest(F.col("pairs"), (F.col("two") - F.col("n") - F.col("filled")) / 2))
     band = Window.partitionBy("band")
-    ranked = costs.select("band", "segment", (F.col("n") + F.col("pairs")).alias("saved"), (F.col("filled") + F.col("pairs")).alias("extra"), F.floor(F.count("*").over(band) / 2).alias("half"))
+    ranked = costs.select("band", "segment", (F.col("n") + F.col("pairs")).alias("saved"), (F.col("filled") + F.col("more") - F.col("pairs")).alias("extra"), F.floor(F.count("*").over(band) / 2).alias("half"))
     dear = ranked.withColumn("k", F.row_number().over(band.orderBy(F.desc("saved"), "segment"))).where(F.col("k") <= F.least("half", F.lit(SWAPS)))
     cheap = ranked.withColumn("k", F.row_number().over(band.orderBy("extra", "saved", F.desc("segment")))).where(F.col("k") <= F.least("half", F.lit(SWAPS)))
-    both = dear.alias("x").join(cheap.alias("y"), ["band", "k"]).where("x.saved > y.extra AND x.segment <> y.segment")
+    both = dear.alias("x").join(cheap.alias("y"), ["band", "k"]).where(f"x.saved > {MARGIN} * y.extra AND x.segment <> y.segment")
     rows = both.select("band", "k", F.col("x.segment").alias("off"), F.col("y.segment").alias("on")).collect()  # at most SWAPS for each band
     off = {(r["band"], r["off"]) for r in rows}
     good = [r for r in rows if (r["band"], r["on"]) not in off]
@@ -270,10 +289,7 @@ def index(docs: DataFrame, n: int, percent: int, salt: int = 0, allocation: Allo
                 keep = np.flatnonzero(cells.use)
                 yield pigeonhole.entries(cells.code(keep), item[cells.of[keep]], signed[cells.of[keep]])
                 if allocation:
-                    double = np.flatnonzero((value[first[band][cells.of] + cells.number] == 2) & (cells.filled > 0))
-                    many = cells.filled[double]
-                    which = np.repeat(double, many)
-                    gone = cells.begin[which] + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    which, gone = cells.deletions(np.flatnonzero(value[first[band][cells.of] + cells.number] == 2))
                     yield pigeonhole.entries(cells.code(which, mixed[gone], 1), item[cells.of[which]], signed[cells.of[which]])
 
     return keyed(docs).mapInArrow(run, pigeonhole.ENTRY)
@@ -305,11 +321,12 @@ def similar(left: list, right: list, percent: int) -> np.ndarray:
 
 
 def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, allocation: Allocation | None = None) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id for each row of ``docs``.
+    """doc_id, text_key, n_shingles, component_id, root for each row of ``docs``.
 
     Two documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of n-word shingles; component_id is the
     least doc_id that links reach, the document's own included (a null doc_id counts as none). A null, empty or blank
-    text has no shingles and no links: its component_id is its own doc_id. Repeated rows are linked. Other columns are ignored. Without
+    text has no shingles and no links: its component_id is its own doc_id. ``root`` is the same for what links reach, whatever its
+    doc_ids, and null without shingles. Repeated rows are linked. Other columns are ignored. Without
     an ``allocation`` one is made by cost; results are the same with any whose values of each band sum up to its segments.
     """
     for salt in itertools.count():
@@ -333,9 +350,9 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, allocation:
     )
     rooted = sets.select("set", "least").join(near.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_set = rooted.join(least, "root").select("set", "component_id")
+    by_set = rooted.join(least, "root").select("set", "component_id", "root")
     out = sized.where("band IS NULL").join(by_set, "set", "left")
-    return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from netloom.llm import components, jaccard, lines, pigeonhole
+from netloom.llm import components, jaccard, lines, pigeonhole, store
 from tests.llm import cases
 
 
@@ -19,22 +20,81 @@ class Classes(dict):
             self[max(a, b)] = min(a, b)
 
 
+def distance(a, b):
+    """Edits between two byte strings, by the recurrence."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row = row, [i + 1]
+        for j, y in enumerate(b):
+            row.append(min(last[j + 1] + 1, row[j] + 1, last[j] + (x != y)))
+    return row[-1]
+
+
 def shingles(text, n):
     words = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
     return frozenset(tuple(words[a : a + n]) for a in range(max(1, len(words) - n + 1))) if words else frozenset()
 
 
-@pytest.mark.parametrize("n, percent, small, block", [(4, 85, 16, 1024), (5, 80, 16, 1024), (4, 85, 2, 4), (2, 60, 3, 5)])
-def test_jaccard_classes(spark, monkeypatch, n, percent, small, block):
-    monkeypatch.setattr(pigeonhole, "SMALL", small)
-    monkeypatch.setattr(pigeonhole, "BLOCK", block)
-    data = cases.rows(n=72)
+def classes_by_force(data, n, percent):
+    """Classes over the rows' numbers: links between all pairs of sets."""
     sets = [shingles(t, n) for _, t in data]
     least = Classes((k, k) for k in range(len(data)))
     for a in range(len(data)):
         for b in range(a):
             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 least.join(a, b)
+    return sets, least
+
+
+def test_unlike_texts_of_equal_weak_hash_stay_apart(spark, monkeypatch):
+    data = cases.twins()
+    _, least = classes_by_force(data, 4, 85)
+    want = {i: least.find(k) for k, (i, _) in enumerate(data)}
+    got = {r.doc_id: r.component_id for r in jaccard.classes(cases.frame(spark, data)).collect()}
+    assert got == {i: data[k][0] for i, k in want.items()}
+    seen, gone = set(), {}
+    for i, text in data:
+        kept = []
+        for line in text.split("\n"):
+            if line not in seen:
+                kept.append(line)
+            seen.add(line)
+        gone[i] = "\n".join(kept)
+    assert {r.doc_id: r.cut.rstrip("\n") for r in lines.dedup(cases.frame(spark, data), lines.EDITS).collect()} == gone
+
+
+def test_names_that_clash_are_made_anew(spark, monkeypatch):
+    data = cases.rows(n=24)
+    right = lines.dedup(cases.frame(spark, data)).select("doc_id", "cut").collect(), jaccard.classes(cases.frame(spark, data)).collect()
+    places, sets_of, salts = lines.places, jaccard.sets_of, []
+    monkeypatch.setattr(lines, "places", lambda docs, least, salt: salts.append(salt) or (places(docs, least, salt) if salt else places(docs, least, salt).withColumn("line", F.lit(7).cast("long"))))
+    monkeypatch.setattr(jaccard, "sets_of", lambda docs, n, percent, salt: salts.append(salt) or (sets_of(docs, n, percent, salt) if salt else sets_of(docs, n, percent, salt).withColumn("set", F.when(F.col("set").isNotNull(), 7).cast("long"))))
+    assert sorted(map(str, lines.dedup(cases.frame(spark, data)).select("doc_id", "cut").collect())) == sorted(map(str, right[0]))
+    key = lambda rows: sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in rows)
+    assert key(jaccard.classes(cases.frame(spark, data)).collect()) == key(right[1])
+    assert salts == [0, 1, 0, 1]
+
+
+def test_places_that_are_many_are_brought_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(store, "BROADCAST_ROWS", 0)
+    data = cases.rows(n=36)
+    _, least = classes_by_force(data, 4, 85)
+    groups = {}
+    for k, (i, _) in enumerate(data):
+        groups.setdefault(least.find(k), []).append(k)
+    got = jaccard.classes(cases.frame(spark, data))
+    assert "ShuffledHashJoin" in store.beside(jaccard.keyed(cases.frame(spark, data)), store.written(jaccard.keyed(cases.frame(spark, data)).groupBy("doc_id", "text_key").agg(F.collect_list("text").alias("t")), "t"), "t")._jdf.queryExecution().executedPlan().toString()
+    assert sum(r.component_id == r.doc_id for r in got.collect() if r.doc_id is not None) > 0
+    monkeypatch.undo()
+    assert sorted(map(str, got.collect())) == sorted(map(str, jaccard.classes(cases.frame(spark, data)).collect()))
+
+
+@pytest.mark.parametrize("n, percent, small, block", [(4, 85, 16, 1024), (5, 80, 16, 1024), (4, 85, 2, 4), (2, 60, 3, 5)])
+def test_jaccard_classes(spark, monkeypatch, n, percent, small, block):
+    monkeypatch.setattr(pigeonhole, "SMALL", small)
+    monkeypatch.setattr(pigeonhole, "BLOCK", block)
+    data = cases.rows(n=72)
+    sets, least = classes_by_force(data, n, percent)
     ids = {}
     for k, (i, _) in enumerate(data):
         if i is not None:
@@ -49,9 +109,9 @@ def test_jaccard_classes(spark, monkeypatch, n, percent, small, block):
 
 
 def test_costs_move_values_to_deletions(spark):
-    rows = [(0, s, 10, 60, [1000 if s < 2 else 3] * jaccard.SIGNS) for s in range(9)]
-    told = spark.createDataFrame(rows, "band int, segment int, entries long, elements long, signs array<long>")
-    assert jaccard.allocated(told) == ((0, 0, 0), (0, 1, 0), (0, 7, 2), (0, 8, 2))
+    rows = [(0, s, 10, 60, [1000 if s < 2 else 3] * jaccard.SIGNS, [1000 if s < 2 else 2000 if s > 7 else 5] * jaccard.SIGNS) for s in range(9)]
+    told = spark.createDataFrame(rows, "band int, segment int, entries long, elements long, signs array<long>, both array<long>")
+    assert jaccard.allocated(told) == ((0, 0, 0), (0, 1, 0), (0, 6, 2), (0, 7, 2))
     assert jaccard.allocated(told.where("segment > 1")) == ()
 
 
@@ -109,7 +169,7 @@ def test_line_dedup(spark, monkeypatch, edits, least, small):
     tied = Classes((x, x) for x in names)
     for a in range(len(names)):
         for b in range(a):
-            if abs(len(names[a]) - len(names[b])) <= edits and lines.within([np.frombuffer(names[a], np.uint8)], [np.frombuffer(names[b], np.uint8)], edits)[0]:
+            if abs(len(names[a]) - len(names[b])) <= edits and distance(names[a], names[b]) <= edits:
                 tied.join(names[a], names[b])
     first = {}
     for order, k, at, line in places:
@@ -123,11 +183,11 @@ def test_line_dedup(spark, monkeypatch, edits, least, small):
             if at not in gone:
                 kept.append(line)
             at += len(line.encode()) + 1
-        want.append((str(i), len((text or "").split("\n")) if text else 0, len(gone)))
+        want.append((str(i), len((text or "").split("\n")) if text else 0, len(gone), str(text if text is None else "\n".join(kept) if kept else "")))
     got = lines.dedup(cases.frame(spark, data), edits, least)
     assert set(got.columns) == {"doc_id", "n_lines", "n_removed", "cut", "row"}
     rows = got.collect()
-    assert sorted((str(r.doc_id), r.n_lines, r.n_removed) for r in rows) == sorted(want)
+    assert sorted((str(r.doc_id), r.n_lines, r.n_removed, str(r.cut)) for r in rows) == sorted(want)
     for r in rows:
         assert (r.cut is None) == (r.row.text is None)
         if r.n_removed == 0:
@@ -165,7 +225,9 @@ def test_lines_of_graded_distance_against_brute_force(spark):
     assert {r.doc_id for r in lines.dedup(cases.frame(spark, data)).collect() if r.n_removed} == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 300_000])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 60), (60, 50), (60, 70), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in components.roots(links).collect()}
     assert got == {i: 1 for i in range(2, 31)} | {60: 50, 70: 50}
