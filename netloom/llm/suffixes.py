@@ -217,21 +217,63 @@ def _doubled(names: np.ndarray) -> np.ndarray:
     return out
 
 
-def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Length of the common prefix of the suffixes at a and b, up to ``most``. The last symbol is in one of them alone, so they part before its end."""
-    out = np.zeros(len(a), np.int64)
-    end = len(text) - 1
-    live = np.arange(len(a))
-    step, at = 8, 0
-    while len(live) and at < most:
-        same = np.ones(len(live), bool)
-        run = np.zeros(len(live), np.int64)
-        for j in range(at, min(at + step, most)):
-            same &= text[np.minimum(a[live] + j, end)] == text[np.minimum(b[live] + j, end)]
-            run += same
-        out[live] += run
-        live = live[same]
-        at += step
+def _in_fours(padded: np.ndarray) -> np.ndarray:
+    """Four symbols at each place as one word, of 16-bit symbols with four more at the end."""
+    return np.ndarray((len(padded) - 4,), np.uint64, padded, strides=(2,))
+
+
+def _common(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Length of the common prefix of the suffixes at a and b, up to ``most``; at least ``known``, which is not compared again.
+
+    The last symbol is in one of them alone, so they part before its end.
+    """
+    out = np.full(len(a), most, np.int64)
+    at = np.zeros(len(a), np.int64) if known is None else np.minimum(known, most)
+    live = np.flatnonzero(at < most)
+    at = at[live]
+    while len(live):
+        differ = words[a[live] + at] ^ words[b[live] + at]
+        ended = differ != 0
+        if ended.any():
+            low = differ[ended]
+            low &= np.uint64(0) - low  # the lowest bit that differs
+            inside = (low > np.uint64(0xFFFF)).astype(np.int64) + (low > np.uint64(0xFFFFFFFF)) + (low > np.uint64(0xFFFFFFFFFFFF))
+            out[live[ended]] = np.minimum(at[ended] + inside, most)
+        at += 4
+        on = ~ended & (at < most)
+        live, at = live[on], at[on]
+    return out
+
+
+#: Of so many LMS suffixes in text order, one is compared from its start.
+SPARSE = 8
+
+
+def _lms_common(words: np.ndarray, lms: np.ndarray, sorted_lms: np.ndarray, most: int) -> np.ndarray:
+    """What each of the sorted LMS suffixes shares with the one before it, up to ``most``.
+
+    If the suffix at p shares L with its predecessor q, that at p + d shares at least L - d with its own, provided that q + d is an
+    LMS place too: for then it is a lesser suffix of the list, and no one between them shares less. So most suffixes
+    are only compared beyond what one a little before them in the text shares.
+    """
+    out = np.zeros(len(lms), np.int64)
+    listed = np.zeros(len(words), bool)
+    listed[lms] = True
+    ranks = np.empty(len(words), np.int32)  # by place
+    ranks[sorted_lms] = np.arange(len(lms))
+    rank = ranks[lms]
+    before = np.where(rank > 0, sorted_lms[np.maximum(rank - 1, 0)], -1)  # in text order
+    sample = np.arange(0, len(lms), SPARSE)
+    some = sample[before[sample] >= 0]
+    shared = np.zeros(len(lms), np.int64)
+    shared[some] = _common(words, lms[some], before[some], most)
+    rest = np.flatnonzero((np.arange(len(lms)) % SPARSE > 0) & (before >= 0))
+    of = rest - rest % SPARSE
+    d = lms[rest] - lms[of]
+    far = before[of] + d
+    known = np.where((before[of] >= 0) & listed[np.minimum(far, len(words) - 1)], np.maximum(shared[of] - d, 0), 0)
+    shared[rest] = _common(words, lms[rest], before[rest], most, known)
+    out[rank] = shared
     return out
 
 
@@ -299,7 +341,7 @@ def suffix_array(text: np.ndarray, most: int = 0, held: int = HELD, direct: int
 def suffix_blocks(text: np.ndarray, most: int = 0, held: int = HELD, direct: int = DIRECT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The suffix array by first symbol: (places, what each shares with the one before it, up to ``most``).
 
-    ``text``: non-negative symbols, of which the last is the least and occurs once. LMS suffixes are named by their substrings;
+    ``text``: symbols of 16 bits, of which the last is the least and occurs once. LMS suffixes are named by their substrings;
     the string of names is sorted in memory up to ``direct`` names, and else, in digits of one symbol each, by this same function.
     From their order queues induce that of the L suffixes, ascending, and then of the S suffixes, descending; a tuple's
     common prefix is one more than the least among the sources since the last of its symbol. With ``most`` 0 only the order is made.
@@ -310,7 +352,8 @@ def suffix_blocks(text: np.ndarray, most: int = 0, held: int = HELD, direct: int
         yield np.zeros(1, np.int64), np.zeros(1, np.int64)
         return
     scratch = Scratch()
-    text = scratch.keep(text)
+    padded = scratch.keep(np.concatenate((text, np.zeros(4, text.dtype))).astype(np.uint16))
+    text, words = padded[:n], _in_fours(padded)
     symbols = int(text.max()) + 1
     up = scratch.keep(suffix_types(text))
     lms = np.flatnonzero(up[1:] & ~up[:-1]) + 1
@@ -319,18 +362,16 @@ def suffix_blocks(text: np.ndarray, most: int = 0, held: int = HELD, direct: int
     if kinds == len(lms) or len(lms) <= direct:
         sorted_lms = lms[_doubled(names)]
     else:
-        digits = 1 if kinds <= 512 else 2
+        digits = 1 if kinds <= 512 else 2  # of 16 bits, for up to 2**32 names
         base = kinds if digits == 1 else int(np.ceil(np.sqrt(kinds)))
         parts = [names] if digits == 1 else [names // base, names % base]
         # the last name is the least and occurs once; it alone is written with the least digit, once
         string = np.stack(parts, axis=1).ravel().astype(np.int64) + 1
         string = np.concatenate((string[: digits * (len(lms) - 1)], [0]))
-        order, _ = suffix_array(string.astype(np.uint32), 0, held, direct)
+        order, _ = suffix_array(string, 0, held, direct)
         order = order[order % digits == 0] // digits
         sorted_lms = lms[order]
-    lms_common = np.zeros(len(lms), np.int64)
-    if most:
-        lms_common[1:] = _common(text, sorted_lms[:-1], sorted_lms[1:], most)
+    lms_common = _lms_common(words, lms, sorted_lms, most) if most else np.zeros(len(lms), np.int64)
     bounds = np.searchsorted(text[sorted_lms], np.arange(symbols + 1))
     sorted_lms, lms_common = scratch.keep(sorted_lms), scratch.keep(lms_common.astype(np.int32))
     none = np.zeros(0, np.int64)
@@ -347,7 +388,7 @@ def suffix_blocks(text: np.ndarray, most: int = 0, held: int = HELD, direct: int
             ascending.feed(place, common)
         place, common = sorted_lms[bounds[s] : bounds[s + 1]], lms_common[bounds[s] : bounds[s + 1]].astype(np.int64)
         if len(place):
-            common[0] = _common(text, got[-1][0][-1:], place[:1], most)[0] if got and most else 0
+            common[0] = _common(words, got[-1][0][-1:], place[:1], most)[0] if got and most else 0
             ascending.feed(place, common)
         lows.append(tuple(scratch.keep(np.concatenate(x)) for x in zip(*got, strict=True)) if got else (none, none))
     ascending.queues.close()
@@ -365,7 +406,7 @@ def suffix_blocks(text: np.ndarray, most: int = 0, held: int = HELD, direct: int
             descending.feed(place, common)
         high = np.concatenate([x for x, _ in got]) if got else none
         high_common = np.concatenate([x for _, x in got]) if got else none
-        meets = _common(text, low[-1:], high[-1:], most) if len(low) and len(high) and most else np.zeros(1, np.int64)
+        meets = _common(words, low[-1:], high[-1:], most) if len(low) and len(high) and most else np.zeros(1, np.int64)
         if len(low):
             # descending: each source's value is what it shares with the source before it, the next greater one
             back = np.concatenate((meets if len(high) else [0], low_common[1:][::-1]))
