@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,9 +58,31 @@ def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.netloom_path = path
+    made.append(path)
     return out
 
 
+#: Tables written by this process that were not deleted, in order.
+made: list[str] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes, at its end, the tables that were written inside it, but those that were put on the list it gives."""
+    start, keep = len(made), []
+    yield keep
+    kept = {x.netloom_path for x in keep}
+    for path in [x for x in made[start:] if x not in kept]:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in made:
+        made.remove(path)
+
+
 def renamed(table: DataFrame, *names: str) -> DataFrame:
     """A written table under other column names."""
     out = table.toDF(*names)
@@ -69,9 +93,7 @@ def renamed(table: DataFrame, *names: str) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Delete tables that ``written`` made, once what was derived from them is written itself."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.netloom_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(table.sparkSession, table.netloom_path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

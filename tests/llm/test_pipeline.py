@@ -4,9 +4,11 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from netloom.llm import store
+from tests.llm import cases
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +80,27 @@ def test_a_copy_with_short_lines_goes(spark, folder, tmp_path):
         spark.read.parquet(f"{path}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
     packed = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert 601 in packed and 602 not in packed
+
+
+def test_repeated_rows_null_ids_clashing_columns_and_empty_tables(spark, folder, tmp_path):
+    path, _ = folder
+    base = store.documents(spark, path)
+    text = base.where("doc_id = 0").first().text
+    odd = spark.createDataFrame([(0, text), (0, text), (None, text), (None, text), (7, text + " more"), (900, None), (900, None), (901, ""), (902, "   ")], "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "5L AS n_chars")
+    docs = base.union(odd)
+    for k, name in enumerate(cases.CLASH):
+        docs = docs.withColumn(name, F.lit(k))
+    left = corpus_pipeline.drop_near_duplicates(spark, docs.where("doc_id IS NULL OR doc_id NOT IN (501, 502, 505)"), path)
+    assert left.columns == docs.columns
+    ids = sorted(str(r.doc_id) for r in left.where(F.col("text") == text).collect())
+    assert ids == ["0"] and left.where("doc_id = 900").count() == 2 and left.where("doc_id = 902").count() == 1
+    nulls = docs.where("doc_id IS NULL")
+    assert nulls.count() == 2 and corpus_pipeline.drop_near_duplicates(spark, nulls, path).count() == 1
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), path).count() == 0
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.where("doc_id = 900").count() == 2 and out.where("doc_id IS NULL").count() == 0
+    assert {r.doc_id for r in out.collect()} >= {i for i in range(400) if i % 5 in (1, 2)}
