@@ -1,4 +1,10 @@
-"""A corpus from documents to packed sequences, in five stages that each call one operator."""
+"""A corpus from documents to packed sequences, in five stages that each call one operator.
+
+Without ratings (an empty ``labels``) no document is rejected; without items (an empty ``benchmark``) none is contaminated; an empty
+``documents`` gives no rows. Null and blank texts are kept up to packing, where they are pieces of one id; a text whose lines all
+repeat goes. Rows that repeat are one document once the near duplicates are dropped. Extra columns of any name go through all stages but
+the last.
+"""
 
 from __future__ import annotations
 
@@ -30,9 +36,21 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents, the one with the least doc_id. Wordless documents are in no group."""
-    classes = jaccard.classes(docs, SHINGLE, PERCENT)
-    return store.without(docs, classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each group of near-duplicate documents, the one with the least doc_id (nulls last), then the least hash of its text.
+
+    Rows with equal doc_id and text are one document, of which one row stays. Wordless documents are in no group and all stay.
+    """
+    classes = store.written(jaccard.classes(docs, SHINGLE, PERCENT).where("root IS NOT NULL").select("doc_id", "text_key", "root"), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    kept = classes.groupBy("root").agg(F.min(order).alias("kept"))
+    gone = classes.join(kept, "root").where(order != F.col("kept")).select("doc_id", "text_key").distinct()
+    left = store.without(docs, gone)
+    repeated = classes.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return left
+    rows = store.packed(left).alias("d").join(repeated.alias("r"), F.expr("d.doc_id <=> r.doc_id AND d.text_key = r.text_key"), "left").select("d.doc_id", "d.text_key", "d.row", "r.n")
+    once = rows.where("n IS NOT NULL").groupBy("doc_id", "text_key").agg(F.first("row").alias("row"))
+    return rows.where("n IS NULL").select("row.*").union(once.select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +77,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``, each on all that the one before kept."""
+    """All stages in turn over ``documents``, each on all that the one before kept. What a stage wrote for itself is deleted after it."""
     docs = store.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = store.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with store.scope(spark) as keep:
+            docs = store.written(stage(spark, docs, sf_dir), f"stage-{name}")
+            keep.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
