@@ -20,10 +20,8 @@ from pyspark.sql import functions as F
 from netloom.llm import scan, store
 
 ORDER = 3
-#: Documents of each language that trees are counted on at most; the bound of what a fit reads and of the model.
+#: Different texts of each language that trees are counted on at most; the bound of what a fit reads and, with all their nodes, of the model.
 SAMPLE = 400
-#: Longest-context nodes that the trees of all languages keep at most; the rarest go first.
-MOST_NODES = 400_000
 UNKNOWN = "und"
 _ASCII_LETTER = re.compile("[A-Za-z]")
 
@@ -106,9 +104,6 @@ def freeze(rows: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]], languages
         for j, lang in enumerate(languages):
             if (lang, k) in rows:
                 table[np.searchsorted(grams, rows[lang, k][0]), j] = rows[lang, k][1]
-        if k == ORDER and len(grams) > MOST_NODES:
-            keep = np.sort(np.argsort(-table.sum(axis=1), kind="stable")[:MOST_NODES])
-            grams, table = grams[keep], table[keep]
         seen.append(grams)
         tables.append(table)
 
@@ -164,18 +159,19 @@ def freeze(rows: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]], languages
 
 
 def fit(train: DataFrame, sample: int = SAMPLE) -> Trees | None:
-    """Trees of the languages in ``train`` (text, lang), each from at most ``sample`` documents chosen by a hash of the text.
+    """Trees of the languages in ``train`` (text, lang), each from at most ``sample`` different texts chosen by their hash.
 
-    Rows without a language or text teach nothing. None if no row is left.
+    Rows without a language or text teach nothing, copies of a text teach once. None if no row is left. Counts and tables
+    come to the driver: of ``sample`` whole texts a language, for as many languages as there are in ``lang``.
     """
     usable = train.select("lang", "text").where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & (F.length("text") > 0)).withColumn("_h", F.xxhash64("text"))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("_h").alias("n")).collect()}  # one row a language
     if not sizes:
         return None
     share = F.lit(0.0)
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * sample / n))).otherwise(share)
-    likely = usable.where((F.pmod("_h", F.lit(1 << 30)) <= share * float(1 << 30)))
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * sample / max(n, 1)))).otherwise(share)
+    likely = usable.where((F.pmod("_h", F.lit(1 << 30)) <= share * float(1 << 30))).groupBy("lang", "_h").agg(F.min("text").alias("text"))
     chosen = likely.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))).where(F.col("_r") <= sample)
     counted = counts_of(chosen).toArrow()
     lang, order = (np.array(counted.column(c).to_pylist()) for c in ("lang", "order"))
@@ -192,11 +188,12 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> Trees | None:
 def predict(docs: DataFrame, trees: Trees | None) -> DataFrame:
     """doc_id, lang_pred, score: the language with the shortest code, and how likely the code lengths make it.
 
-    ``und`` and 0 for a text that is null or has no letter, or when there are no trees; ties go to the first by name.
+    ``und`` and 0 for a text that is null or has no letter, or when there are no trees; ties go to the first by name. One row per
+    input row, repeated ones included; other columns are ignored.
     """
     if trees is None:
         return docs.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    model = docs.sparkSession.sparkContext.broadcast(trees)  # size bounded by MOST_NODES
+    model = docs.sparkSession.sparkContext.broadcast(trees)  # tables of SAMPLE texts a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = model.value

@@ -177,15 +177,15 @@ def ranked(cut: DataFrame) -> DataFrame:
     """``cut`` with ``rank``: 0, 1, ... among the pieces of each length.
 
     Pieces of a length are dealt into buckets by a hash, ranked in each, and moved up by the sizes of the buckets before;
-    a length that a third of all pieces have is ranked by many tasks.
+    a length that a third of all pieces have is ranked by many tasks, even if they are one piece repeated (``salt``).
     """
     total = cut.count()
-    bucketed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(1, total // RANK_ROWS))))
+    bucketed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", *(x for x in cut.columns if x == "salt")), F.lit(max(1, total // RANK_ROWS))))
     sizes = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    return bucketed.withColumn("within", F.row_number().over(inside) - 1).join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("within")).drop("bucket", "base", "within")
+    return bucketed.withColumn("within", F.row_number().over(inside) - 1).join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("within")).drop("bucket", "base", "within", "salt")
 
 
 def pack(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
@@ -194,7 +194,7 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, ranks
     Null and empty texts are pieces of one id. Repeated rows are packed as often as they come. An empty table gives no rows.
     Other columns of ``docs`` are ignored.
     """
-    cut = store.written(pieces(docs, size, vocabulary, ranks), "pieces")
+    cut = store.written(pieces(docs, size, vocabulary, ranks).withColumn("salt", F.monotonically_increasing_id()), "pieces")  # written, so the same to all who read it
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # one row for each length of at most size
     plan = places(best_two_fit(histogram, size))
 

@@ -125,7 +125,8 @@ def graded(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from at most ``sample`` rated documents, a third of each grade where there are enough, chosen by a hash.
 
-    A document rated more than once counts with its lowest grade. None if no rated document has a row.
+    A document rated more than once counts with its lowest grade, and one with several rows with its least text, so no more than
+    ``sample`` lists of hashed words come to the driver. None if no rated document has a row.
     """
     rated = ratings.groupBy("doc_id").agg(F.min("grade").alias("grade")).withColumn("_h", F.xxhash64("doc_id"))
     sizes = {r["grade"]: r["n"] for r in rated.groupBy("grade").agg(F.count("*").alias("n")).collect()}  # one row a grade
@@ -141,7 +142,8 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model | No
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.astype(np.int32)))
             yield pa.record_batch([batch.column(0), lists], names=["grade", "found"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(run, "grade int, found array<int>").toArrow()
+    one_each = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    rows = one_each.select("grade", "text").mapInArrow(run, "grade int, found array<int>").toArrow()
     if not rows.num_rows:
         return None
     lists = rows.column("found").combine_chunks()

@@ -41,3 +41,21 @@ def frame(spark, data):
     for k, name in enumerate(CLASH):
         df = df.withColumn(name, F.lit(k))
     return df.withColumn("lang", F.lit("xx")).withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def thue_morse(n, letters="ab"):
+    """A string that has the same hash, modulo 2**64, as the one with its two letters swapped, whatever the base."""
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+def twins():
+    """Rows with long words, and lines, that a hash modulo 2**64 takes for each other."""
+    shared = " ".join(f"common{i}" for i in range(60))
+    out = []
+    for k, n in enumerate((1024, 2048, 4096, 8192)):
+        for letters in ("ab", "ba"):
+            word = thue_morse(n, letters)
+            out.append((len(out), word))
+            out.append((len(out), f"{shared.rsplit(' ', 11)[0]} {word}\n{word} one two three {k}"))
+            out.append((len(out), f"{word}{word}"))
+    return out + [(100, out[1][1]), (101, shared), (102, "some other words " + shared)]

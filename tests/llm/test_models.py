@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from netloom.llm import language, quality, scan
 from tests.llm import cases
@@ -102,3 +103,55 @@ def test_grades_are_learned_in_order(spark):
     assert quality.fit(df, quality.graded(labels.limit(0))) is None
     assert quality.score(df, None).count() == df.count()
     assert quality.score(df.limit(0), model).count() == 0
+
+
+def test_the_fit_is_as_good_as_a_plain_one_and_scores_follow_the_definition(spark):
+    rnd = random.Random(3)
+    docs = []
+    for i in range(240):
+        words = [rnd.choice("abcdefghij") * 3 for _ in range(8)]
+        if rnd.random() < 0.8:
+            words += [("bad", "dull", "fine")[i % 3]] * rnd.randrange(1, 3)
+        docs.append(" ".join(words))
+    grades = np.array([i % 3 for i in range(240)])
+    found, offsets = quality.features(*scan.text_bytes(pa.array(docs)))
+    model = quality.train(found, offsets, grades, least=4)
+    used = np.flatnonzero(model.weights)
+    x = np.array([[f in set(found[a:b].tolist()) for f in used] for a, b in zip(offsets[:-1], offsets[1:])], float)
+
+    def loss(w, t):
+        p = 1 / (1 + np.exp(-(np.array([-np.inf, t[0], t[1], np.inf])[None, :] - (x @ w)[:, None])))
+        return float(np.mean([-math.log(p[i, g + 1] - p[i, g]) for i, g in enumerate(grades)])) + quality.RIDGE / 20 * float(w @ w)
+
+    w, t = np.zeros(len(used)), np.array([-0.5, 0.5])
+    for _ in range(3000):  # by differences, without the formulas of the fit
+        base = loss(w, t)
+        slope_w = np.array([(loss(w + 1e-5 * (np.arange(len(w)) == j), t) - base) / 1e-5 for j in range(len(w))]) if len(w) < 12 else None
+        assert slope_w is not None
+        slope_t = np.array([(loss(w, t + 1e-5 * (np.arange(2) == j)) - base) / 1e-5 for j in range(2)])
+        w, t = w - 1.0 * slope_w, t - 1.0 * slope_t
+        if max(np.abs(slope_w).max(initial=0), np.abs(slope_t).max()) < 1e-3:
+            break
+    assert {3 <= len(used)} == {True} and loss(model.weights[used], model.thresholds) <= loss(w, t) + 0.02
+    shown = quality.score(cases.frame(spark, list(enumerate(docs))), model).collect()
+    for r in shown:
+        z = sum(model.weights[f] for f in found[offsets[r.doc_id] : offsets[r.doc_id + 1]])
+        tails = [1 / (1 + math.exp(-(z - cut))) for cut in model.thresholds]
+        assert r.expected_grade == pytest.approx(sum(tails)) and (r.p_at_least_1, r.p_at_least_2) == pytest.approx(tuple(tails))
+        assert r.keep == (tails[0] >= 0.5 and tails[1] >= quality.KEEP)
+
+
+def test_repeated_rows_of_a_rated_document_teach_once(spark):
+    rows = [(i, ("good text " if i % 2 else "scum idiot ") + f"word{i}") for i in range(60)]
+    labels = quality.graded(spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(60)], "doc_id long, quality int, toxic int"))
+    one = quality.fit(cases.frame(spark, rows), labels)
+    many = quality.fit(cases.frame(spark, rows + [rows[1], rows[2]] * 30), labels)
+    assert np.array_equal(one.weights, many.weights) and np.array_equal(one.thresholds, many.thresholds)
+
+
+def test_copies_of_a_text_teach_a_language_once(spark):
+    rnd = random.Random(5)
+    rows = [("aa", made(rnd, "abcdef", 12)) for _ in range(20)] + [("bb", made(rnd, "defgh", 12)) for _ in range(20)]
+    one, many = trees(spark, rows), trees(spark, rows + [rows[0]] * 300)
+    probe = scan.text_bytes(pa.array(["abc def hgf", rows[3][1]]))
+    assert np.allclose(one.code_lengths(*probe), many.code_lengths(*probe))
