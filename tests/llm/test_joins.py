@@ -178,12 +178,12 @@ def test_line_dedup(spark, monkeypatch, edits, least, small):
     want = []
     for k, (i, text) in enumerate(data):
         gone = {at for order, j, at, line in places if j == k and (order, at) != first[tied.find(line)]}
-        at, kept = 0, []
-        for line in (text or "").split("\n"):
+        at, kept, every = 0, "", (text or "").split("\n")
+        for k_, line in enumerate(every):
             if at not in gone:
-                kept.append(line)
+                kept += line + "\n" * (k_ + 1 < len(every))  # a line goes with its own break
             at += len(line.encode()) + 1
-        want.append((str(i), len((text or "").split("\n")) if text else 0, len(gone), str(text if text is None else "\n".join(kept) if kept else "")))
+        want.append((str(i), len(every) if text else 0, len(gone), str(text if text is None else kept)))
     got = lines.dedup(cases.frame(spark, data), edits, least)
     assert set(got.columns) == {"doc_id", "n_lines", "n_removed", "cut", "row"}
     rows = got.collect()

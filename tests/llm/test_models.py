@@ -115,7 +115,7 @@ def test_the_fit_is_as_good_as_a_plain_one_and_scores_follow_the_definition(spar
         docs.append(" ".join(words))
     grades = np.array([i % 3 for i in range(240)])
     found, offsets = quality.features(*scan.text_bytes(pa.array(docs)))
-    model = quality.train(found, offsets, grades, least=4)
+    model = quality.train(found, offsets, grades, least=4, rounds=6000)
     used = np.flatnonzero(model.weights)
     x = np.array([[f in set(found[a:b].tolist()) for f in used] for a, b in zip(offsets[:-1], offsets[1:])], float)
 
