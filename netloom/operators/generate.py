@@ -6,12 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import scalar
+from netloom.operators import space
 
 METRES_A_MINUTE = 30 * 1609 / 60
+#: Zones between all of which distances are taken at most.
+MOST_ZONES = 50_000
 
 
 def accessibility(zones: DataFrame) -> DataFrame:
-    """o, d, metres, minutes at 30 miles an hour between all zones. Zones are a few thousand at most."""
+    """o, d, metres, minutes at 30 miles an hour between all zones: a matrix, for at most MOST_ZONES zones.
+
+    The other side of the product is broadcast, after its size is checked.
+    """
+    if (n := zones.count()) > MOST_ZONES:
+        raise ValueError(f"{n} zones; a matrix of at most {MOST_ZONES} is made")
     a = zones.select(F.col("zone_id").alias("o"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     b = zones.select(F.col("zone_id").alias("d"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     metres = scalar.haversine_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
@@ -39,6 +47,7 @@ def grid_zones(nodes: DataFrame, cells: int = 8) -> DataFrame:
     """
     box = nodes.agg(F.min("x").alias("left"), F.max("x").alias("right"), F.min("y").alias("bottom"), F.max("y").alias("top"))
     raw = (F.col("right") - F.col("left") + F.col("top") - F.col("bottom")) / 2 / cells
+    # The sides of cells that may be chosen, in degrees.
     ladder = [0.00005, 0.0001, 0.0002, 0.00025, 0.0005, 0.001, 0.002, 0.0025, 0.005, 0.01, 0.02, 0.025, 0.05, 0.1, 0.2, 0.25, 0.5, 1.0, 2.0]
     step = F.lit(ladder[-1])
     for value in reversed(ladder):
@@ -55,8 +64,6 @@ def activity_nodes(nodes: DataFrame, every: int = 10) -> DataFrame:
 
 
 def mean_nearest(nodes: DataFrame) -> DataFrame:
-    """One row, ``metres``: the mean distance of places (node_id, x, y) to the nearest other. Places are a sample, compared in blocks."""
-    other = nodes.select(F.col("node_id").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    met = nodes.crossJoin(F.broadcast(other)).where("node_id <> b")
-    metres = scalar.haversine_m(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))
-    return met.groupBy("node_id").agg(F.min(metres).alias("m")).agg(F.avg("m").alias("metres"))
+    """One row, ``metres``: the mean distance of places (node_id, x, y) to the nearest other."""
+    other = nodes.select(F.col("node_id").alias("b"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    return space.nearest(nodes, other, "node_id", "b", other=True).agg(F.avg("metres").alias("metres"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.functions import vdf
+
 c = F.col
 MPH = 1.609
 
@@ -26,18 +28,43 @@ def network_speed(measures: DataFrame) -> DataFrame:
     return measures.agg(F.sum("vmt").alias("vmt"), F.sum("vht").alias("vht"), (F.sum("vmt") / F.sum("vht")).alias("speed_mph"), F.avg(share).alias("ref_mape"))
 
 
+def emissions(perf: DataFrame, rates: DataFrame) -> DataFrame:
+    """link_id, period, mode and kilograms that a vehicle emits on a link, a column ``<kind>_kg`` for each kind of ``rates``.
+
+    ``rates``: link_type, mode, kind, rate (four coefficients): a few rows.
+    """
+    met = perf.select("link_id", "period", "link_type", "minutes", "fftt", "vf").join(F.broadcast(rates), "link_type")
+    kinds = sorted(r["kind"] for r in rates.select("kind").distinct().collect())  # co2, nox
+    each = met.withColumn("kg", vdf.emission_kg(c("minutes"), c("fftt"), c("vf"), c("rate")))
+    return each.groupBy("link_id", "period", "mode").agg(*(F.coalesce(F.sum(F.when(c("kind") == k, c("kg"))), F.lit(0.0)).alias(f"{k}_kg") for k in kinds))
+
+
+def emitted(paths: DataFrame, emissions_: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and kilograms of all vehicles of paths (mode, period, link_seq, volume): of links, routes, cells or the whole system."""
+    kinds = [x for x in emissions_.columns if x.endswith("_kg")]
+    steps = paths.select(*{*keys, "mode", "period", "volume"} - {"link_id"}, F.explode("link_seq").alias("link_id"))
+    met = steps.join(emissions_, ["link_id", "period", "mode"])
+    return met.groupBy(*keys).agg(*(F.sum(c(k) * c("volume")).alias(k) for k in kinds))
+
+
+def mode_volumes(tallied: DataFrame, modes: list[str]) -> DataFrame:
+    """One row a link and period with the vehicles and persons of each mode in columns."""
+    wide = tallied.groupBy("link_id", "period").pivot("mode", modes).agg(F.sum("vehicles").alias("vehicles"), F.sum("persons").alias("persons"))
+    return wide.na.fill(0.0)
+
+
 def route_measures(pool: DataFrame, perf: DataFrame) -> DataFrame:
     """Paths with minutes, free-flow minutes, delay, kilometres, toll and the sequence of nodes."""
     keys = ["o", "d", "mode", "period", "path"]
     steps = pool.select(*keys, "volume", F.posexplode("link_seq").alias("k", "link_id"))
-    seen = perf.select("link_id", "period", "to_node_id", "minutes", "fftt", "distance_km", "toll_auto")
+    seen = perf.select("link_id", "period", "from_node_id", "to_node_id", "minutes", "fftt", "distance_km", "toll_auto")
     met = steps.join(seen, ["link_id", "period"])
     out = met.groupBy(*keys).agg(
         F.first("volume").alias("volume"), F.sum("minutes").alias("minutes"), F.sum("fftt").alias("fftt"), F.sum(F.greatest(F.lit(0.0), c("minutes") - c("fftt"))).alias("delay"), F.sum("distance_km").alias("km"),
-        F.sum(F.when(c("mode") == "auto", c("toll_auto")).otherwise(0.0)).alias("toll"), F.sort_array(F.collect_list(F.struct("k", "to_node_id"))).alias("_n"),
+        F.sum(F.when(c("mode") == "auto", c("toll_auto")).otherwise(0.0)).alias("toll"), F.sort_array(F.collect_list(F.struct("k", "from_node_id", "to_node_id"))).alias("_n"),
     )
     names = F.transform("_n", lambda n: n["to_node_id"].cast("string"))
-    return out.withColumn("node_sequence", F.concat_ws(";", c("o").cast("string"), F.array_join(names, ";"))).drop("_n")
+    return out.withColumn("node_sequence", F.concat_ws(";", F.element_at("_n", 1)["from_node_id"].cast("string"), F.array_join(names, ";"))).drop("_n")
 
 
 def od_measures(routes: DataFrame) -> DataFrame:

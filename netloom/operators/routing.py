@@ -1,7 +1,9 @@
 """Shortest path trees per origin, by a kernel over a broadcast network, and the same in DataFrames as a cross-check.
 
 Costs are whole millionths of a minute, so sums are exact and ties are real; of equal routes the one with the least sequence
-of link numbers is taken. The network goes to each task as arrays once; origins are dealt over tasks.
+of link numbers is taken. The network goes to each task as arrays once; origins are dealt over tasks. Where turns are banned,
+labels are kept for links instead of nodes, which is exact. A node with a number below 0 is a zone's centroid: trips begin and end
+there, and none passes it.
 """
 
 from __future__ import annotations
@@ -35,14 +37,21 @@ class Star:
 
 @dataclass(frozen=True)
 class Network:
-    """A star and its costs for each (mode, period); a cost below 0 closes a link. ``banned``: pairs of links that may not follow."""
+    """A star and its costs for each (mode, period); a cost below 0 closes a link.
+
+    ``banned``: pairs of links that may not follow each other, for ``banned_modes`` alone if these are given.
+    """
 
     star: Star
     costs: dict[tuple[str, str], np.ndarray]
     banned: frozenset[tuple[int, int]] = frozenset()
+    banned_modes: frozenset[str] | None = None
+
+    def bans(self, mode: str) -> frozenset[tuple[int, int]]:
+        return self.banned if self.banned_modes is None or mode in self.banned_modes else frozenset()
 
 
-def network(costs: DataFrame, reverse: bool = False, banned: DataFrame | None = None) -> Network:
+def network(costs: DataFrame, reverse: bool = False, banned: DataFrame | None = None, banned_modes: tuple[str, ...] | None = None) -> Network:
     """A network from link_id, from_node_id, to_node_id, mode, period, cost (long), all modes and periods of a few nodes' links.
 
     The table is checked before it comes to the driver: it has a row for each link, mode and period of one network.
@@ -63,26 +72,55 @@ def network(costs: DataFrame, reverse: bool = False, banned: DataFrame | None =
         cost[[place[int(x)] for x in part.link_id]] = part.cost.to_numpy()
         by[str(mode), str(period)] = cost
     pairs = frozenset((int(r[0]), int(r[1])) for r in banned.select("link_id", "next_link_id").collect()) if banned is not None else frozenset()
-    return Network(star, by, pairs)
+    return Network(star, by, pairs, None if banned_modes is None else frozenset(banned_modes))
 
 
-def tree(star: Star, cost: np.ndarray, origin: int, banned: frozenset[tuple[int, int]] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
-    """(label of each node, place of the link it is reached by) from an origin's place; -1 where there is none.
+def tree(star: Star, cost: np.ndarray, origin: int, banned: frozenset[tuple[int, int]] = frozenset(), wanted: set[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label of each node, place of the link it is reached by, place of the link before each link), from an origin's place; -1 where there is none.
 
-    A heap of (cost, node) with strict updates; where two ways cost the same, the less link sequence wins.
+    A heap of (cost, node or link) with strict updates; where two ways cost the same, the less link sequence wins. With ``wanted`` places
+    the search ends once all of them are reached for good.
     """
-    n = len(star.node_ids)
-    label, link = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    n, m = len(star.node_ids), len(star.link_ids)
+    label, link, before = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.full(m, -1, np.int64)
     source = np.repeat(np.arange(n), np.diff(star.first))
-
-    def route(node: int) -> list[int]:
-        out = []
-        while node != origin:
-            out.append(int(star.link_ids[link[node]]))
-            node = int(source[link[node]])
-        return out[::-1]
-
     label[origin] = 0
+    left = set(wanted) - {origin} if wanted is not None else None
+
+    def ahead(node: int) -> range:
+        return range(star.first[node], star.first[node + 1]) if node == origin or star.node_ids[node] >= 0 else range(0)
+
+    if banned:
+        name = star.link_ids
+        reach = np.full(m, -1, np.int64)
+        done = np.zeros(m, bool)
+        heap = []
+        for e in ahead(origin):
+            if cost[e] >= 0:
+                reach[e] = cost[e]
+                heapq.heappush(heap, (int(cost[e]), e))
+        while heap:
+            at, e = heapq.heappop(heap)
+            if done[e]:
+                continue
+            done[e] = True
+            node = int(star.head[e])
+            if label[node] < 0 or (label[node] == at and node != origin and route(star, e, before) < route(star, int(link[node]), before)):
+                label[node], link[node] = at, e
+            if left is not None and all(label[x] >= 0 and label[x] < at for x in left):
+                break
+            for f in ahead(node) if node != origin else ():
+                step = int(cost[f])
+                if step < 0 or done[f] or (int(name[e]), int(name[f])) in banned:
+                    continue
+                new = at + step
+                if reach[f] < 0 or new < reach[f]:
+                    reach[f], before[f] = new, e
+                    heapq.heappush(heap, (new, f))
+                elif new == reach[f] and route(star, e, before) < route(star, int(before[f]), before):
+                    before[f] = e
+        return label, link, before
+
     done = np.zeros(n, bool)
     heap = [(0, origin)]
     while heap:
@@ -90,50 +128,77 @@ def tree(star: Star, cost: np.ndarray, origin: int, banned: frozenset[tuple[int,
         if done[node]:
             continue
         done[node] = True
-        for e in range(star.first[node], star.first[node + 1]):
+        if left is not None:
+            left.discard(node)
+            if not left:
+                break
+        for e in ahead(node):
             step, to = int(cost[e]), int(star.head[e])
-            if step < 0 or done[to] or (banned and node != origin and (int(star.link_ids[link[node]]), int(star.link_ids[e])) in banned):
+            if step < 0 or done[to]:
                 continue
             new = at + step
             if label[to] < 0 or new < label[to]:
-                label[to], link[to] = new, e
+                label[to], link[to], before[e] = new, e, link[node]
                 heapq.heappush(heap, (new, to))
-            elif new == label[to] and [*route(node), int(star.link_ids[e])] < route(to):
-                link[to] = e
-    return label, link
+            elif new == label[to]:
+                before[e] = link[node]
+                if route(star, e, before) < route(star, int(link[to]), before):
+                    link[to] = e
+    used = link >= 0
+    before[link[used]] = link[source[link[used]]]
+    return label, link, before
+
+
+def route(star: Star, last: int, before: np.ndarray) -> list[int]:
+    """Link numbers, in driving order, of the way that ends with a link's place."""
+    out = []
+    while last >= 0:
+        out.append(int(star.link_ids[last]))
+        last = int(before[last])
+    return out[::-1]
+
+
+#: Rows that a task of ``trees`` holds before it hands them on.
+FLUSH = 2000
 
 
 def trees(origins: DataFrame, net: Network) -> DataFrame:
-    """o, d, mode, period, cost, link_seq for each reachable d of each row of ``origins`` (o, mode, period); links in driving order."""
+    """o, d, mode, period, cost, link_seq for each reachable d of each row of ``origins`` (o, mode, period); links in driving order.
+
+    With a column ``dests`` (an array of nodes) only ways to these are traced.
+    """
     shared = origins.sparkSession.sparkContext.broadcast(net)
     tasks = int(origins.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = "dests" in origins.columns
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()))
+
+    def packed(out: list[list]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["o", "d", "mode", "period", "cost", "link_seq"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         star, place = net.star, net.star.index()
-        source = np.repeat(np.arange(len(star.node_ids)), np.diff(star.first))
+        out: list[list] = [[] for _ in kinds]
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for o, mode, period in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+                o, mode, period = row[:3]
                 if o not in place or (mode, period) not in net.costs:
                     continue
                 origin = place[o]
-                label, link = tree(star, net.costs[mode, period], origin, net.banned)
-                routes: dict[int, list[int]] = {origin: []}
-                for node in np.argsort(label, kind="stable"):
+                wanted = {place[d] for d in row[3] if d in place} if some else None
+                label, link, before = tree(star, net.costs[mode, period], origin, net.bans(mode), wanted)
+                for node in sorted(wanted) if some else np.flatnonzero(label >= 0):
                     if label[node] >= 0 and node != origin:
-                        stack, at = [], int(node)
-                        while at not in routes:
-                            stack.append(at)
-                            at = int(source[link[at]])
-                        for x in reversed(stack):
-                            routes[x] = [*routes[int(source[link[x]])], int(star.link_ids[link[x]])]
-                        for column, value in zip(out, (o, int(star.node_ids[node]), mode, period, int(label[node]), routes[int(node)]), strict=True):
+                        for column, value in zip(out, (o, int(star.node_ids[node]), mode, period, int(label[node]), route(star, int(link[node]), before)), strict=True):
                             column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.record_batch([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["o", "d", "mode", "period", "cost", "link_seq"])
-
-    return origins.select("o", "mode", "period").repartition(tasks, "o", "mode", "period").mapInArrow(run, "o long, d long, mode string, period string, cost long, link_seq array<long>")
+                        if len(out[0]) >= FLUSH:
+                            yield packed(out)
+                            out = [[] for _ in kinds]
+        if out[0]:
+            yield packed(out)
+
+    names = ["o", "mode", "period", *(["dests"] if some else [])]
+    return origins.select(*names).repartition(tasks, "o", "mode", "period").mapInArrow(run, "o long, d long, mode string, period string, cost long, link_seq array<long>")
 
 
 def labels_by_rounds(origins: DataFrame, costs: DataFrame, rounds: int) -> DataFrame:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators import demand
+
 c = F.col
 #: Multiplier, modulus and seed of the linear congruential generator of capacity rounding.
 LCG = (17364, 65521, 101)
@@ -44,6 +46,13 @@ def vehicles(pool: DataFrame, start_min: dict[str, float], span_min: float = 60.
     return out.select(key.alias("agent_id"), "o", "d", "mode", "period", "link_seq", ((F.element_at(first, c("period")) + (c("v") + 0.5) / c("n") * span_min) * 60).alias("departure_s"))
 
 
+def profiled(pool: DataFrame, slots: DataFrame) -> DataFrame:
+    """One row per vehicle as ``vehicles`` gives, leaving by a departure profile (slot of 5 minutes, weight) instead of evenly."""
+    keys = ["o", "d", "mode", "period", "path", "link_seq"]
+    out = demand.departures(agents(pool).select(*keys, "n"), demand.profile(slots))
+    return out.select(F.xxhash64("o", "d", "mode", "period", "path", "v").alias("agent_id"), "o", "d", "mode", "period", "link_seq", (c("departure_min") * 60).alias("departure_s"))
+
+
 def capacity_seconds(links: DataFrame, seconds: int) -> DataFrame:
     """link_id, second, capacity: whole vehicles that may leave each second; fractions add up to the hourly rate."""
     rate = c("capacity") * c("lanes") / 3600
@@ -74,7 +83,8 @@ def queue_kernel(cars: pd.DataFrame, net: pd.DataFrame, step_s: float, tail_min:
 
     Each step: due vehicles enter their first link; on every node the links that end there take turns (the first in turn moves with
     the step) and pass vehicles on while they have capacity, the head of their exit queue has spent its free-flow time,
-    and the next link has room. Trips end at their last link.
+    and the next link has room. Trips end at their last link. A link with a signal (cycle_s above 0) passes vehicles on in its green
+    time alone, and gathers no capacity in red.
     """
     cars = cars.sort_values(["departure_s", "agent_id"], kind="stable")
     routes = [list(map(int, x)) for x in cars.link_seq]
@@ -82,6 +92,7 @@ def queue_kernel(cars: pd.DataFrame, net: pd.DataFrame, step_s: float, tail_min:
     free = dict(zip(net.link_id, net.fftt * 60, strict=True))
     rate = dict(zip(net.link_id, net.capacity * net.lanes / 3600 * step_s, strict=True))
     room = dict(zip(net.link_id, net.spatial_capacity, strict=True))
+    signal = {int(x): (cy, g, n) for x, cy, g, n in zip(net.link_id, net.cycle_s, net.green_s, net.green_len_s, strict=True) if cy > 0}
     at_node: dict[int, list[int]] = {}
     for link, node in sorted(zip(net.link_id, net.to_node_id, strict=True)):
         at_node.setdefault(int(node), []).append(int(link))
@@ -114,6 +125,10 @@ def queue_kernel(cars: pd.DataFrame, net: pd.DataFrame, step_s: float, tail_min:
             for j in range(len(incoming)):
                 link = incoming[(j + turn) % len(incoming)]
                 q = queue[link]
+                if link in signal:
+                    cycle, green, lasts = signal[link]
+                    if (t - green) % cycle >= lasts:
+                        continue
                 credit[link] = min(credit[link] + rate[link], max(1.0, rate[link])) if not q else credit[link] + rate[link]
                 while q and credit[link] >= 1 and q[0][2] <= t:
                     i, k, _ = q[0]
@@ -133,12 +148,23 @@ def queue_kernel(cars: pd.DataFrame, net: pd.DataFrame, step_s: float, tail_min:
     return pd.DataFrame(rows, columns=["agent_id", "k", "link_id", "arrival_s", "departure_s"])
 
 
+#: Links of one network that are broadcast to the kernel at most.
+MOST_LINKS = 5_000_000
+
+
 def simulate(cars: DataFrame, links: DataFrame, group: str = "period", step_s: float = 2.0, tail_min: float = 10.0) -> DataFrame:
     """group, agent_id, k, link_id, arrival_s, departure_s: the queue kernel run once for each group of vehicles.
 
-    ``links`` is one network, which goes to each task.
+    ``links`` is one network, which goes to each task after its size is checked. Links of the traffic flow model ``point_queue`` (a column
+    traffic_flow_model) hold any number of vehicles; columns cycle_s, green_s and green_len_s set signals. A group is one task, since
+    what happens on a link depends on all others at that moment: its vehicles must fit into a task's memory.
     """
-    net = links.select("link_id", "to_node_id", "fftt", "capacity", "lanes", "spatial_capacity").toPandas()
+    if (n := links.count()) > MOST_LINKS:
+        raise ValueError(f"{n} links; at most {MOST_LINKS} are broadcast")
+    have = links.columns
+    room = F.when(c("traffic_flow_model") == "point_queue", F.lit(float("inf"))).otherwise(c("spatial_capacity")) if "traffic_flow_model" in have else c("spatial_capacity")
+    signal = [F.coalesce(c(x), F.lit(0.0)).cast("double").alias(x) if x in have else F.lit(0.0).alias(x) for x in ("cycle_s", "green_s", "green_len_s")]
+    net = links.select("link_id", "to_node_id", "fftt", "capacity", "lanes", room.cast("double").alias("spatial_capacity"), *signal).toPandas()
     shared = cars.sparkSession.sparkContext.broadcast(net)
 
     def run(key: tuple, some: pd.DataFrame) -> pd.DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import scalar
+from netloom.plans import lineage
 
 
 def polygon_segments(polygon: DataFrame) -> DataFrame:
@@ -35,22 +38,79 @@ def crossing(pairs: DataFrame, segments: DataFrame, keys: list[str]) -> DataFram
     return met.groupBy(*keys).agg(F.max(cross).alias("crosses"))
 
 
-def nearest(points: DataFrame, seeds: DataFrame, key: str, seed: str) -> DataFrame:
-    """key, seed, metres: the nearest seed (seed, sx, sy) of each point (x, y), the least of equals.
+def reach_m(y: Column, res: Column) -> Column:
+    """Metres that no point outside the three by three cells of ``res`` degrees around a point's own can be nearer than."""
+    low = F.cos(F.radians(y)) * F.cos(F.radians(F.least(F.lit(90.0), F.abs(y) + res)))
+    across = 2 * F.asin(F.least(F.lit(1.0), F.sqrt(F.greatest(F.lit(0.0), low)) * F.sin(F.radians(F.least(res, F.lit(180.0))) / 2)))
+    return scalar.EARTH_RADIUS_M * F.least(F.radians(res), across)
 
-    Seeds are a few named places (districts, super-zones); they are compared block by block with all points.
+
+def around(points: DataFrame, seeds: DataFrame, res: float, names: list[str]) -> DataFrame:
+    """``points`` (x, y, ...) with each seed (``names``, sx, sy) in their cell of ``res`` degrees or a neighbouring one, and ``metres`` to it.
+
+    A join on cells: seeds are copied to nine of them, points are not.
+    """
+    cell = lambda x, y: [F.floor(F.col(x) / res).alias("_ix"), F.floor(F.col(y) / res).alias("_iy")]
+    step = F.sequence(F.lit(-1), F.lit(1))
+    dealt = seeds.select(*names, "sx", "sy", *cell("sx", "sy")).withColumn("_ix", F.explode(F.transform(step, lambda d: F.col("_ix") + d))).withColumn("_iy", F.explode(F.transform(step, lambda d: F.col("_iy") + d)))
+    met = points.select("*", *cell("x", "y")).join(dealt, ["_ix", "_iy"]).drop("_ix", "_iy")
+    return met.withColumn("metres", F.round(scalar.haversine_m(F.col("x"), F.col("y"), F.col("sx"), F.col("sy")), 3))
+
+
+def nearest(points: DataFrame, seeds: DataFrame, key: str, seed: str, other: bool = False) -> DataFrame:
+    """key, seed, metres: the nearest seed (seed, sx, sy) of each point (x, y), the least of equals; with ``other``, not one of its own name.
+
+    Points look in the cells around them, of a size at which a cell has a seed or two; those that find none surely nearest there look
+    again in cells four times as large, until the cells around a point are the whole box. A few rounds, each over fewer points.
     """
-    met = points.crossJoin(F.broadcast(seeds)).withColumn("metres", F.round(scalar.haversine_m(F.col("x"), F.col("y"), F.col("sx"), F.col("sy")), 3))
-    return met.groupBy(key).agg(F.min(F.struct("metres", seed)).alias("m")).select(key, f"m.{seed}", "m.metres")
+    box = seeds.agg(F.count("*").alias("n"), (F.max("sx") - F.min("sx")).alias("w"), (F.max("sy") - F.min("sy")).alias("h")).first()
+    if not box["n"]:
+        return points.select(key, F.lit(None).cast(seeds.schema[seed].dataType).alias(seed), F.lit(None).cast("double").alias("metres")).limit(0)
+    span = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    ends = seeds.agg(F.min("sx"), F.max("sx"), F.min("sy"), F.max("sy")).first()
+    extent = max([1e-6, *(max(p, q) - min(r, t) for p, q, r, t in ((span[1], ends[1], span[0], ends[0]), (span[3], ends[3], span[2], ends[2])) if p is not None)])
+    res = max(1e-6, ((box["w"] or 1e-6) * (box["h"] or 1e-6) / box["n"]) ** 0.5)
+    left = points.where("x IS NOT NULL AND y IS NOT NULL").select(key, "x", "y")
+    found = []
+    while True:
+        last = res > extent
+        met = around(left, seeds, 4 * res if last else res, [seed])
+        best = (met.where(F.col(key) != F.col(seed)) if other else met).groupBy(key, "y").agg(F.min(F.struct("metres", seed)).alias("m"))
+        best = best.select(key, f"m.{seed}", "m.metres", (F.lit(last) | (F.col("m.metres") + 0.002 < reach_m(F.col("y"), F.lit(res)))).alias("_sure"))
+        best = lineage.cut(best)
+        found.append(best.where("_sure").drop("_sure"))
+        if last:
+            return reduce(DataFrame.unionByName, found)
+        left = lineage.cut(left.join(best.where("_sure").select(key), key, "left_anti"))
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        res *= 4
 
 
 def access(zones: DataFrame, nodes: DataFrame, k: int, least_m: float, most_m: float) -> DataFrame:
-    """zone_id, node_id, metres, rank: up to k nearest nodes of each zone within a band of distances, else the one nearest."""
-    met = zones.select("zone_id", "x", "y").crossJoin(F.broadcast(nodes.select("node_id", F.col("x").alias("sx"), F.col("y").alias("sy"))))
-    met = met.withColumn("metres", F.round(scalar.haversine_m(F.col("x"), F.col("y"), F.col("sx"), F.col("sy")), 3)).withColumn("banded", (F.col("metres") >= least_m) & (F.col("metres") <= most_m))
-    near = Window.partitionBy("zone_id").orderBy(F.desc("banded"), "metres", "node_id")
-    ranked = met.withColumn("rank", F.row_number().over(near)).withColumn("any", F.max("banded").over(Window.partitionBy("zone_id")))
-    return ranked.where((F.col("banded") & (F.col("rank") <= k)) | (~F.col("any") & (F.col("rank") == 1))).select("zone_id", "node_id", "metres", "rank")
+    """zone_id, node_id, metres, rank: up to k nearest nodes of each zone within a band of distances, else the one nearest.
+
+    Zones meet the nodes in the cells around them, of a size that reaches the band's end; those that have none look for the nearest.
+    """
+    steep = zones.agg(F.max(F.abs("y"))).first()[0]
+    if steep is None:
+        return zones.select("zone_id", F.lit(0).cast("long").alias("node_id"), F.lit(0.0).alias("metres"), F.lit(1).alias("rank")).limit(0)
+    res = most_m / scalar.EARTH_RADIUS_M * 180 / math.pi
+    while res < 360 and _reach(steep, res) <= most_m:
+        res *= 1.2
+    at = nodes.select("node_id", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    met = around(zones.select("zone_id", "x", "y"), at, res, ["node_id"]).where((F.col("metres") >= least_m) & (F.col("metres") <= most_m))
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("zone_id").orderBy("metres", "node_id"))).where(F.col("rank") <= k)
+    ranked = lineage.cut(ranked.select("zone_id", "node_id", "metres", "rank"))
+    far = lineage.cut(zones.select("zone_id", "x", "y").join(ranked.select("zone_id"), "zone_id", "left_anti"))
+    if far.isEmpty():
+        return ranked
+    return ranked.union(nearest(far, at, "zone_id", "node_id").select("zone_id", "node_id", "metres", F.lit(1)))
+
+
+def _reach(y: float, res: float) -> float:
+    low = math.cos(math.radians(y)) * math.cos(math.radians(min(90.0, abs(y) + res)))
+    return scalar.EARTH_RADIUS_M * min(math.radians(res), 2 * math.asin(min(1.0, math.sqrt(max(0.0, low)) * math.sin(math.radians(min(res, 180.0)) / 2))))
 
 
 def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,10 @@ class Inputs:
     periods: DataFrame
     demand: DataFrame
     share: float = loading.PERIOD_SHARE
+    rules: loading.Rules = loading.Rules()
+    banned: DataFrame | None = None  #: link_id, next_link_id of turns that may not be made
+    banned_modes: tuple[str, ...] | None = None  #: by whom; by all if None
+    fixed: DataFrame | None = None  #: o, d, mode, period, path, link_seq, volume that stay on their paths
 
 
 @dataclass(frozen=True)
@@ -29,13 +34,18 @@ class Result:
     gap_percent: float
 
 
-def _performance(i: Inputs, pool: DataFrame | None) -> DataFrame:
-    volume = loading.volumes(loading.tally(pool, i.modes)) if pool is not None else None
-    return loading.performance(i.links, i.periods, volume, i.share)
+def performance(i: Inputs, pool: DataFrame | None) -> DataFrame:
+    paths = [x.select("mode", "period", "link_seq", "volume") for x in (pool, i.fixed) if x is not None]
+    volume = loading.volumes(loading.tally(reduce(DataFrame.unionByName, paths), i.modes)) if paths else None
+    return loading.performance(i.links, i.periods, volume, i.share, i.rules)
 
 
 def link_costs(i: Inputs, pool: DataFrame | None) -> DataFrame:
-    return loading.costs(_performance(i, pool), i.modes)
+    return loading.costs(performance(i, pool), i.modes, i.rules)
+
+
+def network(i: Inputs, costs: DataFrame) -> routing.Network:
+    return routing.network(costs, banned=i.banned, banned_modes=i.banned_modes)
 
 
 def generate(i: Inputs, rounds: int, lag: int = 0) -> DataFrame:
@@ -47,7 +57,7 @@ def generate(i: Inputs, rounds: int, lag: int = 0) -> DataFrame:
     pool: DataFrame | None = None
     seen: list[DataFrame | None] = [None] * (lag + 1)
     for k in range(rounds):
-        net = routing.network(link_costs(i, seen[0]))
+        net = network(i, link_costs(i, seen[0]))
         pool = lineage.cut(columns.merge(pool, loading.all_or_nothing(i.demand, net), k))
         seen = [*seen[1:], pool]
     return pool
@@ -62,7 +72,7 @@ def update(i: Inputs, pool: DataFrame, rounds: int, gap_percent: float = 0.001)
         if gap < gap_percent:
             break
         pool = lineage.cut(columns.shift(costed, n))
-    return Result(pool, _performance(i, pool), gap)
+    return Result(pool, performance(i, pool), gap)
 
 
 def estimate(i: Inputs, pool: DataFrame, sensors: DataFrame, rounds: int = 50) -> tuple[DataFrame, list[dict]]:
@@ -97,7 +107,7 @@ def regenerate(i: Inputs, pool: DataFrame, closed: DataFrame, informed: list[str
     """The pool with one more path, of no volume yet, for each cell of the informed modes: the best that uses no closed link."""
     costs = _open_costs(i, pool, closed)
     cells = i.demand.where(F.col("mode").isin(informed))
-    found = loading.all_or_nothing(cells, routing.network(costs))
+    found = loading.all_or_nothing(cells, network(i, costs))
     keys = [*columns.CELL, "path"]
     new = found.select(*columns.CELL, columns.path_key("link_seq").alias("path"), "link_seq", F.lit(0.0).alias("volume"))
     return pool.select(*keys, "link_seq", "volume").unionByName(new).groupBy(*keys).agg(F.first("link_seq").alias("link_seq"), F.sum("volume").alias("volume"))
@@ -119,21 +129,21 @@ def sensitivity(i: Inputs, pool: DataFrame, closed: DataFrame, informed: list[st
     pool = lineage.cut(regenerate(i, pool, closed, informed))
     day = closed.select("link_id", F.lit(CLOSED_MIN).alias("_min"))
     links = i.links.join(F.broadcast(day), "link_id", "left").withColumn("fftt", F.coalesce("_min", "fftt")).drop("_min")
-    shut = Inputs(links, i.modes, i.periods, i.demand, i.share)
+    shut = replace(i, links=links)
     gap = float("inf")
     for n in range(rounds):
         costed = columns.with_costs(pool, link_costs(shut, pool))
         gap = columns.gap(costed).first()["gap_percent"]
         pool = lineage.cut(columns.shift(costed, n - 1 if n else 0, SCENARIO_STEP, informed))
-    return Result(pool, _performance(shut, pool), gap)
+    return Result(pool, performance(shut, pool), gap)
 
 
 def link_based(i: Inputs, rounds: int) -> DataFrame:
     """link_id, period, volume by successive averages over links alone, without paths."""
     volume: DataFrame | None = None
     for k in range(rounds):
-        perf = loading.performance(i.links, i.periods, volume, i.share)
-        net = routing.network(loading.costs(perf, i.modes))
+        perf = loading.performance(i.links, i.periods, volume, i.share, i.rules)
+        net = network(i, loading.costs(perf, i.modes, i.rules))
         loaded = loading.volumes(loading.tally(loading.all_or_nothing(i.demand, net), i.modes))
         volume = lineage.cut(loading.average(volume, loaded, k))
     return volume

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.operators import columns, estimation, loading, report, routing, scenario
-from netloom.plans import assignment, lineage
+from netloom.plans import assignment, lineage, load
 from netloom.plans.catalog import BASE, DEMAND, near, query
 from netloom.sources import derive
 
@@ -54,9 +55,12 @@ def _round(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({n: near(n, digits) for n in names})
 
 
-def _perf_sql(k: str, volume: str | None) -> str:
+_QUEUE = """least(fftt * vf / greatest(0.1::DOUBLE, CASE WHEN doc < 1 THEN vf / (1 + (1.15::DOUBLE * vf / greatest(0.0001::DOUBLE, vc) - 1) * pow(doc, 4)) ELSE vc / (1 + 0.15::DOUBLE * pow(doc, 4)) END), greatest(15::DOUBLE, hours * 90))"""
+
+
+def _perf_sql(k: str, volume: str | None, queue: bool = False) -> str:
     vol = f"coalesce(v.volume, 0) AS volume FROM link CROSS JOIN period_dim LEFT JOIN {volume} v USING (link_id, period)" if volume else "CAST(0 AS DOUBLE) AS volume FROM link CROSS JOIN period_dim"
-    return f""", perf{k} AS MATERIALIZED (SELECT *, fftt * (1 + CAST(0.15 AS DOUBLE) * pow(doc, 4)) AS minutes FROM (SELECT *, volume / (capacity * CAST({loading.PERIOD_SHARE!r} AS DOUBLE)) AS doc FROM (SELECT link.*, period_dim.*, {vol})))
+    return f""", perf{k} AS MATERIALIZED (SELECT *, {_QUEUE if queue else "fftt * (1 + CAST(0.15 AS DOUBLE) * pow(doc, 4))"} AS minutes FROM (SELECT *, volume / (capacity * CAST({loading.PERIOD_SHARE!r} AS DOUBLE)) AS doc FROM (SELECT link.*, period_dim.*, {vol})))
 , cost{k} AS MATERIALIZED (SELECT link_id, from_node_id, to_node_id, mode, period, CAST(round((minutes + CASE WHEN mode = 'auto' THEN toll_auto ELSE 0 END / vot * 60) * 1000000) AS BIGINT) AS cost FROM perf{k} CROSS JOIN mode_type)"""
 
 
@@ -74,11 +78,11 @@ def _volume_sql(name: str, pool: str) -> str:
 
 
 @lru_cache(maxsize=8)
-def _pool_sql(rounds: int) -> str:
+def _pool_sql(rounds: int, queue: bool = False) -> str:
     """Everything up to the pool after so many rounds: cell demand od, trees, pool{k}, vol{k}."""
     out = f"WITH {BASE} {DEMAND.replace('AS volume FROM cell)', 'AS volume FROM cell WHERE o <> d)')}"
     for k in range(rounds):
-        out += _perf_sql(str(k), f"vol{k}" if k else None) + _tree_sql(str(k))
+        out += _perf_sql(str(k), f"vol{k}" if k else None, queue) + _tree_sql(str(k))
         new = f"SELECT o, d, mode, period, path, volume / {k + 1} AS volume FROM od JOIN tree{k} USING (o, d, mode, period)"
         old = f"SELECT o, d, mode, period, path, volume * {k} / {k + 1} AS volume FROM pool{k} UNION ALL " if k else ""
         out += f", pool{k + 1} AS MATERIALIZED (SELECT o, d, mode, period, path, sum(volume) AS volume FROM ({old}{new}) GROUP BY ALL)" + _volume_sql(str(k + 1), f"pool{k + 1}")
@@ -117,6 +121,58 @@ def sp_labels_by_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return half.where("o <> node").select("o", c("node").alias("d"), "mode", "period", "cost")
 
 
+@query(_pool_sql(1).split(", t0_0 AS")[0] + _tree_sql("0", "NOT (l.from_node_id % 3 = 0 AND mode = 'truck')") + " SELECT o, d, mode, period, cost, path FROM tree0 JOIN od USING (o, d, mode, period)")
+def mode_restricted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of all demand where links are closed to modes that their allowed_uses leave out; cells without a route are left out."""
+    i = _inputs(spark, sf_dir)
+    net = routing.network(loading.costs(assignment.performance(i, None), i.modes, loading.Rules(restricted=True)))
+    return loading.all_or_nothing(i.demand, net).select("o", "d", "mode", "period", "cost", columns.path_key("link_seq").alias("path"))
+
+
+_ALL_NODES = _pool_sql(1).split(", cell AS")[0] + ", od AS (SELECT node_id AS o, 'auto' AS mode, 'am' AS period FROM node)" + _perf_sql("0", None)
+
+
+@query(_ALL_NODES + _tree_sql("0") + """ SELECT o, d, cost, path FROM (SELECT a.district_id + 1 AS o, b.district_id + 1 AS d, cost, path, t.o AS x, t.d AS y FROM tree0 t JOIN node a ON a.node_id = t.o JOIN node b ON b.node_id = t.d WHERE a.district_id <> b.district_id)
+QUALIFY row_number() OVER (PARTITION BY o, d ORDER BY cost, x, path, y) = 1""")
+def connector_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes between districts, each a zone whose connectors lead to all its nodes, by car in the morning."""
+    i = _inputs(spark, sf_dir)
+    zones = derive.nodes(spark, sf_dir).select("node_id", (c("district_id") + 1).alias("zone_id"))
+    perf = loading.performance(load.connected(i.links, zones), i.periods.where("period = 'am'"), None, i.share)
+    net = routing.network(loading.costs(perf, i.modes.where("mode = 'auto'")))
+    found = routing.trees(zones.select((-c("zone_id")).alias("o"), F.lit("auto").alias("mode"), F.lit("am").alias("period")).distinct(), net)
+    return found.where("d < 0").select(F.abs("o").alias("o"), F.abs("d").alias("d"), "cost", columns.path_key(F.filter("link_seq", lambda x: x >= 0)).alias("path"))
+
+
+def _banned_sql() -> str:
+    """Sweeps over links: the least way to each link, none after a link that it may not follow."""
+    step = "lpad(CAST(l.link_id AS VARCHAR), 10, '0')"
+    out = f", b0 AS MATERIALIZED (SELECT o, l.link_id, to_node_id AS node, cost, {step} AS path FROM od JOIN cost0 l ON l.from_node_id = o AND l.mode = 'auto' AND l.period = 'am')"
+    for r in range(1, SWEEPS + 7):
+        out += f""", b{r} AS MATERIALIZED (SELECT * FROM (SELECT * FROM b{r - 1} UNION ALL SELECT o, l.link_id, to_node_id, t.cost + l.cost, path || ';' || {step} FROM b{r - 1} t JOIN cost0 l ON l.from_node_id = node AND l.mode = 'auto' AND l.period = 'am'
+ WHERE (3 * t.link_id + l.link_id) % 7 <> 0) QUALIFY row_number() OVER (PARTITION BY o, link_id ORDER BY cost, path) = 1)"""
+    return out + f" SELECT o, node AS d, cost, path FROM b{SWEEPS + 6} WHERE o <> node QUALIFY row_number() OVER (PARTITION BY o, node ORDER BY cost, path) = 1"
+
+
+@query(_ALL_NODES + _banned_sql())
+def turn_ban_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes from all nodes where a seventh of all turns is banned, by car in the morning."""
+    i = _inputs(spark, sf_dir)
+    costs = assignment.link_costs(i, None).where("mode = 'auto' AND period = 'am'")
+    after = i.links.select(c("from_node_id").alias("to_node_id"), c("link_id").alias("next_link_id"))
+    banned = i.links.select("link_id", "to_node_id").join(after, "to_node_id").where("(3 * link_id + next_link_id) % 7 = 0")
+    origins = derive.nodes(spark, sf_dir).select(c("node_id").alias("o"), F.lit("auto").alias("mode"), F.lit("am").alias("period"))
+    return routing.trees(origins, routing.network(costs, banned=banned)).select("o", "d", "cost", columns.path_key("link_seq").alias("path"))
+
+
+@query(_pool_sql(2, True) + _perf_sql("E", "vol2", True) + " SELECT link_id, period, round(volume, 4) AS volume, round(minutes, 4) AS minutes, round(doc, 6) AS doc FROM perfE")
+def qvdf_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links after two rounds of column generation with the queue-based function."""
+    i = replace(_inputs(spark, sf_dir), rules=loading.Rules(queue=True))
+    perf = assignment.performance(i, assignment.generate(i, 2))
+    return _round(_round(perf, 4, "volume", "minutes"), 6, "doc").select("link_id", "period", "volume", "minutes", "doc")
+
+
 @query(_pool_sql(1) + " SELECT o, d, mode, period, path FROM tree0")
 def sp_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = _inputs(spark, sf_dir)
@@ -217,6 +273,38 @@ def route_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(_routes(spark, sf_dir), 4, "volume", "minutes", "fftt", "delay", "km")
 
 
+#: Coefficients of emissions by kind, for each link type and mode.
+RATES = {"co2": (20785.99999, 0.0002, -0.0042, 0.3412), "nox": (5.53516, 0.00002, -0.0005, 0.03)}
+_KG = {k: f"{r[0]!r}::DOUBLE * (fftt / 60 + (minutes - fftt) / 60 * CASE WHEN abs(m - u) > 1 THEN ((u * u * {r[1]!r}::DOUBLE + u * ({r[2]!r}::DOUBLE) + {r[3]!r}::DOUBLE) * m - u) / (m - u) ELSE 0 END) / 1000" for k, r in RATES.items()}
+_EMITTED = f", kg AS MATERIALIZED (SELECT link_id, period, {', '.join(f'{x} AS {k}_kg' for k, x in _KG.items())} FROM (SELECT *, vf / 1.609::DOUBLE AS m, vf / 1.609::DOUBLE / greatest(0.00001::DOUBLE, minutes / fftt) / 1.609::DOUBLE AS u FROM perfE))"
+
+
+def _emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = _inputs(spark, sf_dir)
+    rates = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in RATES.items()], "kind string, rate array<double>")
+    return report.emissions(_performance(spark, sf_dir), i.links.select("link_type").distinct().crossJoin(F.broadcast(i.modes.select("mode"))).crossJoin(F.broadcast(rates)))
+
+
+@query(_after(_EMITTED + f" SELECT o, d, mode, period, path, round(sum(co2_kg * volume), 4) AS co2_kg, round(sum(nox_kg * volume), 6) AS nox_kg FROM {_S} JOIN kg USING (link_id, period) GROUP BY o, d, mode, period, path"))
+def route_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kilograms that the vehicles of each path emit."""
+    out = report.emitted(_pool(spark, sf_dir), _emissions(spark, sf_dir), ["o", "d", "mode", "period", "path"])
+    return _round(_round(out, 4, "co2_kg"), 6, "nox_kg")
+
+
+@query(_after(_EMITTED + f" SELECT mode, period, round(sum(co2_kg * volume), 2) AS co2_kg, round(sum(nox_kg * volume), 4) AS nox_kg FROM {_S} JOIN kg USING (link_id, period) GROUP BY mode, period"))
+def system_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = report.emitted(_pool(spark, sf_dir), _emissions(spark, sf_dir), ["mode", "period"])
+    return _round(_round(out, 2, "co2_kg"), 4, "nox_kg")
+
+
+@query(_pool_sql(ROUNDS) + f" SELECT link_id, period, {', '.join(f"round(coalesce(sum(CASE WHEN mode = '{m}' THEN volume{f} END), 0), 4) AS {m}_{n}" for m in ('auto', 'hov', 'truck') for n, f in (('vehicles', ''), ('persons', ' * occupancy')))} FROM {_S} JOIN mode_type USING (mode) GROUP BY link_id, period")
+def link_modes_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vehicles and persons of each mode on each link, in columns."""
+    out = report.mode_volumes(loading.tally(_pool(spark, sf_dir), _inputs(spark, sf_dir).modes), ["auto", "hov", "truck"])
+    return _round(out, 4, *(x for x in out.columns if x.endswith(("vehicles", "persons"))))
+
+
 _MEANS = ", ".join(f"round(sum({x} * volume) / sum(volume), 4) AS mean_{x}" for x in ("minutes", "km", "delay"))
 
 

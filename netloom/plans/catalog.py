@@ -13,13 +13,36 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-#: Added before values are rounded for a comparison: sums in another order else fall on either side of a half.
-NUDGE = 1e-9
+#: Values are raised by this share of them, and as much again, before they are rounded for a comparison: sums of doubles in
+#: another order differ by less, and else fall on either side of a half.
+NUDGE = 1e-11
 
 
 def near(value: Column | str, digits: int) -> Column:
     """``value`` rounded for a comparison with SQL."""
-    return F.round((F.col(value) if isinstance(value, str) else value) + NUDGE, digits)
+    return F.round((F.col(value) if isinstance(value, str) else value) * (1 + NUDGE) + NUDGE * 100, digits)
+
+
+def nearly(sql: str) -> str:
+    """SQL whose ``round(x, digits)`` do as ``near`` does; what is rounded to a whole number inside CAST stays."""
+    out, at = "", 0
+    for m in re.finditer(r"(?<!CAST\()\bround\(", sql):
+        if m.start() < at:
+            continue  # inside another one
+        depth, comma, end = 1, None, m.end()
+        while depth:
+            ch = sql[end]
+            depth += (ch == "(") - (ch == ")")
+            if ch == "," and depth == 1:
+                comma = end
+            end += 1
+        out += sql[at : m.start()]
+        if comma is None:
+            out += sql[m.start() : end]
+        else:
+            out += f"round(({nearly(sql[m.end() : comma])}) * {1 + NUDGE!r}::DOUBLE + {NUDGE * 100!r}::DOUBLE, {sql[comma + 1 : end].strip()}"
+        at = end
+    return out + sql[at:]
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -28,7 +51,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = re.sub(r"(?<!CAST\()\bround\(", f"round({NUDGE}::DOUBLE + ", sql)
+            SQL[f.__name__] = nearly(sql)
         return f
 
     return add

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder of ``spark.checkpoint.dir``; where that is unset, as in tests, in one of our own."""
+    """``df`` checkpointed in the folder of ``spark.checkpoint.dir``; where that is unset, in one of our own if all tasks run on this machine."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or "file://" + os.path.join(tempfile.gettempdir(), f"netloom-{os.getuid()}"))
     return df.checkpoint()

@@ -382,6 +382,23 @@ def choice_set_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(dm.alternatives(choices), "volume", "trips", digits=4), "share")
 
 
+_SQL_IN = "POLYGON((-89.96 40.04, -89.84 40.04, -89.84 40.16, -89.96 40.16, -89.96 40.04))"
+
+
+@query(net_probe(f"""SELECT link_id, period, round(fftt * (1 + 0.15::DOUBLE * pow(doc, 4)), 6) AS bpr, round(least(fftt * vf / greatest(0.1::DOUBLE, CASE WHEN doc < 1 THEN vf / (1 + (1.15::DOUBLE * vf / greatest(0.0001::DOUBLE, vc) - 1) * pow(doc, 4)) ELSE vc / (1 + 0.15::DOUBLE * pow(doc, 4)) END), greatest(15::DOUBLE, hours * 90)), 6) AS queue,
+ round(fftt + toll_auto / 10 * 60, 6) AS cost, CAST(lpad(CAST(start_hour AS INT)::VARCHAR, 2, '0') || '00' AS VARCHAR) AS clock, start_hour * 60 AS minute, round({_AB}, 3) AS metres, a.x > -89.96 AND a.x < -89.84 AND a.y > 40.04 AND a.y < 40.16 AS inside
+FROM probe JOIN node a ON from_node_id = a.node_id JOIN node b ON to_node_id = b.node_id"""))
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engine's SQL functions on links with made-up volumes."""
+    from netloom.functions import sql
+
+    sql.register(spark)
+    node = derive.nodes(spark, sf_dir)
+    met = _probe(spark, sf_dir).withColumn("doc", c("volume") / c("capacity")).join(node.select(c("node_id").alias("from_node_id"), c("x").alias("x1"), c("y").alias("y1")), "from_node_id").join(node.select(c("node_id").alias("to_node_id"), c("x").alias("x2"), c("y").alias("y2")), "to_node_id")
+    out = met.selectExpr("link_id", "period", "bpr_time(fftt, doc, 0.15, 4) AS bpr", "qvdf_time(fftt, hours, doc, vf, vc, 0.15, 4) AS queue", "generalized_cost(fftt, 0, toll_auto, 10) AS cost", "min_to_hhmm(start_hour * 60) AS clock", "hhmm_to_min(min_to_hhmm(start_hour * 60)) AS minute", "haversine_m(x1, y1, x2, y2) AS metres", f"pt_in_poly(x1, y1, '{_SQL_IN}') AS inside")
+    return rounded(rounded(out, "bpr", "queue", "cost"), "metres", digits=3)
+
+
 @query(net(f"SELECT round(avg(m), 3) AS metres FROM (SELECT a.node_id, min({_AB}) AS m FROM node a JOIN node b ON a.node_id <> b.node_id WHERE a.node_id % 4 = 0 AND b.node_id % 4 = 0 GROUP BY a.node_id)"))
 def activity_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean distance to the nearest other among every fourth node."""

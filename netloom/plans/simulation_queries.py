@@ -104,10 +104,20 @@ def sim_link_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.minute_counts(_events(spark, sf_dir))
 
 
-@query()
+_HULL = """, p AS (SELECT district_id AS k, CAST((node_id - 1) % 5 AS DOUBLE) AS x, CAST((node_id - 1) // 5 AS DOUBLE) AS y FROM node),
+side AS (SELECT p.k, p.x, p.y, q.x AS u, q.y AS v FROM p JOIN p q ON p.k = q.k AND (p.x <> q.x OR p.y <> q.y)
+ WHERE NOT EXISTS (SELECT 1 FROM p r WHERE r.k = p.k AND ((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) < 0 OR ((q.x - p.x) * (r.y - p.y) = (q.y - p.y) * (r.x - p.x) AND ((r.x - p.x) * (q.x - p.x) + (r.y - p.y) * (q.y - p.y) < 0 OR (r.x - q.x) * (q.x - p.x) + (r.y - q.y) * (q.y - p.y) > 0))))),
+least AS (SELECT k, min(x) AS x, arg_min(y, (x, y)) AS y FROM p GROUP BY k),
+walk AS (SELECT k, x, y, 0 AS n, printf('%.6f %.6f', x, y) AS line FROM least UNION ALL
+ SELECT w.k, s.u, s.v, n + 1, line || ', ' || printf('%.6f %.6f', s.u, s.v) FROM walk w JOIN side s ON s.k = w.k AND s.x = w.x AND s.y = w.y JOIN least l ON l.k = w.k WHERE n = 0 OR w.x <> l.x OR w.y <> l.y)
+SELECT k AS district_id, 'POLYGON((' || arg_max(line, n) || '))' AS wkt FROM walk GROUP BY k"""
+
+
+@query(net(_HULL).replace("WITH", "WITH RECURSIVE", 1))
 def convex_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hull of each district's zones."""
-    return space.hulls(derive.nodes(spark, sf_dir).select("district_id", "x", "y"), "district_id")
+    """The hull of each district's zones, by their columns and rows in the lattice, which are whole numbers."""
+    at = c("node_id") - 1
+    return space.hulls(derive.nodes(spark, sf_dir).select("district_id", (at % 5).cast("double").alias("x"), F.floor(at / 5).cast("double").alias("y")), "district_id")
 
 
 @query(net_od("SELECT o, d, CASE mode WHEN 'auto' THEN 0 WHEN 'hov' THEN 1 ELSE 2 END AS mode_no, CASE period WHEN 'am' THEN 0 WHEN 'md' THEN 1 ELSE 2 END AS period_no, round(volume, 6) AS volume FROM od WHERE o <> d"))
@@ -118,11 +128,11 @@ def demand_bin_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.unpack_demand(readers.pack_demand(coded)).withColumn("volume", near("volume", 6))
 
 
-@query("""WITH route AS (SELECT CAST(o_orderkey AS BIGINT) AS path_id, 1 + o_orderkey % 21 AS a, CAST(o_totalprice AS DOUBLE) AS volume FROM orders WHERE o_orderkey % 97 = 0)
+@query("""WITH route AS (SELECT CAST(o_orderkey AS BIGINT) AS path_id, 1 + o_orderkey % 21 AS a, CAST(o_totalprice AS DOUBLE) AS volume FROM orders)
 SELECT path_id, a AS o, a + 2 AS d, round(volume * 0.1, 4) AS volume, CAST(100 * a + a + 1 AS VARCHAR) || ';' || CAST(100 * (a + 1) + a + 2 AS VARCHAR) AS links FROM route WHERE (a - 1) % 5 < 3""")
 def route_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed routes over three nodes in a row; those that leave the lattice are no routes."""
-    orders = derive.table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0").withColumn("a", 1 + c("o_orderkey") % 21)
+    orders = derive.table(spark, sf_dir, "orders").withColumn("a", 1 + c("o_orderkey") % 21)
     raw = orders.select(c("o_orderkey").alias("path_id"), c("a").alias("o"), (c("a") + 2).alias("d"), c("o_totalprice").alias("volume"), F.concat_ws(";", c("a").cast("string"), (c("a") + 1).cast("string"), (c("a") + 2).cast("string")).alias("node_sequence"))
     out = readers.routes(raw, derive.links(spark, sf_dir), 0.1)
     return out.select("path_id", "o", "d", near("volume", 4).alias("volume"), F.array_join(F.transform("link_seq", lambda x: x.cast("string")), ";").alias("links"))

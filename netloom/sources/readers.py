@@ -74,7 +74,8 @@ def read_links(spark: SparkSession, path: str, nodes: DataFrame, cfg: settings.S
     names = [m.mode_type for m in cfg.mode_types]
     own = {f"{kind}_{mode}": ("double", 0.0) for mode in names for kind in ("toll", "penalty")}
     raw = read_csv(spark, path, LINK | own, LINK_REQUIRED)
-    kinds = spark.createDataFrame([(t.link_type, t.k_jam, t.traffic_flow_model, t.allowed_uses) for t in cfg.link_types], "link_type int, k_jam double, traffic_flow_model string, allowed_uses string")
+    uses = lambda t: {p.period: t.allowed_uses.get(p.demand_period_id, "") for p in cfg.periods}
+    kinds = spark.createDataFrame([(t.link_type, t.k_jam, t.traffic_flow_model, uses(t)) for t in cfg.link_types], "link_type int, k_jam double, traffic_flow_model string, allowed_uses map<string,string>")
     flag = c("dir_flag")
     both = F.when(flag == 1, F.array(F.lit(1))).when(flag == -1, F.array(F.lit(-1))).otherwise(F.array(F.lit(1), F.lit(-1)))
     out = raw.withColumn("direction", F.explode(both))

@@ -34,7 +34,7 @@ class LinkType:
     type_code: str = ""
     traffic_flow_model: str = "point_queue"
     k_jam: float = 200.0
-    allowed_uses: str = ""
+    allowed_uses: dict[int, str] = field(default_factory=dict)  #: by demand_period_id
     emissions: dict[str, list[float]] = field(default_factory=dict)
 
 
@@ -57,6 +57,7 @@ class Management:
     final_lanes: float
     demand_period: str = ""
     mode_type: str = ""
+    toll: float = 0.0
 
 
 @dataclass(frozen=True)
@@ -114,9 +115,9 @@ def parse(text: str) -> Settings:
             continue
         seen.add(int(r["link_type"]))
         emitted = {k: [float(x) for x in str(v).split(";") if x.strip()] for k, v in r.items() if str(k).startswith("emissions_")}
-        kinds.append(LinkType(int(r["link_type"]), str(r.get("link_type_name", "")), str(r.get("type_code", "")), str(r.get("traffic_flow_model", "point_queue")), float(r.get("k_jam_km", 200)), str(r.get("allowed_uses_p1") or ""), emitted))
+        kinds.append(LinkType(int(r["link_type"]), str(r.get("link_type_name", "")), str(r.get("type_code", "")), str(r.get("traffic_flow_model", "point_queue")), float(r.get("k_jam_km", 200)), {int(k.removeprefix("allowed_uses_p")): str(v or "") for k, v in r.items() if str(k).removeprefix("allowed_uses_p").isdigit()}, emitted))
     files = [DemandFile(str(r["file_name"]), str(r["demand_period"]).lower(), str(r["mode_type"]), str(r.get("format_type", "column")), float(r.get("scale_factor", 1)), int(r.get("departure_time_profile_no", 1))) for r in sorted(data.get("demand_files") or [], key=lambda r: r.get("file_sequence_no", 0))]
-    managed = [Management(int(r["dtm_id"]), str(r["dtm_type"]), int(r["from_node_id"]), int(r["to_node_id"]), float(r.get("final_lanes", 0)), str(r.get("demand_period", "")).lower(), str(r.get("mode_type", ""))) for r in data.get("dynamic_traffic_management_data") or [] if int(r.get("activate", 0)) == 1]
+    managed = [Management(int(r["dtm_id"]), str(r["dtm_type"]), int(r["from_node_id"]), int(r["to_node_id"]), float(r.get("final_lanes", 0)), str(r.get("demand_period", "")).lower(), str(r.get("mode_type", "")), float(r.get("toll", 0) or 0)) for r in data.get("dynamic_traffic_management_data") or [] if int(r.get("activate", 0)) == 1]
     known = {p.period for p in periods}
     files = [f for f in files if f.scale_factor >= 1e-4 and f.format_type != "null" and (not known or f.demand_period in known)]
     if any(m.dtm_type == "lane_closure" for m in managed) and not any(m.real_time_info_type for m in modes):
