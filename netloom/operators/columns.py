@@ -19,15 +19,21 @@ def path_key(links) -> F.Column:
 def merge(pool: DataFrame | None, found: DataFrame, k: int, fixed: str | None = None) -> DataFrame:
     """The pool after round k: old volumes times k / (k + 1), and 1 / (k + 1) of each cell's demand on the path now found.
 
-    Paths are the same if their links are. Fixed routes (flag column ``fixed`` of the pool) keep their volume.
+    Paths are the same if their links are; ``found`` is the round in which a path first was. Fixed routes (flag column ``fixed`` of
+    the pool) keep their volume.
     """
     keys = [*CELL, "path"]
-    new = found.select(*CELL, path_key("link_seq").alias("path"), "link_seq", (c("volume") / (k + 1)).alias("volume"))
+    new = found.select(*CELL, path_key("link_seq").alias("path"), "link_seq", (c("volume") / (k + 1)).alias("volume"), F.lit(k).alias("found"))
     if pool is not None:
         kept = c("volume") * k / (k + 1)
-        old = pool.select(*keys, "link_seq", (F.when(c(fixed), c("volume")).otherwise(kept) if fixed else kept).alias("volume"))
+        old = pool.select(*keys, "link_seq", (F.when(c(fixed), c("volume")).otherwise(kept) if fixed else kept).alias("volume"), "found")
         new = old.unionByName(new)
-    return new.groupBy(*keys).agg(F.first("link_seq").alias("link_seq"), F.sum("volume").alias("volume"))
+    return new.groupBy(*keys).agg(F.first("link_seq").alias("link_seq"), F.sum("volume").alias("volume"), F.min("found").alias("found"))
+
+
+def numbered(pool: DataFrame) -> DataFrame:
+    """The pool with ``path_seq_no``: 0, 1, ... in each cell in the order in which paths were found, those of one round by their links."""
+    return pool.withColumn("path_seq_no", F.row_number().over(Window.partitionBy(*CELL).orderBy("found", "path")) - 1)
 
 
 def with_costs(pool: DataFrame, link_costs: DataFrame) -> DataFrame:

@@ -115,3 +115,22 @@ def background(pool: DataFrame, threshold: float) -> DataFrame:
 def internal_zones(nodes: DataFrame) -> DataFrame:
     """zone_index, zone_id, district_id, x, y: zones as an engine numbers them."""
     return nodes.where("zone_id IS NOT NULL").withColumn("zone_index", F.row_number().over(Window.orderBy("zone_id")) - 1).select("zone_index", "zone_id", "district_id", "x", "y")
+
+
+def wide_by_mode(tallied: DataFrame, perf: DataFrame, periods: list[str], modes: list[str]) -> DataFrame:
+    """One row a link with vehicles and passenger-car units of each period and mode in columns, and minutes, doc and lanes of each period."""
+    volume = tallied.withColumn("_k", F.concat_ws("_", "period", "mode")).groupBy("link_id").pivot("_k", [f"{p}_{m}" for p in periods for m in modes]).agg(F.sum("vehicles").alias("vol"), F.sum("units").alias("pce"))
+    state = perf.groupBy("link_id").pivot("period", periods).agg(F.first("minutes").alias("tt"), F.first("doc").alias("doc"), F.first("lanes").alias("lanes"), F.first("capacity").alias("cap"))
+    return state.join(volume, "link_id", "left").na.fill(0.0)
+
+
+def district_zones(zones: DataFrame) -> DataFrame:
+    """district_id, zones (``;``-separated, ascending) and their number."""
+    listed = F.sort_array(F.collect_set("zone_id"))
+    return zones.where("zone_id IS NOT NULL").groupBy("district_id").agg(listed.alias("z")).select("district_id", F.array_join(F.transform("z", lambda x: x.cast("string")), ";").alias("zones"), F.size("z").alias("n_zones"))
+
+
+def access_links(links: DataFrame) -> DataFrame:
+    """zone_id, node_id and direction (out of the zone, or into it) of all connectors."""
+    out = c("from_node_id") < 0
+    return links.where("link_type < 0").select(F.abs(F.when(out, c("from_node_id")).otherwise(c("to_node_id"))).alias("zone_id"), F.when(out, c("to_node_id")).otherwise(c("from_node_id")).alias("node_id"), F.when(out, "out").otherwise("in").alias("direction"))

@@ -75,53 +75,56 @@ def network(costs: DataFrame, reverse: bool = False, banned: DataFrame | None =
     return Network(star, by, pairs, None if banned_modes is None else frozenset(banned_modes))
 
 
-def tree(star: Star, cost: np.ndarray, origin: int, banned: frozenset[tuple[int, int]] = frozenset(), wanted: set[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(star: Star, cost: np.ndarray, origin: int, banned: frozenset[tuple[int, int]] = frozenset(), wanted: set[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(label of each node, place of the link it is reached by, place of the link before each link), from an origin's place; -1 where there is none.
 
     A heap of (cost, node or link) with strict updates; where two ways cost the same, the less link sequence wins. With ``wanted`` places
     the search ends once all of them are reached for good.
     """
     n, m = len(star.node_ids), len(star.link_ids)
-    label, link, before = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.full(m, -1, np.int64)
-    source = np.repeat(np.arange(n), np.diff(star.first))
+    first, head, cost, name = star.first.tolist(), star.head.tolist(), cost.tolist(), star.link_ids.tolist()  # lists are read one by one faster
+    end = (star.node_ids < 0).tolist()
+    label, link, before = [-1] * n, [-1] * n, [-1] * m
     label[origin] = 0
     left = set(wanted) - {origin} if wanted is not None else None
 
     def ahead(node: int) -> range:
-        return range(star.first[node], star.first[node + 1]) if node == origin or star.node_ids[node] >= 0 else range(0)
+        return range(first[node], first[node + 1]) if node == origin or not end[node] else range(0)
+
+    def found() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array(label, np.int64), np.array(link, np.int64), np.array(before, np.int64)
 
     if banned:
-        name = star.link_ids
-        reach = np.full(m, -1, np.int64)
-        done = np.zeros(m, bool)
+        reach = [-1] * m
+        done = [False] * m
         heap = []
         for e in ahead(origin):
             if cost[e] >= 0:
                 reach[e] = cost[e]
-                heapq.heappush(heap, (int(cost[e]), e))
+                heapq.heappush(heap, (cost[e], e))
         while heap:
             at, e = heapq.heappop(heap)
             if done[e]:
                 continue
             done[e] = True
-            node = int(star.head[e])
-            if label[node] < 0 or (label[node] == at and node != origin and route(star, e, before) < route(star, int(link[node]), before)):
+            node = head[e]
+            if label[node] < 0 or (label[node] == at and node != origin and route(star, e, before) < route(star, link[node], before)):
                 label[node], link[node] = at, e
             if left is not None and all(label[x] >= 0 and label[x] < at for x in left):
                 break
             for f in ahead(node) if node != origin else ():
-                step = int(cost[f])
-                if step < 0 or done[f] or (int(name[e]), int(name[f])) in banned:
+                step = cost[f]
+                if step < 0 or done[f] or (name[e], name[f]) in banned:
                     continue
                 new = at + step
                 if reach[f] < 0 or new < reach[f]:
                     reach[f], before[f] = new, e
                     heapq.heappush(heap, (new, f))
-                elif new == reach[f] and route(star, e, before) < route(star, int(before[f]), before):
+                elif new == reach[f] and route(star, e, before) < route(star, before[f], before):
                     before[f] = e
-        return label, link, before
+        return found()
 
-    done = np.zeros(n, bool)
+    done = [False] * n
     heap = [(0, origin)]
     while heap:
         at, node = heapq.heappop(heap)
@@ -133,7 +136,7 @@ def tree(star: Star, cost: np.ndarray, origin: int, banned: frozenset[tuple[int,
             if not left:
                 break
         for e in ahead(node):
-            step, to = int(cost[e]), int(star.head[e])
+            step, to = cost[e], head[e]
             if step < 0 or done[to]:
                 continue
             new = at + step
@@ -142,11 +145,14 @@ def tree(star: Star, cost: np.ndarray, origin: int, banned: frozenset[tuple[int,
                 heapq.heappush(heap, (new, to))
             elif new == label[to]:
                 before[e] = link[node]
-                if route(star, e, before) < route(star, int(link[to]), before):
+                if route(star, e, before) < route(star, link[to], before):
                     link[to] = e
-    used = link >= 0
-    before[link[used]] = link[source[link[used]]]
-    return label, link, before
+    return found()
+
+
+def tree(star: Star, cost: np.ndarray, origin: int) -> tuple[np.ndarray, np.ndarray]:
+    """(label of each node, place of the link it is reached by) without banned turns: a tree, whose links lead back to the origin."""
+    return search(star, cost, origin)[:2]
 
 
 def route(star: Star, last: int, before: np.ndarray) -> list[int]:
@@ -186,7 +192,7 @@ def trees(origins: DataFrame, net: Network) -> DataFrame:
                     continue
                 origin = place[o]
                 wanted = {place[d] for d in row[3] if d in place} if some else None
-                label, link, before = tree(star, net.costs[mode, period], origin, net.bans(mode), wanted)
+                label, link, before = search(star, net.costs[mode, period], origin, net.bans(mode), wanted)
                 for node in sorted(wanted) if some else np.flatnonzero(label >= 0):
                     if label[node] >= 0 and node != origin:
                         for column, value in zip(out, (o, int(star.node_ids[node]), mode, period, int(label[node]), route(star, int(link[node]), before)), strict=True):

@@ -50,7 +50,8 @@ def profiled(pool: DataFrame, slots: DataFrame) -> DataFrame:
     """One row per vehicle as ``vehicles`` gives, leaving by a departure profile (slot of 5 minutes, weight) instead of evenly."""
     keys = ["o", "d", "mode", "period", "path", "link_seq"]
     out = demand.departures(agents(pool).select(*keys, "n"), demand.profile(slots))
-    return out.select(F.xxhash64("o", "d", "mode", "period", "path", "v").alias("agent_id"), "o", "d", "mode", "period", "link_seq", (c("departure_min") * 60).alias("departure_s"))
+    late = (c("v") % 3) / 3 * 0.05  # minutes, by the vehicle's number
+    return out.select(F.xxhash64("o", "d", "mode", "period", "path", "v").alias("agent_id"), "o", "d", "mode", "period", "link_seq", ((c("departure_min") + late) * 60).alias("departure_s"))
 
 
 def capacity_seconds(links: DataFrame, seconds: int) -> DataFrame:
@@ -92,6 +93,7 @@ def queue_kernel(cars: pd.DataFrame, net: pd.DataFrame, step_s: float, tail_min:
     free = dict(zip(net.link_id, net.fftt * 60, strict=True))
     rate = dict(zip(net.link_id, net.capacity * net.lanes / 3600 * step_s, strict=True))
     room = dict(zip(net.link_id, net.spatial_capacity, strict=True))
+    rate |= {int(x): n / 2 * step_s for x, cy, n in zip(net.link_id, net.cycle_s, net.lanes, strict=True) if cy > 0}  # a vehicle a lane every other second of green
     signal = {int(x): (cy, g, n) for x, cy, g, n in zip(net.link_id, net.cycle_s, net.green_s, net.green_len_s, strict=True) if cy > 0}
     at_node: dict[int, list[int]] = {}
     for link, node in sorted(zip(net.link_id, net.to_node_id, strict=True)):
@@ -155,16 +157,15 @@ MOST_LINKS = 5_000_000
 def simulate(cars: DataFrame, links: DataFrame, group: str = "period", step_s: float = 2.0, tail_min: float = 10.0) -> DataFrame:
     """group, agent_id, k, link_id, arrival_s, departure_s: the queue kernel run once for each group of vehicles.
 
-    ``links`` is one network, which goes to each task after its size is checked. Links of the traffic flow model ``point_queue`` (a column
-    traffic_flow_model) hold any number of vehicles; columns cycle_s, green_s and green_len_s set signals. A group is one task, since
+    ``links`` is one network, which goes to each task after its size is checked. All traffic flow models hold a link to its storage.
+    Columns cycle_s, green_s and green_len_s set signals. A group is one task, since
     what happens on a link depends on all others at that moment: its vehicles must fit into a task's memory.
     """
     if (n := links.count()) > MOST_LINKS:
         raise ValueError(f"{n} links; at most {MOST_LINKS} are broadcast")
     have = links.columns
-    room = F.when(c("traffic_flow_model") == "point_queue", F.lit(float("inf"))).otherwise(c("spatial_capacity")) if "traffic_flow_model" in have else c("spatial_capacity")
     signal = [F.coalesce(c(x), F.lit(0.0)).cast("double").alias(x) if x in have else F.lit(0.0).alias(x) for x in ("cycle_s", "green_s", "green_len_s")]
-    net = links.select("link_id", "to_node_id", "fftt", "capacity", "lanes", room.cast("double").alias("spatial_capacity"), *signal).toPandas()
+    net = links.select("link_id", "to_node_id", "fftt", "capacity", "lanes", "spatial_capacity", *signal).toPandas()
     shared = cars.sparkSession.sparkContext.broadcast(net)
 
     def run(key: tuple, some: pd.DataFrame) -> pd.DataFrame:
@@ -199,6 +200,19 @@ def minute_counts(events: DataFrame, group: str = "period") -> DataFrame:
     return a.union(d).groupBy(group, "link_id", "minute").agg(F.sum("arrivals").alias("arrivals"), F.sum("departures").alias("departures"))
 
 
+def minute_waits(events: DataFrame, links: DataFrame, group: str = "period") -> DataFrame:
+    """group, link_id, minute, vehicles, wait_min: minutes that vehicles wait on a link beyond its free-flow time, by the minute they arrive in."""
+    met = events.where("departure_s IS NOT NULL").join(links.select("link_id", "fftt"), "link_id")
+    wait = F.greatest(F.lit(0.0), (c("departure_s") - c("arrival_s")) / 60 - c("fftt"))
+    return met.groupBy(group, "link_id", F.floor(c("arrival_s") / 60).cast("int").alias("minute")).agg(F.count("*").alias("vehicles"), F.sum(wait).alias("wait_min"))
+
+
+def queue_positions(events: DataFrame, at_s: float, keys: list[str]) -> DataFrame:
+    """keys, agent_id, position: the place, from 1, of each vehicle that is on a link at a moment, in order of arrival."""
+    there = events.where((c("arrival_s") <= at_s) & (c("departure_s").isNull() | (c("departure_s") > at_s)))
+    return there.select(*keys, "agent_id", F.row_number().over(Window.partitionBy(*keys).orderBy("arrival_s", "agent_id")).alias("position"))
+
+
 def cumulative(counts: DataFrame, keys: list[str], first: int, last: int) -> DataFrame:
     """keys, minute, ca, cd: running arrivals and departures for every minute of the span."""
     every = counts.select(*keys).distinct().withColumn("minute", F.explode(F.sequence(F.lit(first), F.lit(last))))

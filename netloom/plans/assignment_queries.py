@@ -214,7 +214,38 @@ def msa_link_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_pool_sql(ROUNDS) + f" SELECT o, d, mode, period, path, round(volume, 5) AS volume FROM {_P}")
 def path_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(_pool(spark, sf_dir), 5, "volume").drop("link_seq")
+    return _round(_pool(spark, sf_dir), 5, "volume").drop("link_seq", "found")
+
+
+@query(_pool_sql(ROUNDS) + " SELECT o, d, mode, period, path, row_number() OVER (PARTITION BY o, d, mode, period ORDER BY min(k), path) - 1 AS path_seq_no FROM (" + " UNION ALL ".join(f"SELECT o, d, mode, period, path, {k} AS k FROM tree{k} JOIN od USING (o, d, mode, period)" for k in range(ROUNDS)) + ") GROUP BY o, d, mode, period, path")
+def path_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of each path in its cell, in the order in which paths were found."""
+    return columns.numbered(_pool(spark, sf_dir)).select("o", "d", "mode", "period", "path", "path_seq_no")
+
+
+@query("WITH " + BASE + " SELECT district_id, string_agg(CAST(zone_id AS VARCHAR), ';' ORDER BY zone_id) AS zones, count(*) AS n_zones FROM node GROUP BY district_id")
+def district_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.district_zones(derive.nodes(spark, sf_dir))
+
+
+_BY_MODE = ", ".join(f"round(coalesce(sum(CASE WHEN s.period = '{p}' AND mode = '{m}' THEN s.volume{f} END), 0), 4) AS {p}_{m}_{n}" for p in ("am", "md", "pm") for m in ("auto", "hov", "truck") for n, f in (("vol", ""), ("pce", " * pce")))
+_BY_PERIOD = ", ".join(f"round(max(CASE WHEN period = '{p}' THEN {x} END), {k}) AS {p}_{n}" for p in ("am", "md", "pm") for n, x, k in (("tt", "minutes", 4), ("doc", "doc", 6), ("lanes", "lanes", 1), ("cap", "capacity", 1)))
+
+
+@query(_after(f", bm AS (SELECT link_id, {_BY_MODE} FROM {_S} s JOIN mode_type USING (mode) GROUP BY link_id), bp AS (SELECT link_id, {_BY_PERIOD} FROM perfE GROUP BY link_id) SELECT bp.*, {', '.join(f'coalesce(bm.{p}_{m}_{n}, 0) AS {p}_{m}_{n}' for p in ('am', 'md', 'pm') for m in ('auto', 'hov', 'truck') for n in ('vol', 'pce'))} FROM bp LEFT JOIN bm USING (link_id)"))
+def link_summary_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a link: volumes by period and mode, times, ratios, lanes and capacity by period."""
+    tallied = loading.tally(_pool(spark, sf_dir), _inputs(spark, sf_dir).modes)
+    out = report.wide_by_mode(tallied, _performance(spark, sf_dir), ["am", "md", "pm"], ["auto", "hov", "truck"])
+    by = lambda *ends: [x for x in out.columns if x.endswith(ends)]
+    return _round(_round(_round(out, 4, *by("_vol", "_pce", "_tt")), 6, *by("_doc")), 1, *by("_lanes", "_cap"))
+
+
+@query("WITH " + BASE + " SELECT district_id + 1 AS zone_id, node_id, unnest(['in', 'out']) AS direction FROM node")
+def access_link_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The connectors of districts, each a zone of several nodes."""
+    zones = derive.nodes(spark, sf_dir).select("node_id", (c("district_id") + 1).alias("zone_id"))
+    return report.access_links(load.connected(_inputs(spark, sf_dir).links, zones))
 
 
 _COSTED = f", costed AS MATERIALIZED (SELECT p.*, c.cost FROM {_P} p JOIN (SELECT o, d, mode, period, path, sum(cost) AS cost FROM {_S} JOIN costE USING (link_id, mode, period) GROUP BY ALL) c USING (o, d, mode, period, path))"

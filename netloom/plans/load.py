@@ -232,7 +232,7 @@ def run(spark: SparkSession, folder: str, out: str | None = None) -> assignment.
     result = assignment.Result(lineage.cut(pool), result.performance.where("link_type >= 0"), result.gap_percent)
     if cfg.simulation:
         events = simulated(spark, inputs, result.pool, cfg)
-        reports |= {"trips": simulate.trips(events, inputs.links), "trajectories": simulate.trajectories(events), "link_minutes": simulate.minute_counts(events)}
+        reports |= {"trips": simulate.trips(events, inputs.links), "trajectories": simulate.trajectories(events), "link_minutes": simulate.minute_counts(events), "link_waits": simulate.minute_waits(events, inputs.links)}
     if out:
         routes = report.route_measures(result.pool, result.performance)
         rates = emission_rates(spark, cfg)
@@ -245,6 +245,8 @@ def run(spark: SparkSession, folder: str, out: str | None = None) -> assignment.
             "route_assignment": routes,
             "od_performance": report.od_measures(routes),
             "system_performance": report.summed(routes, ["mode", "period"]),
+            "link_summary": report.wide_by_mode(loading.tally(result.pool, inputs.modes), result.performance, [p.period for p in cfg.periods], [m.mode_type for m in cfg.mode_types]),
+            "access_link": report.access_links(inputs.links),
             "link_two_way": report.two_way(result.performance),
             "turns": report.turns(result.pool),
             "background": report.background(result.pool, 5.0),

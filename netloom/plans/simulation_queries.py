@@ -88,6 +88,17 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aq._once("events", make, spark, sf_dir)
 
 
+_STAYS = "SELECT 1 + user_id % 25 AS zone, CAST(event_id AS BIGINT) AS agent_id, hour(ts) * 3600 + minute(ts) * 60 AS a FROM events"
+
+
+@query(f"SELECT zone, agent_id, row_number() OVER (PARTITION BY zone ORDER BY a, agent_id) AS position FROM ({_STAYS}) WHERE a <= 43200 AND a + 1200 > 43200")
+def queue_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in line at noon, if each event stays for twenty minutes; users stand for links."""
+    at = (F.hour(c("ts").cast("timestamp")) * 3600 + F.minute(c("ts").cast("timestamp")) * 60).cast("double")
+    stays = derive.table(spark, sf_dir, "events").select((1 + c("user_id") % 25).alias("zone"), c("event_id").cast("long").alias("agent_id"), at.alias("arrival_s")).withColumn("departure_s", c("arrival_s") + 1200)
+    return simulate.queue_positions(stays, 43200.0, ["zone"])
+
+
 @query()
 def sim_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips of all simulated vehicles: travel time, distance, speed, and the link of the longest wait."""
