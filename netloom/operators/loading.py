@@ -47,6 +47,11 @@ def volumes(tallied: DataFrame) -> DataFrame:
     return tallied.groupBy("link_id", "period").agg(F.sum("vehicles").alias("volume"))
 
 
+def connector(links: DataFrame) -> Column:
+    """Whether a link is a connector; networks without link types have none."""
+    return c("link_type") < 0 if "link_type" in links.columns else F.lit(False)
+
+
 def performance(links: DataFrame, periods: DataFrame, volume: DataFrame | None, share: float = PERIOD_SHARE, rules: Rules = Rules()) -> DataFrame:
     """Links by period with volume, doc, minutes and speed by the volume-delay function; without volumes, of the empty network.
 
@@ -60,7 +65,7 @@ def performance(links: DataFrame, periods: DataFrame, volume: DataFrame | None,
     shared = out.withColumnRenamed("lanes", "_lanes").withColumn("lanes", F.lit(1.0)).withColumn("_capacity", c("capacity")).withColumn("capacity", c("capacity") * share)
     done = vdf.qvdf(shared).withColumn("minutes", c("q_min")) if rules.queue else vdf.bpr(shared).withColumn("minutes", c("bpr_min"))
     done = done.withColumn("lanes", c("_lanes")).withColumn("capacity", c("_capacity")).drop("_lanes", "_capacity", "bpr_wait", "bpr_min")
-    return done.withColumn("minutes", F.when(c("link_type") < 0, 0.0).otherwise(c("minutes")))
+    return done.withColumn("minutes", F.when(connector(done), 0.0).otherwise(c("minutes")))
 
 
 def by_mode(columns: dict[str, str]) -> Column:
@@ -76,7 +81,7 @@ def costs(perf: DataFrame, modes: DataFrame, rules: Rules = Rules()) -> DataFram
     met = perf.crossJoin(F.broadcast(modes.select("mode", "vot")))  # a few rows
     cost = F.round(vdf.gradient_cost(c("minutes"), by_mode(rules.penalties), by_mode(rules.tolls), c("vot")) * routing.MICRO).cast("long")
     if rules.restricted:
-        cost = F.when(scalar.allow_mode(of_period(met, "allowed_uses"), c("mode")) | (c("link_type") < 0), cost).otherwise(-1)
+        cost = F.when(scalar.allow_mode(of_period(met, "allowed_uses"), c("mode")) | connector(met), cost).otherwise(-1)
     return met.select("link_id", "from_node_id", "to_node_id", "mode", "period", cost.alias("cost"))
 
 
