@@ -33,7 +33,7 @@ def merge(pool: DataFrame | None, found: DataFrame, k: int, fixed: str | None =
 
 def numbered(pool: DataFrame) -> DataFrame:
     """The pool with ``path_seq_no``: 0, 1, ... in each cell in the order in which paths were found, those of one round by their links."""
-    return pool.withColumn("path_seq_no", F.row_number().over(Window.partitionBy(*CELL).orderBy("found", "path")) - 1)
+    return pool.withColumn("path_seq_no", F.row_number().over(Window.partitionBy(*CELL).orderBy("found", "path")).cast("long") - 1)
 
 
 def with_costs(pool: DataFrame, link_costs: DataFrame) -> DataFrame:

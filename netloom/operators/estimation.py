@@ -17,7 +17,7 @@ def sensors(links: DataFrame, period: str | None = None) -> DataFrame:
 
 def deviations(pool: DataFrame, sensors_: DataFrame, preload: float = 0.0) -> DataFrame:
     """link_id, period, observed, estimated, deviation of each sensor and period; only sensor links are tallied."""
-    steps = pool.select("period", F.explode("link_seq").alias("link_id"), "volume").join(F.broadcast(sensors_.select("link_id")), "link_id", "left_semi")
+    steps = pool.select("period", F.explode("link_seq").alias("link_id"), "volume").join(sensors_.select("link_id"), "link_id", "left_semi")
     sums = steps.groupBy("link_id", "period").agg(F.sum("volume").alias("estimated"))
     every = sensors_.crossJoin(F.broadcast(pool.select("period").distinct()))
     out = every.join(sums, ["link_id", "period"], "left").withColumn("estimated", F.coalesce("estimated", F.lit(0.0)))
@@ -27,7 +27,7 @@ def deviations(pool: DataFrame, sensors_: DataFrame, preload: float = 0.0) -> Da
 def step(pool: DataFrame, deviations_: DataFrame, n: int) -> DataFrame:
     """One gradient step, the n-th from 0: each path that passes a sensor loses its summed deviations over n + 2, within a tenth."""
     keys = ["o", "d", "mode", "period", "path"]
-    felt = pool.select(*keys, F.explode("link_seq").alias("link_id")).join(F.broadcast(deviations_.select("link_id", "period", "deviation")), ["link_id", "period"]).groupBy(*keys).agg(F.sum("deviation").alias("gradient"))
+    felt = pool.select(*keys, F.explode("link_seq").alias("link_id")).join(deviations_.select("link_id", "period", "deviation"), ["link_id", "period"]).groupBy(*keys).agg(F.sum("deviation").alias("gradient"))
     out = pool.join(felt, keys, "left")
     change = F.greatest(-LIMIT * c("volume"), F.least(LIMIT * c("volume"), c("gradient") / (n + 2)))
     return out.withColumn("volume", F.when(c("gradient").isNull(), c("volume")).otherwise(F.greatest(F.lit(0.0), c("volume") - change))).drop("gradient")

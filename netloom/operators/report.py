@@ -127,7 +127,7 @@ def wide_by_mode(tallied: DataFrame, perf: DataFrame, periods: list[str], modes:
 def district_zones(zones: DataFrame) -> DataFrame:
     """district_id, zones (``;``-separated, ascending) and their number."""
     listed = F.sort_array(F.collect_set("zone_id"))
-    return zones.where("zone_id IS NOT NULL").groupBy("district_id").agg(listed.alias("z")).select("district_id", F.array_join(F.transform("z", lambda x: x.cast("string")), ";").alias("zones"), F.size("z").alias("n_zones"))
+    return zones.where("zone_id IS NOT NULL").groupBy("district_id").agg(listed.alias("z")).select("district_id", F.array_join(F.transform("z", lambda x: x.cast("string")), ";").alias("zones"), F.size("z").cast("long").alias("n_zones"))
 
 
 def access_links(links: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def managed(links: DataFrame, rules: DataFrame) -> DataFrame:
     rule = rules.groupBy("from_node_id", "to_node_id").agg(
         F.min(F.when(c("dtm_type").isin("dynamic_lane_use", "lane_closure"), c("final_lanes"))).alias("_lanes"), F.max(F.when(c("dtm_type") == "dynamic_toll", c("toll"))).alias("_toll"), F.max(c("dtm_type") == "dms").alias("_sign"),
     )
-    out = links.join(F.broadcast(rule), ["from_node_id", "to_node_id"], "left")
+    out = links.join(F.broadcast(rule), ["from_node_id", "to_node_id"], "left")  # rules of the settings
     out = out.withColumns({"lanes": F.coalesce("_lanes", "lanes"), "toll_auto": F.coalesce("_toll", "toll_auto"), "closed": F.coalesce(c("_lanes") <= 0, F.lit(False)), "sign": F.coalesce("_sign", F.lit(False))})
     return out.drop("_lanes", "_toll", "_sign")
 

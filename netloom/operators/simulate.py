@@ -178,7 +178,7 @@ def simulate(cars: DataFrame, links: DataFrame, group: str = "period", step_s: f
 
 def trips(events: DataFrame, links: DataFrame, group: str = "period") -> DataFrame:
     """group, agent_id, links, done, start_s, travel_s, km, worst_link (the link of the longest wait, the least of equals)."""
-    met = events.join(F.broadcast(links.select("link_id", "fftt", "distance_km")), "link_id").withColumn("wait", c("departure_s") - c("arrival_s") - c("fftt") * 60)
+    met = events.join(links.select("link_id", "fftt", "distance_km"), "link_id").withColumn("wait", c("departure_s") - c("arrival_s") - c("fftt") * 60)
     out = met.groupBy(group, "agent_id").agg(
         F.count("*").alias("links"), (F.count("departure_s") == F.count("*")).alias("done"), F.min("arrival_s").alias("start_s"), (F.max("departure_s") - F.min("arrival_s")).alias("travel_s"), F.sum("distance_km").alias("km"),
         F.max_by("link_id", F.struct(F.coalesce("wait", F.lit(0.0)), -c("link_id"))).alias("worst_link"),
@@ -210,7 +210,7 @@ def minute_waits(events: DataFrame, links: DataFrame, group: str = "period") ->
 def queue_positions(events: DataFrame, at_s: float, keys: list[str]) -> DataFrame:
     """keys, agent_id, position: the place, from 1, of each vehicle that is on a link at a moment, in order of arrival."""
     there = events.where((c("arrival_s") <= at_s) & (c("departure_s").isNull() | (c("departure_s") > at_s)))
-    return there.select(*keys, "agent_id", F.row_number().over(Window.partitionBy(*keys).orderBy("arrival_s", "agent_id")).alias("position"))
+    return there.select(*keys, "agent_id", F.row_number().over(Window.partitionBy(*keys).orderBy("arrival_s", "agent_id")).cast("long").alias("position"))
 
 
 def cumulative(counts: DataFrame, keys: list[str], first: int, last: int) -> DataFrame:

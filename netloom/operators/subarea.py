@@ -13,7 +13,7 @@ def flags(zones: DataFrame, od: DataFrame, crossed: DataFrame, large: float, lea
     polygon: 0 below ``least``, 1 below ``cutoff``, else 2. Zones with 0 or 1 are not significant.
     """
     volume = od.groupBy("o", "d").agg(F.sum("volume").alias("v"))
-    sent = volume.join(F.broadcast(crossed), ["o", "d"], "left")  # a row for each two zones
+    sent = volume.join(crossed, ["o", "d"], "left")
     met = zones.join(sent.withColumnRenamed("o", "zone_id"), "zone_id", "left")
     out = met.groupBy("zone_id", "inside").agg(F.coalesce(F.sum(F.when(F.col("inside") | F.col("crosses"), F.col("v"))), F.lit(0.0)).alias("volume"))
     v = F.col("volume")

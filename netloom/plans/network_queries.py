@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from netloom.functions import scalar, vdf
 from netloom.operators import demand as dm
 from netloom.operators import generate, space
+from netloom.plans import lineage
 from netloom.plans.catalog import near, net, net_od, net_probe, query
-from netloom.sources import derive
+from netloom.sources import derive, readers, settings
 
 c = F.col
 
@@ -342,7 +343,6 @@ def link_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
  coalesce(CASE link_type WHEN 1 THEN 5 END, 3)::DOUBLE AS q_beta, 1.0::DOUBLE AS q_n FROM link)"""))
 def qvdf_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameters of the queue-based function: of the link, else its code, else the code ``all``, else the default."""
-    from netloom.sources import readers
 
     links = derive.links(spark, sf_dir).withColumn("vdf_code", c("link_type").cast("string"))
     own = derive.links(spark, sf_dir).where("link_id % 10 = 1").select(F.lit("link").alias("data_type"), F.lit(None).cast("string").alias("vdf_code"), "from_node_id", "to_node_id", F.lit(0.3).alias("q_alpha"), F.lit(None).cast("double").alias("q_beta"))
@@ -382,6 +382,62 @@ def choice_set_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(dm.alternatives(choices), "volume", "trips", digits=4), "share")
 
 
+def _as_csv(df: DataFrame, name: str) -> str:
+    path = lineage.folder(df.sparkSession, name)
+    df.write.option("header", True).csv(path)
+    return path
+
+
+@query(net("SELECT node_id, round(x, 9) AS x, round(y, 9) AS y, zone_id, district_id FROM node"))
+def node_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes written as a node file and read from it; a repeated row counts once, zone 0 is none."""
+    n = derive.nodes(spark, sf_dir).select("node_id", c("x").alias("x_coord"), c("y").alias("y_coord"), "zone_id", "district_id", F.lit("extra").alias("name"))
+    out = readers.read_nodes(spark, _as_csv(n.union(n.where("node_id < 3")), "node"))
+    return rounded(out.select("node_id", "x", "y", "zone_id", "district_id"), "x", "y", digits=9)
+
+
+@query(net("SELECT CAST(link_id AS VARCHAR) AS link_id, from_node_id, to_node_id, link_type, round(length_m, 6) AS length_m, round(vf, 6) AS vf, round(vc, 6) AS vc, round(fftt, 6) AS fftt, round(spatial_capacity, 6) AS spatial_capacity, lanes, capacity, toll_auto, ref_volume FROM link WHERE link_type < 3"))
+def link_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links written as a link file in miles and read from it; types that are not declared and unknown nodes are left out."""
+    rows = derive.links(spark, sf_dir).select("link_id", "from_node_id", "to_node_id", "link_type", (c("length_m") / 1609).alias("length"), "lanes", (c("vf") / vdf.MPH).alias("free_speed"), "capacity", "toll_auto", "ref_volume")
+    rows = rows.union(rows.where("link_id = 102").withColumn("to_node_id", F.lit(999).cast("long")).select(rows.columns))
+    cfg = settings.parse("unit: {length_unit: mile, speed_unit: mph}\nmode_types: [{mode_type: auto}]\nlink_types: [{link_type: 1, k_jam_km: 200}, {link_type: 2, k_jam_km: 200}]")
+    nodes = derive.nodes(spark, sf_dir).select("node_id", "x", "y")
+    out = readers.read_links(spark, _as_csv(rows, "link"), nodes, cfg)
+    out = out.withColumn("link_type", c("link_type").cast("long")).select("link_id", "from_node_id", "to_node_id", "link_type", "length_m", "vf", "vc", "fftt", "spatial_capacity", "lanes", "capacity", "toll_auto", "ref_volume")
+    return rounded(out, "length_m", "vf", "vc", "fftt", "spatial_capacity")
+
+
+@query(net_od("SELECT o, d, mode, period, round(volume * 2, 6) AS volume FROM od WHERE mode = 'auto' AND period = 'am'"))
+def demand_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Demand of one mode and period written as a column file and read from it with a scale of two; rows below -99 are left out."""
+    od = derive.demand(spark, sf_dir).where("mode = 'auto' AND period = 'am'").select(c("o").alias("o_zone_id"), c("d").alias("d_zone_id"), "volume")
+    rows = od.union(od.limit(1).withColumn("volume", F.lit(-100.0)))
+    return rounded(readers.read_demand(spark, _as_csv(rows, "demand"), "auto", "am", 2.0), "volume")
+
+
+_SETTINGS = """
+assignment: {number_of_iterations: 7, odme_activate: 1, UE_convergence_percentage: 0.5}
+mode_types: [{mode_type: auto, vot: 12, pce: 1}, {mode_type: truck, vot: 30, pce: 2, person_occupancy: 1.5}]
+demand_periods: [{period: AM, demand_period_id: 1, time_period: '0630_0900'}]
+link_types: [{link_type: 1, link_type_name: road, allowed_uses_p1: auto}, {link_type: 1, link_type_name: twice}, {link_type: 2}]
+demand_files: [{file_sequence_no: 2, file_name: b.csv, demand_period: am, mode_type: truck, scale_factor: 0.5}, {file_sequence_no: 1, file_name: a.csv, demand_period: am, mode_type: auto}, {file_sequence_no: 3, file_name: c.csv, demand_period: pm, mode_type: auto}]
+departure_time_profile: [{departure_time_profile_no: 1, time_period: '0630_0700', T0635: 3}]
+"""
+
+
+@query("""SELECT * FROM (VALUES ('iterations', '7', 0::DOUBLE), ('gap', '', 0.5), ('mode', 'auto', 12), ('mode', 'truck', 30), ('occupancy', 'truck', 1.5), ('period', 'am', 6.5), ('hours', 'am', 2.5), ('type', 'road', 1), ('type', '', 2), ('uses', 'auto', 1),
+ ('file', 'a.csv', 1), ('file', 'b.csv', 0.5), ('slot', '78', 1), ('slot', '79', 3), ('slot', '80', 1), ('slot', '81', 1), ('slot', '82', 1), ('slot', '83', 1), ('slot', '84', 1)) AS t(kind, name, value)""")
+def settings_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read from a settings file: defaults, order of files, unknown periods and repeated types left out, slots without a ratio at 1."""
+    s = settings.parse(_SETTINGS)
+    rows = [("iterations", str(s.iterations), 0.0), ("gap", "", s.gap_percent), *(("mode", m.mode_type, m.vot) for m in s.mode_types), ("occupancy", "truck", s.mode_types[1].person_occupancy)]
+    rows += [x for p in s.periods for x in (("period", p.period, p.start_hour), ("hours", p.period, p.end_hour - p.start_hour))]
+    rows += [("type", t.link_type_name, float(t.link_type)) for t in s.link_types] + [("uses", u, float(k)) for t in s.link_types for k, u in t.allowed_uses.items()]
+    rows += [("file", f.file_name, f.scale_factor) for f in s.demand_files] + [("slot", str(k), v) for k, v in s.profiles[1].items()]
+    return spark.createDataFrame(rows, "kind string, name string, value double")
+
+
 _SQL_IN = "POLYGON((-89.96 40.04, -89.84 40.04, -89.84 40.16, -89.96 40.16, -89.96 40.04))"
 
 

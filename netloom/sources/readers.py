@@ -50,7 +50,7 @@ def read_csv(spark: SparkSession, path: str, columns: dict[str, tuple[str, objec
 
 
 def read_sections(spark: SparkSession, path: str) -> DataFrame:
-    """section, row, cells of a file of ``[section]`` lines, each followed by its rows. For settings, which are small."""
+    """section, row, cells of a file of ``[section]`` lines, each followed by its rows. For settings files, which one task reads whole."""
     text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("row", "line")).where(F.trim("line") != "")
     named = text.withColumn("name", F.nullif(F.regexp_extract("line", r"^\s*\[([^\]]+)\]", 1), F.lit("")))
     section = F.last("name", ignorenulls=True).over(Window.orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
