@@ -79,13 +79,17 @@ def state_runs(states: DataFrame) -> DataFrame:
     return marked.groupBy("link_id", "_run", "state").agg(F.min("second").alias("first"), F.max("second").alias("last")).drop("_run")
 
 
-def queue_kernel(cars: pd.DataFrame, net: pd.DataFrame, step_s: float, tail_min: float) -> pd.DataFrame:
+Detours = dict[tuple[int, int], tuple[list[int], int]]
+
+
+def queue_kernel(cars: pd.DataFrame, net: pd.DataFrame, step_s: float, tail_min: float, detours: Detours | None = None) -> pd.DataFrame:
     """agent_id, k, link_id, arrival_s, departure_s of each vehicle on each of its links; departure null if it never left.
 
     Each step: due vehicles enter their first link; on every node the links that end there take turns (the first in turn moves with
     the step) and pass vehicles on while they have capacity, the head of their exit queue has spent its free-flow time,
     and the next link has room. Trips end at their last link. A link with a signal (cycle_s above 0) passes vehicles on in its green
-    time alone, and gathers no capacity in red.
+    time alone, and gathers no capacity in red. ``detours``: for a link with a sign and the last link of a trip, the links to take after the
+    sign, and how many of a hundred vehicles, by their numbers, take them; a vehicle decides as it enters the link.
     """
     cars = cars.sort_values(["departure_s", "agent_id"], kind="stable")
     routes = [list(map(int, x)) for x in cars.link_seq]
@@ -108,6 +112,10 @@ def queue_kernel(cars: pd.DataFrame, net: pd.DataFrame, step_s: float, tail_min:
 
     def enter(i: int, k: int, now: float) -> None:
         link = routes[i][k]
+        if detours and (link, routes[i][-1]) in detours and k + 1 < len(routes[i]):
+            rest, rate_ = detours[link, routes[i][-1]]
+            if ids[i] % 100 < rate_:
+                routes[i] = routes[i][: k + 1] + rest
         place[i] = len(rows)
         rows.append([ids[i], k, link, now, None])
         queue[link].append((i, k, now + free[link]))
@@ -131,7 +139,7 @@ def queue_kernel(cars: pd.DataFrame, net: pd.DataFrame, step_s: float, tail_min:
                     cycle, green, lasts = signal[link]
                     if (t - green) % cycle >= lasts:
                         continue
-                credit[link] = min(credit[link] + rate[link], max(1.0, rate[link])) if not q else credit[link] + rate[link]
+                credit[link] = credit[link] % 1 + rate[link]  # fractions are kept; whole places that nobody took are lost
                 while q and credit[link] >= 1 and q[0][2] <= t:
                     i, k, _ = q[0]
                     if k + 1 < len(routes[i]):
@@ -154,13 +162,22 @@ def queue_kernel(cars: pd.DataFrame, net: pd.DataFrame, step_s: float, tail_min:
 MOST_LINKS = 5_000_000
 
 
-def simulate(cars: DataFrame, links: DataFrame, group: str = "period", step_s: float = 2.0, tail_min: float = 10.0) -> DataFrame:
+#: Vehicles of a group that one task takes at most.
+MOST_VEHICLES = 5_000_000
+
+
+def simulate(cars: DataFrame, links: DataFrame, group: str = "period", step_s: float = 2.0, tail_min: float = 10.0, detours: DataFrame | None = None) -> DataFrame:
     """group, agent_id, k, link_id, arrival_s, departure_s: the queue kernel run once for each group of vehicles.
 
     ``links`` is one network, which goes to each task after its size is checked. All traffic flow models hold a link to its storage.
     Columns cycle_s, green_s and green_len_s set signals. A group is one task, since
-    what happens on a link depends on all others at that moment: its vehicles must fit into a task's memory.
+    what happens on a link depends on all others at that moment: it may have at most MOST_VEHICLES, else that is an error.
+    ``detours`` (link_id, last_link, rest, rate): what message signs offer, a few rows; see ``queue_kernel``.
     """
+    most = cars.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > MOST_VEHICLES:
+        raise ValueError(f"{most} vehicles in one group; at most {MOST_VEHICLES} are simulated by one task")
+    offered = {(r["link_id"], r["last_link"]): (list(r["rest"]), r["rate"]) for r in detours.collect()} if detours is not None else None
     if (n := links.count()) > MOST_LINKS:
         raise ValueError(f"{n} links; at most {MOST_LINKS} are broadcast")
     have = links.columns
@@ -169,7 +186,7 @@ def simulate(cars: DataFrame, links: DataFrame, group: str = "period", step_s: f
     shared = cars.sparkSession.sparkContext.broadcast(net)
 
     def run(key: tuple, some: pd.DataFrame) -> pd.DataFrame:
-        out = queue_kernel(some, shared.value, step_s, tail_min)
+        out = queue_kernel(some, shared.value, step_s, tail_min, offered)
         out.insert(0, group, key[0])
         return out
 
@@ -243,3 +260,9 @@ def rerouted(cars: DataFrame, alternatives: DataFrame, at_min: float, share: int
     met = cars.join(alternatives, ["o", "d", "mode", "period"], "left")
     answers = (c("departure_s") >= at_min * 60) & (F.pmod("agent_id", F.lit(100)) < share) & c("alt_seq").isNotNull()
     return met.withColumn("rerouted", answers).withColumn("link_seq", F.when(answers, c("alt_seq")).otherwise(c("link_seq"))).drop("alt_seq")
+
+
+def diversion(cars: DataFrame) -> DataFrame:
+    """mode, period, vehicles, rerouted and the share of those that ``rerouted`` marked."""
+    out = cars.groupBy("mode", "period").agg(F.count("*").alias("vehicles"), F.count_if("rerouted").alias("rerouted"))
+    return out.withColumn("share", c("rerouted") / c("vehicles"))

@@ -155,7 +155,9 @@ def _focused(spark: SparkSession, nodes: DataFrame, od: DataFrame, cfg: settings
     ends = od.select("o", "d").distinct()
     ends = ends.join(zones.select(c("zone_id").alias("o"), c("x").alias("ox"), c("y").alias("oy")), "o").join(zones.select(c("zone_id").alias("d"), c("x").alias("dx"), c("y").alias("dy")), "d")
     crossed = space.crossing(ends, sides, ["o", "d"])
-    flagged = subarea.flags(space.inside(zones, sides, ["zone_id"]), od, crossed, 1000.0, 5.0, 5.0)
+    passing = od.join(crossed.where("crosses").select("o", "d"), ["o", "d"], "left_semi")
+    cut = demand.volume_cutoff(passing, 1000).first()["cutoff"] or 0.0  # zones beyond the thousandth do not count
+    flagged = subarea.flags(space.inside(zones, sides, ["zone_id"]), od, crossed, 1000.0, 5.0, max(5.0, cut))
     return subarea.within(od, subarea.significant(flagged), crossed.where("crosses").select("o", "d"))
 
 

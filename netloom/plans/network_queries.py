@@ -416,6 +416,14 @@ def demand_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(readers.read_demand(spark, _as_csv(rows, "demand"), "auto", "am", 2.0), "volume")
 
 
+@query(net("SELECT zone_id, 5 AS n_points, round(x, 6) AS x, round(y, 6) AS y FROM node"))
+def taz_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares around zones written as a file of polygons and read from it."""
+    corner = F.format_string("POLYGON((%f %f, %f %f, %f %f, %f %f, %f %f))", *(c(k) + d for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)) for k, d in (("x", a * 0.01), ("y", b * 0.01))))
+    out = readers.read_taz(spark, _as_csv(derive.nodes(spark, sf_dir).select("zone_id", corner.alias("geometry")), "taz"))
+    return rounded(out.select("zone_id", F.size("points").alias("n_points"), "x", "y"), "x", "y")
+
+
 _SETTINGS = """
 assignment: {number_of_iterations: 7, odme_activate: 1, UE_convergence_percentage: 0.5}
 mode_types: [{mode_type: auto, vot: 12, pce: 1}, {mode_type: truck, vot: 30, pce: 2, person_occupancy: 1.5}]

@@ -146,6 +146,16 @@ def unpack_demand(parts: DataFrame) -> DataFrame:
     return parts.mapInArrow(run, _DEMAND_SCHEMA)
 
 
+def read_taz(spark: SparkSession, path: str) -> DataFrame:
+    """zone_id, points (the polygon's), x and y (their mean, the closing point left out) of a file of zone polygons (TAZ_id or zone_id, geometry)."""
+    raw = read_csv(spark, path, {"zone_id": ("long", None), "TAZ_id": ("long", None), "geometry": ("string", None)}, ("geometry",))
+    out = raw.select(F.coalesce("zone_id", "TAZ_id").alias("zone_id"), scalar.wkt_points(c("geometry")).alias("points")).where("zone_id IS NOT NULL AND size(points) > 2")
+    closed = F.element_at("points", 1) == F.element_at("points", -1)
+    open_ = F.when(closed, F.slice("points", 1, F.size("points") - 1)).otherwise(c("points"))
+    mean = lambda k: F.aggregate(open_, F.lit(0.0), lambda a, p: a + p[k]) / F.size(open_)
+    return out.withColumns({"x": mean("x"), "y": mean("y")})
+
+
 def routes(raw: DataFrame, links: DataFrame, scale: float = 1.0) -> DataFrame:
     """Fixed routes: path_id, o, d, volume, node_seq, link_seq; a route with a step that is no link is left out.
 

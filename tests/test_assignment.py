@@ -184,3 +184,35 @@ def test_message_signs_reroute_by_number(spark):
     alternatives = spark.createDataFrame([(1, 2, "auto", "am", [3])], "o long, d long, mode string, period string, alt_seq array<long>")
     got = simulate.rerouted(cars, alternatives, 421.0, 50).where("rerouted")
     assert {r.agent_id for r in got.collect()} == {k for k in range(60, 200) if k % 100 < 50}
+
+
+def one_road(spark, cars, **columns):
+    links = {"link_id": 1, "to_node_id": 2, "fftt": 1.0, "capacity": 3600.0, "lanes": 1.0, "spatial_capacity": 100.0, "distance_km": 1.0} | columns
+    rows = [tuple(links.values()), *(tuple((links | {"link_id": k, "to_node_id": k + 1}).values()) for k in (2, 3))]
+    net = spark.createDataFrame(rows, list(links))
+    table = spark.createDataFrame([("am", i, route, float(t)) for i, (route, t) in enumerate(cars)], "period string, agent_id long, link_seq array<long>, departure_s double")
+    return table, net
+
+
+def test_vehicles_leave_one_a_second_after_their_free_flow_time(spark):
+    cars, net = one_road(spark, [([1], 0.0)] * 5)
+    got = sorted((r.agent_id, r.arrival_s, r.departure_s) for r in simulate.simulate(cars, net, step_s=1.0).collect())
+    assert got == [(i, 0.0, 60.0 + i) for i in range(5)]
+    waits = simulate.minute_waits(simulate.simulate(cars, net, step_s=1.0), net).first()
+    assert waits.vehicles == 5 and waits.wait_min == pytest.approx(sum(r[2] - 60 for r in got) / 60)
+
+
+def test_a_signal_lets_vehicles_out_in_green_alone(spark):
+    cars, net = one_road(spark, [([1], 0.0)] * 8, cycle_s=40.0, green_s=10.0, green_len_s=10.0)
+    out = sorted(r.departure_s for r in simulate.simulate(cars, net, step_s=1.0).collect())
+    assert all(10 <= t % 40 < 20 for t in out) and out[0] in (90.0, 91.0)
+    assert max(sum(a <= t < a + 40 for t in out) for a in range(80, 300, 40)) <= 6  # a vehicle every other second of ten
+
+
+def test_a_sign_sends_its_share_another_way(spark):
+    cars, net = one_road(spark, [([1, 2], 0.0)] * 10)
+    detours = spark.createDataFrame([(1, 2, [3], 4)], "link_id long, last_link long, rest array<long>, rate int")
+    got = {}
+    for r in simulate.simulate(cars, net, step_s=1.0, detours=detours).collect():
+        got.setdefault(r.agent_id, []).append((r.k, r.link_id))
+    assert {i: [x for _, x in sorted(v)] for i, v in got.items()} == {i: [1, 3] if i < 4 else [1, 2] for i in range(10)}
