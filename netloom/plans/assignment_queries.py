@@ -19,14 +19,25 @@ SWEEPS = 14
 #: Links closed in the scenario.
 CLOSED = "link_id % 13 = 0"
 
-_kept: dict[tuple[str, str, str], object] = {}
+_kept: dict[tuple, object] = {}
+#: What is kept at most; the oldest goes first.
+MOST_KEPT = 24
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple[int, ...]:
+    """When the tables that demand is made of last changed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = [path(f"{sf_dir}/{name}.parquet") for name in ("lineitem", "orders", "customer", "supplier", "nation")]
+    return tuple(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime() for p in found)
 
 
 def _once(name: str, make, spark: SparkSession, sf_dir: str):
-    """What several queries start from, made once a session: a written table, or the inputs."""
-    key = (spark.sparkContext.applicationId, name, sf_dir)
+    """What several queries start from, made once a session for the tables as they are: a written table, or the inputs."""
+    key = (spark.sparkContext.applicationId, name, sf_dir, _stamp(spark, sf_dir))
     if key not in _kept:
         _kept[key] = make()
+        while len(_kept) > MOST_KEPT:
+            del _kept[next(iter(_kept))]
     return _kept[key]
 
 

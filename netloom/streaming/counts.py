@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,15 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from netloom.plans import lineage
+
 c = F.col
 #: How long a window waits for late events.
 LATE = "10 minutes"
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under that of ``spark.checkpoint.dir``, or under a temporary one where that is unset, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), f"netloom-{os.getuid()}")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder under that of ``spark.checkpoint.dir``, or under a temporary one where that is unset and all tasks run here."""
+    return lineage.folder(spark, "stream")
 
 
 def events(spark: SparkSession, path: str, schema, files_per_trigger: int = 4) -> DataFrame:
