@@ -50,16 +50,23 @@ def gap(costed: DataFrame) -> DataFrame:
     return out.withColumn("gap_percent", F.greatest(F.lit(0.0), (c("total_min") - c("least_min")) / c("least_min")) * 100).withColumn("mean_min", c("total_min") / c("demand"))
 
 
-def shift(costed: DataFrame, n: int, least_step: float = 0.0, informed: list[str] | None = None) -> DataFrame:
+#: Updates before a bound on what a path gives holds.
+FREE_UPDATES = 5
+
+
+def shift(costed: DataFrame, n: int, least_step: float = 0.0, informed: list[str] | None = None, bound: float | None = None) -> DataFrame:
     """One update of path volumes, the n-th from 0, in each cell with two paths or more; of the informed modes alone, if they are given.
 
     A path gives 1 / (n + 2) of max(0, its cost - the least) / the largest cost, of the cell's demand, at most its volume; all that
-    is given goes to the least-cost path, the first of equals. The largest cost is at least one minute.
+    is given goes to the least-cost path, the first of equals. The largest cost is at least one minute. With a ``bound`` no path gives
+    more than that, from the FREE_UPDATES-th update on.
     """
     cell = Window.partitionBy(*CELL)
     out = costed.withColumns({"_v": F.sum("volume").over(cell), "_least": F.min(F.struct("cost", "path")).over(cell), "_most": F.greatest(F.lit(routing.MICRO), F.max("cost").over(cell)), "_n": F.count("*").over(cell)})
     step = max(1 / (n + 2), least_step)
     given = F.least(c("volume"), F.lit(step) * F.greatest(F.lit(0), c("cost") - c("_least.cost")) / c("_most") * c("_v"))
+    if bound is not None and n >= FREE_UPDATES:
+        given = F.least(given, F.lit(bound))
     moves = (c("_n") > 1) & (c("mode").isin(informed) if informed is not None else F.lit(True))
     out = out.withColumn("_given", F.when(moves, given).otherwise(0.0)).withColumn("_all", F.sum("_given").over(cell))
     moved = F.when(c("path") == c("_least.path"), c("volume") + c("_all")).otherwise(c("volume") - c("_given"))

@@ -134,3 +134,10 @@ def access_links(links: DataFrame) -> DataFrame:
     """zone_id, node_id and direction (out of the zone, or into it) of all connectors."""
     out = c("from_node_id") < 0
     return links.where("link_type < 0").select(F.abs(F.when(out, c("from_node_id")).otherwise(c("to_node_id"))).alias("zone_id"), F.when(out, c("to_node_id")).otherwise(c("from_node_id")).alias("node_id"), F.when(out, "out").otherwise("in").alias("direction"))
+
+
+def speed_columns(speeds: DataFrame, first: int, last: int, every: int = 15) -> DataFrame:
+    """One row a link and period with the speed of each quarter of an hour (link_id, period, quarter, speed) in a column ``speed_HHMM``."""
+    marks = list(range(first, last, every))
+    wide = speeds.groupBy("link_id", "period").pivot("quarter", marks).agg(F.first("speed"))
+    return wide.withColumnsRenamed({str(m): f"speed_{m // 60:02d}{m % 60:02d}" for m in marks})

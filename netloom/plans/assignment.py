@@ -103,11 +103,27 @@ def _open_costs(i: Inputs, pool: DataFrame, closed: DataFrame) -> DataFrame:
     return costs.withColumn("cost", F.when(F.col("_shut"), -1).otherwise(F.col("cost"))).drop("_shut")
 
 
-def regenerate(i: Inputs, pool: DataFrame, closed: DataFrame, informed: list[str]) -> DataFrame:
-    """The pool with one more path, of no volume yet, for each cell of the informed modes: the best that uses no closed link."""
+#: What a new path adds to the cost of its links for those who are dealt with after it.
+NEW_PATH_PENALTY = 0.25
+
+
+def regenerate(i: Inputs, pool: DataFrame, closed: DataFrame, informed: list[str], turns: int = 1) -> DataFrame:
+    """The pool with one more path, of no volume yet, for each cell of the informed modes: the best that uses no closed link.
+
+    With several ``turns`` origins are dealt with one part after another, and links of new paths cost a quarter more for later parts, so
+    that not all are sent the same way.
+    """
     costs = _open_costs(i, pool, closed)
     cells = i.demand.where(F.col("mode").isin(informed))
-    found = loading.all_or_nothing(cells, network(i, costs))
+    parts = []
+    for turn in range(turns):
+        mine = cells.where(F.pmod(F.xxhash64("o"), F.lit(turns)) == turn)
+        parts.append(lineage.cut(loading.all_or_nothing(mine, network(i, costs))))
+        if turn + 1 < turns:
+            used = parts[-1].select("mode", "period", F.explode("link_seq").alias("link_id")).distinct().withColumn("_used", F.lit(True))
+            dearer = F.when(F.col("_used") & (F.col("cost") >= 0), F.round(F.col("cost") * (1 + NEW_PATH_PENALTY)).cast("long")).otherwise(F.col("cost"))
+            costs = lineage.cut(costs.join(used, ["mode", "period", "link_id"], "left").withColumn("cost", dearer).drop("_used"))
+    found = reduce(DataFrame.unionByName, parts)
     keys = [*columns.CELL, "path"]
     new = found.select(*columns.CELL, columns.path_key("link_seq").alias("path"), "link_seq", F.lit(0.0).alias("volume"))
     return pool.select(*keys, "link_seq", "volume").unionByName(new).groupBy(*keys).agg(F.first("link_seq").alias("link_seq"), F.sum("volume").alias("volume"))

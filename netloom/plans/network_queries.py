@@ -307,6 +307,17 @@ def speed_15min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "speed", digits=4)
 
 
+_MARKS = ", ".join(f"round(avg(CASE WHEN minute // 15 * 15 = {m} AND speed >= 1 THEN speed END), 4) AS speed_{m // 60:02d}{m % 60:02d}" for m in range(420, 1080, 15))
+
+
+@query(net_probe(f"{_5MIN} SELECT link_id, period, {_MARKS} FROM v GROUP BY link_id, period"))
+def link_speed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speeds of each quarter of an hour from seven to eighteen, in columns."""
+    from netloom.operators import report
+
+    return report.speed_columns(speed_15min(spark, sf_dir), 420, 1080)
+
+
 @query(net_probe(f"{_5MIN} SELECT link_id, period, round(count(*) FILTER (speed < vf * 0.5) * 5 / CAST(60 AS DOUBLE), 6) AS severe_hours FROM v GROUP BY link_id, period"))
 def severe_congestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours at less than half the free speed."""

@@ -1,5 +1,6 @@
 """Routing, equilibrium, estimation and scenarios on small networks with known answers."""
 
+import dataclasses
 import heapq
 import random
 
@@ -216,3 +217,22 @@ def test_a_sign_sends_its_share_another_way(spark):
     for r in simulate.simulate(cars, net, step_s=1.0, detours=detours).collect():
         got.setdefault(r.agent_id, []).append((r.k, r.link_id))
     assert {i: [x for _, x in sorted(v)] for i, v in got.items()} == {i: [1, 3] if i < 4 else [1, 2] for i in range(10)}
+
+
+def test_new_paths_make_their_links_dearer_for_those_who_follow(spark):
+    i = corridors(spark, 1000)
+    i = dataclasses.replace(i, demand=i.demand.union(spark.createDataFrame([(3, 2, "auto", "am", 5.0)], i.demand.schema)))
+    pool = assignment.generate(i, 1)
+    closed = spark.createDataFrame([(99,)], "link_id long")
+    for turns in (1, 2, 7):
+        again = assignment.regenerate(i, pool, closed, ["auto"], turns)
+        assert {tuple(r.link_seq) for r in again.collect()} >= {(13, 32), (32,)} and sum(r.volume for r in again.collect()) == pytest.approx(1005)
+
+
+def test_a_bound_on_what_a_path_gives(spark):
+    rows = [(1, 2, "auto", "am", "a", [1], 60.0, 10_000_000), (1, 2, "auto", "am", "b", [2], 40.0, 20_000_000)]
+    costed = spark.createDataFrame(rows, "o long, d long, mode string, period string, path string, link_seq array<long>, volume double, cost long")
+    free = 0.5 / 7 * 100 * 2 / 2  # half of the cost is excess: 1 / (5 + 2) * 0.5 * 100
+    assert flows(columns.shift(costed, 5)) == pytest.approx([60 + free, 40 - free])
+    assert flows(columns.shift(costed, 5, bound=2.0)) == pytest.approx([62, 38])
+    assert flows(columns.shift(costed, 4, bound=2.0)) == pytest.approx([60 + 100 / 12, 40 - 100 / 12])
