@@ -27,7 +27,7 @@ Steps = tuple[tuple[int, int], ...]
 EDITS: Steps = ((1, 0), (20, 1), (40, 2))
 KEY = ("doc_id", "text_key")
 #: Bytes of text whose index entries are made at once: arrays are of a word a line, so more texts are taken than elsewhere.
-INDEX_BYTES = 1 << 19
+INDEX_BYTES = 1 << 18
 _BREAK = ~scan.lut(0x0A)
 
 
@@ -101,21 +101,17 @@ def index(docs: DataFrame, edits: int | Steps = EDITS, least: int = 1, salt: int
             start, length = start[one], (end - start)[one]
             for most in sorted({e for _, e in steps if e}):
                 for shorter in range(most + 1):
-                    of = length - shorter
-                    ok = (of >= near) & (allowed(of, steps) == most)
+                    mine = np.flatnonzero((length - shorter >= near) & (allowed(length - shorter, steps) == most))
+                    of = length[mine] - shorter
                     for i, (at, size) in enumerate(segments(of, most)):
-                        low = np.maximum(at - i, at + shorter - (most - i))
-                        high = np.minimum(at + i, at + shorter + (most - i))
-                        for move in range(-most, 2 * most + 1):
+                        name = scan.mix((of.astype(np.uint64) << np.uint64(8)) | np.uint64(i))
+                        for move in range(max(-i, shorter - (most - i)), min(i, shorter + most - i) + 1):
                             place = at + move
-                            fits = ok & (place >= np.maximum(low, 0)) & (place <= high) & (place + size <= length)
-                            if not fits.any():
-                                continue
-                            begin = start[fits] + place[fits]
-                            name = (of[fits].astype(np.uint64) << np.uint64(8)) | np.uint64(i)
-                            code = scan.mix(scan.span_hash(sums, begin, begin + size[fits]) ^ scan.mix(name))
+                            fits = np.flatnonzero((place >= 0) & (place + size <= of + shorter))
+                            begin = start[mine[fits]] + place[fits]
+                            code = scan.mix(scan.span_hash(sums, begin, begin + size[fits]) ^ name[fits])
                             own = 1 if shorter == 0 and move == 0 else -1
-                            yield pigeonhole.entries(code, line[fits], own * length[fits])
+                            yield pigeonhole.entries(code, line[mine[fits]], own * length[mine[fits]])
 
     return keyed(docs).mapInArrow(run, pigeonhole.ENTRY)
 
