@@ -21,12 +21,12 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 
-# Where the C library can be told (glibc), arrays of up to 8 MB come from memory that the worker keeps, since fresh pages cost
-# more than the arithmetic on them; larger ones go back to the system once they are free, and so does what is over 16 MB at
+# Where the C library can be told (glibc), arrays of up to 4 MB come from memory that the worker keeps, since fresh pages cost
+# more than the arithmetic on them; larger ones go back to the system once they are free, and so does what is over 8 MB at
 # the end of the heap, so that a worker that has scanned a large batch does not stay large.
 if hasattr(_libc := ctypes.CDLL(None), "mallopt"):
-    _libc.mallopt(-3, 8 << 20)
-    _libc.mallopt(-1, 16 << 20)
+    _libc.mallopt(-3, 4 << 20)
+    _libc.mallopt(-1, 8 << 20)
 
 U64 = np.uint64
 #: Bytes of text that are scanned at once: arrays of a word a byte stay in a core's cache.
