@@ -144,7 +144,7 @@ def sensitivity(i: Inputs, pool: DataFrame, closed: DataFrame, informed: list[st
         raise ValueError("a closure needs a mode with real-time information")
     pool = lineage.cut(regenerate(i, pool, closed, informed))
     day = closed.select("link_id", F.lit(CLOSED_MIN).alias("_min"))
-    links = i.links.join(F.broadcast(day), "link_id", "left").withColumn("fftt", F.coalesce("_min", "fftt")).drop("_min")
+    links = lineage.cut(i.links.join(F.broadcast(day), "link_id", "left").withColumn("fftt", F.coalesce("_min", "fftt")).drop("_min"))
     shut = replace(i, links=links)
     gap = float("inf")
     for n in range(rounds):

@@ -225,7 +225,7 @@ def run(spark: SparkSession, folder: str, out: str | None = None) -> assignment.
         base = result
         if not closed.isEmpty():
             reports["impacted_routes"] = columns.impacted(_by_zone(base.pool), closed)
-            result = assignment.sensitivity(after, base.pool, closed, informed)
+            result = assignment.sensitivity(after, base.pool, closed, informed, cfg.scenario_iterations)
         else:
             result = assignment.update(after, base.pool, cfg.updates, cfg.gap_percent)
         volume = [x.performance.where("link_type >= 0").select("link_id", "period", "volume") for x in (base, result)]

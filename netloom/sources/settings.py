@@ -80,6 +80,7 @@ class Settings:
     profiles: dict[int, dict[int, float]] = field(default_factory=dict)
     subarea: str = ""
     max_super_zones: int = 100
+    scenario_iterations: int = 20  #: shifts after a closure
 
 
 def _minutes(code: str) -> float:
@@ -126,7 +127,7 @@ def parse(text: str) -> Settings:
         int(run.get("number_of_iterations", 20)), int(run.get("number_of_column_updating_iterations", 40)), float(run.get("UE_convergence_percentage", 0.1)), bool(int(run.get("odme_activate", 0))), int(run.get("number_of_odme_iterations", 50)), bool(int(run.get("route_output", 1))), bool(int(run.get("simulation_output", 0))),
         int((data.get("cpu") or {}).get("number_of_cpu_processors", run.get("number_of_cpu_processors", 4))), str(unit.get("length_unit", "meter")), str(unit.get("speed_unit", "kmph")), tuple(modes) or (Mode("auto"),), tuple(periods) or (Period("am", 1, 7.0, 8.0),),
         tuple(kinds), tuple(files), tuple(managed), {int(r["departure_time_profile_no"]): profile_slots(r) for r in data.get("departure_time_profile") or []},
-        str(area.get("subarea_geometry", "")) if int(area.get("activate", 0)) == 1 else "", int(area.get("max_number_of_super_zones", 100)),
+        str(area.get("subarea_geometry", "")) if int(area.get("activate", 0)) == 1 else "", int(area.get("max_number_of_super_zones", 100)), int(run.get("number_of_sensitivity_analysis_iterations", 20)),
     )
 
 

@@ -118,7 +118,7 @@ def test_demand_is_made_up_where_there_is_none(spark, tmp_path):
 
 
 def test_closure_and_simulation_from_settings(spark, tmp_path):
-    more = TWO_MODES.replace("simulation_output: 0", "simulation_output: 1").replace("'auto'}", "''}") + "dynamic_traffic_management_data: [{dtm_id: 1, dtm_type: lane_closure, from_node_id: 3, to_node_id: 2, final_lanes: 0, activate: 1}]\n"
+    more = TWO_MODES.replace("simulation_output: 0", "simulation_output: 1, number_of_sensitivity_analysis_iterations: 4").replace("'auto'}", "''}") + "dynamic_traffic_management_data: [{dtm_id: 1, dtm_type: lane_closure, from_node_id: 3, to_node_id: 2, final_lanes: 0, activate: 1}]\n"
     result = load.run(spark, made(tmp_path, more), str(tmp_path / "out"))
     flows = used(result)
     assert flows["auto", (3, 4)] > 80 and flows["truck", (1, 2)] == 50  # trucks are not told
