@@ -89,28 +89,36 @@ def outline(elements: np.ndarray) -> bytes:
 
 
 def may_be_similar(left: list, right: list, percent: int) -> np.ndarray:
-    """Whether outlines leave it open that their sets are similar: each cell of unlike parity has an element in one set alone.
-
-    Pairs are compared by the cells of the smaller outline, all of one size at once; the larger is folded to as many.
-    """
-    good = np.zeros(len(left), bool)
-    if not len(left):
-        return good
+    """Whether outlines leave it open that their sets are similar: each cell of unlike parity has an element in one set alone."""
     slot: dict[int, int] = {}
     items = []
     for x in itertools.chain(left, right):
         if id(x) not in slot:
             slot[id(x)] = len(items)
-            items.append(np.frombuffer(x, np.uint64))
-    i, j = (np.array([slot[id(x)] for x in side]) for side in (left, right))
+            items.append(x)
+    i, j = (np.array([slot[id(x)] for x in side], np.int64) for side in (left, right))
+    return may_be_similar_among(items, i, j, percent)
+
+
+def may_be_similar_among(outlines: list, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """``may_be_similar`` for pairs given by their places in a list of outlines.
+
+    Pairs are compared by the cells of the smaller outline, all of one size at once; the larger is folded to as many.
+    """
+    good = np.zeros(len(i), bool)
+    if not len(i):
+        return good
+    items = [np.frombuffer(x, np.uint64) for x in outlines]
     width = np.array([len(x) - 1 for x in items])
     size = np.array([int(x[0]) for x in items])
     common = np.minimum(width[i], width[j])
+    row = np.zeros(len(items), np.int64)
     for w in np.unique(common).tolist():
         some = np.flatnonzero(common == w)
-        used, row = np.unique(np.concatenate((i[some], j[some])), return_inverse=True)
-        folded = np.stack([np.bitwise_xor.reduce(items[k][1:].reshape(-1, w), axis=0) for k in used])
-        x, y = row[: len(some)], row[len(some) :]
+        used = np.flatnonzero(np.bincount(np.concatenate((i[some], j[some])), minlength=len(items)))
+        row[used] = np.arange(len(used))
+        folded = np.stack([np.bitwise_xor.reduce(items[k][1:].reshape(-1, w), axis=0) for k in used.tolist()])
+        x, y = row[i[some]], row[j[some]]
         for at in range(0, len(some), 4096):
             part = slice(at, at + 4096)
             differ = np.bitwise_count(folded[x[part]] ^ folded[y[part]]).sum(axis=1, dtype=np.int64)
@@ -347,6 +355,7 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, allocation:
         lambda x, y: similar(x, y, percent),
         outlines,
         lambda x, y: may_be_similar(x, y, percent),
+        lambda x, i, j: may_be_similar_among(x, i, j, percent),
     )
     rooted = sets.select("set", "least").join(near.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

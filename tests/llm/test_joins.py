@@ -237,3 +237,24 @@ def test_empty_tables(spark):
     empty = cases.frame(spark, [])
     assert jaccard.classes(empty).count() == 0
     assert lines.dedup(empty).count() == 0
+
+
+@pytest.mark.parametrize("block", [16, 1 << 15])
+def test_large_families_are_compared_without_copies_of_their_items(spark, monkeypatch, block):
+    monkeypatch.setattr(pigeonhole, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    rows = [(i, i // 3, int(rng.integers(10, 14)), rng.choice(40, 3, replace=False).tolist()) for i in range(150)]
+    members = spark.createDataFrame(rows, "item long, root long, size int, segments array<long>")
+    contents = spark.createDataFrame([(i, bytes([i % 7])) for i in range(150)], "item long, content binary")
+    written, tables = [], store.written
+    monkeypatch.setattr(store, "written", lambda *x, **y: written.append(tables(*x, **y)) or written[-1])
+    counted = []
+    monkeypatch.setattr(store, "drop", lambda *x: counted.extend(t.count() for t in x))
+    close = lambda x, y: np.abs(x - y) <= 1
+    linked = lambda x, y: np.array([bytes(a) == bytes(b) for a, b in zip(x, y)], bool)
+    got = sorted(tuple(sorted(r)) for r in pigeonhole.across(members, contents, close, linked).collect())
+    want = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and abs(a[2] - b[2]) <= 1 and set(a[3]) & set(b[3]) and a[0] % 7 == b[0] % 7]
+    assert got == want and len(want) > 50
+    assert counted[0] == len(rows) and sum(counted) == len(rows) + len(want)
+    if block < len(rows):
+        assert len(written) > 5
