@@ -277,7 +277,7 @@ def allocated(told: DataFrame) -> Allocation:
 def index(docs: DataFrame, n: int, percent: int, salt: int = 0, allocation: Allocation = ()) -> DataFrame:
     """The index entries of all sets: segment (hash of band, segment and content), set, size (negative in a band above its own)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pigeonhole.Entries]:
         done = np.zeros(0, np.int64)
         for batch in scan.parts(batches, "text"):
             elements, offsets = shingle_sets(batch, 2, n, salt)
@@ -300,7 +300,7 @@ def index(docs: DataFrame, n: int, percent: int, salt: int = 0, allocation: Allo
                     which, gone = cells.deletions(np.flatnonzero(value[first[band][cells.of] + cells.number] == 2))
                     yield pigeonhole.entries(cells.code(which, mixed[gone], 1), item[cells.of[which]], signed[cells.of[which]])
 
-    return keyed(docs).mapInArrow(run, pigeonhole.ENTRY)
+    return keyed(docs).mapInArrow(lambda batches: pigeonhole.blocks(found(batches)), pigeonhole.BLOCKS)
 
 
 def elements_of(docs: DataFrame, chosen: DataFrame, n: int, salt: int = 0) -> DataFrame:

@@ -5,7 +5,7 @@ is the line's name; that no two lines of the data have one name is checked. How
 e edits of it has one of them unchanged, moved by no more than the edits before and after it allow. Each line indexes its
 segments under its length, and looks up the substrings that could be such a segment in lines of its own length or shorter by
 as many edits as those allow. Lines that meet are compared by a banded bit-parallel edit distance, whole batches of pairs at a
-time. Lengths and distances are in UTF-8 bytes.
+time, or where these are few and long, pair by pair along the diagonals. Lengths and distances are in UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ EDITS: Steps = ((1, 0), (20, 1), (40, 2))
 KEY = ("doc_id", "text_key")
 #: Bytes of text whose index entries are made at once: arrays are of a word a line, so more texts are taken than elsewhere.
 INDEX_BYTES = 1 << 18
-_BREAK = ~scan.lut(0x0A)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -49,12 +48,15 @@ def allowed(length: np.ndarray, steps: Steps) -> np.ndarray:
 def _judged_lines(batch: pa.RecordBatch, column: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, start, end, text of each line of at least ``least`` bytes that is not blank)."""
     data, offsets = scan.text_bytes(batch.column(column))
-    start, end, first = scan.word_spans(data, offsets, _BREAK)
-    owner = np.repeat(np.arange(batch.num_rows), np.diff(first))
-    keep = end - start >= least
-    if len(start):
-        keep &= np.logical_or.reduceat(scan.NOT_SPACE[data], start)
-    return data, start[keep], end[keep], owner[keep]
+    breaks = np.flatnonzero(data == 0x0A)
+    start, end = np.sort(np.append(offsets[:-1], breaks + 1)), np.sort(np.append(breaks, offsets[1:]))
+    some = np.flatnonzero(end - start >= max(1, least))
+    start, end = start[some], end[some]
+    keep = scan.NOT_SPACE[data[start]]
+    for i in np.flatnonzero(~keep):
+        keep[i] = scan.NOT_SPACE[data[start[i] : end[i]]].any()
+    start, end = start[keep], end[keep]
+    return data, start, end, np.searchsorted(offsets, start, "right") - 1
 
 
 def places(docs: DataFrame, least: int = 1, salt: int = 0) -> DataFrame:
@@ -92,7 +94,7 @@ def index(docs: DataFrame, edits: int | Steps = EDITS, least: int = 1, salt: int
     steps = steps_of(edits, least)
     near = max(least, min((n for n, e in steps if e), default=1 << 62))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pigeonhole.Entries]:
         for batch in scan.parts(batches, "text", INDEX_BYTES):
             data, start, end, _ = _judged_lines(batch, 2, near)
             sums = scan.prefix_sums(scan.BYTE_CODES[data])
@@ -113,7 +115,7 @@ def index(docs: DataFrame, edits: int | Steps = EDITS, least: int = 1, salt: int
                             own = 1 if shorter == 0 and move == 0 else -1
                             yield pigeonhole.entries(code, line[mine[fits]], own * length[mine[fits]])
 
-    return keyed(docs).mapInArrow(run, pigeonhole.ENTRY)
+    return keyed(docs).mapInArrow(lambda batches: pigeonhole.blocks(found(batches)), pigeonhole.BLOCKS)
 
 
 def within(a: list[np.ndarray], b: list[np.ndarray], edits: int) -> np.ndarray:
@@ -200,6 +202,27 @@ def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "item long, content binary").dropDuplicates(["item"])
 
 
+def reaches(a: np.ndarray, b: np.ndarray, edits: int) -> bool:
+    """Whether at most ``edits`` edits part two byte strings, by how far each diagonal gets with 0, 1, ... edits (Ukkonen)."""
+    n, m = len(a), len(b)
+    if abs(n - m) > edits:
+        return False
+    far = {0: 0}
+    for e in range(edits + 1):
+        if e:
+            past = {d: max(far.get(d, -2) + 1, far.get(d - 1, -2), far.get(d + 1, -2) + 1) for d in range(-e, e + 1)}
+            far = {d: min(i, n, m - d) for d, i in past.items() if i >= 0 and i + d >= 0}
+        for d, i in far.items():
+            k = min(n - i, m - d - i)
+            if k > 0:
+                differ = a[i : i + k] != b[i + d : i + d + k]
+                first = int(differ.argmax())
+                far[d] = i + (first if differ[first] else k)
+        if far.get(m - n, -1) >= n:
+            return True
+    return False
+
+
 def pair_marks(line: np.ndarray) -> np.ndarray:
     """The parity of neighbouring pairs of bytes in each of 256 cells, as four words."""
     pairs = line[:-1].astype(np.uint32) * np.uint32(0x9E3779B1) + line[1:].astype(np.uint32) * np.uint32(0x85EBCA77)
@@ -223,7 +246,10 @@ def close_lines(left: list, right: list, edits: int) -> np.ndarray:
     order = likely[np.argsort([len(x[i]) for i in likely], kind="stable")]
     for at in range(0, len(order), 512):
         some = order[at : at + 512]
-        good[some] = within([x[i] for i in some], [y[i] for i in some], edits)
+        if len(some) < 2 * len(x[some[-1]]):  # a step a byte of the longest costs more than a few steps a pair
+            good[some] = [reaches(x[i], y[i], edits) for i in some]
+        else:
+            good[some] = within([x[i] for i in some], [y[i] for i in some], edits)
     return good
 
 

@@ -1,6 +1,9 @@
 """Near-duplicate documents and lines against brute force."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,3 +261,54 @@ def test_large_families_are_compared_without_copies_of_their_items(spark, monkey
     assert counted[0] == len(rows) and sum(counted) == len(rows) + len(want)
     if block < len(rows):
         assert len(written) > 5
+
+
+@pytest.mark.parametrize("held, gathered", [(1 << 20, 1 << 19), (20, 50)])
+def test_index_entries_go_in_blocks_and_none_is_lost(monkeypatch, held, gathered):
+    for name, value in (("HELD", held), ("GATHERED", gathered), ("IN_BLOCK", 8), ("BITS", 2), ("SMALL", 3)):
+        monkeypatch.setattr(pigeonhole, name, value)
+    rng = np.random.default_rng(4)
+    segment = np.concatenate((rng.integers(-60, 60, 500) * (1 << 56), np.full(300, 5 << 56), np.full(90, 6 << 56)))
+    item, size = np.arange(len(segment)), rng.choice([-9, 9], len(segment))
+    order = rng.permutation(len(segment))
+    found = [pigeonhole.entries(segment[x], item[x], size[x]) for x in np.array_split(order, 9)]
+    sent = list(pigeonhole.blocks(iter(found)))
+    assert sum(x.num_rows for x in sent) < len(segment) / 2
+    table = pa.Table.from_batches(sent).sort_by("bucket").combine_chunks()
+    assert table.schema.names == ["bucket", "segment", "item", "size"]
+    met = pigeonhole._met(iter(table.to_batches(max_chunksize=5)), lambda x, y: x == y)
+    rows = [SimpleNamespace(**x) for batch in met for x in batch.to_pylist()]
+    groups = {}
+    for s, i in zip(segment.tolist(), item.tolist()):
+        groups.setdefault(s, []).append(i)
+    small = {(s, a, b) for s, g in groups.items() if 1 < len(g) <= 3 for a in g for b in g if a < b and max(size[a], size[b]) > 0}
+    got = [(r.segment, min(r.a, r.b), max(r.a, r.b)) for r in rows if not r.pivot]
+    assert sorted(got) == sorted(small)
+    for s, g in groups.items():
+        mine = [r for r in rows if r.pivot and r.segment == s]
+        if len(g) > 3:
+            assert sorted(r.b for r in mine) == g and len({r.a for r in mine}) == 1 and mine[0].a in g
+            assert all((r.size_a, r.size_b) == (size[r.a], size[r.b]) for r in mine)
+        else:
+            assert not mine
+
+
+def test_lines_compared_one_by_one_as_by_the_recurrence():
+    rng = np.random.default_rng(6)
+    for _ in range(1500):
+        x = list(rng.integers(97, 100, rng.integers(0, 14)))
+        y = list(x)
+        for _ in range(rng.integers(0, 5)):
+            p = int(rng.integers(0, len(y) + 1))
+            y[p : p + int(rng.integers(0, 2))] = [98] * int(rng.integers(0, 2))
+        a, b = np.array(x, np.uint8), np.array(y, np.uint8)
+        assert [lines.reaches(a, b, e) for e in range(4)] == [lines._plain(a, b) <= e for e in range(4)]
+
+
+def test_lines_are_found_whatever_stands_between_them():
+    texts = ["", None, "\n", " \t\n x\n\n", "ab\n  \nc", "\n\n", "é\nlast", "", "  ", "one\n"]
+    batch = pa.record_batch([pa.array(texts, pa.string())], names=["text"])
+    for least in (1, 2, 3):
+        data, start, end, owner = lines._judged_lines(batch, 0, least)
+        want = [(k, x) for k, t in enumerate(texts) for x in (t or "").encode().split(b"\n") if x.strip() and len(x) >= least]
+        assert [(int(k), data[a:b].tobytes()) for a, b, k in zip(start, end, owner)] == want
